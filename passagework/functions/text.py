@@ -6,6 +6,7 @@ space and the other space characters), which Java's ``\\s`` does not cover.
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -66,13 +67,8 @@ def escape_html(c: Column) -> Column:
 
 
 def _entity_table() -> Column:
-    pairs = [
-        F.lit(value)
-        for name, text in html5.items()
-        if name.endswith(";")
-        for value in (f"&{name}", text)
-    ]
-    return F.create_map(*pairs)
+    table = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def unescape_html(c: Column) -> Column:

@@ -46,15 +46,11 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a side before it is broadcast: bounded row count, then total row size."""
-    width = sum(_row_bytes(df, f.name) for f in df.schema.fields) or F.lit(0)
+    width = F.octet_length(F.to_json(F.struct("*"))).cast("long")
     seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
     return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
-def _row_bytes(df: DataFrame, name: str) -> Column:
-    return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(8)).cast("long")
-
-
 def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with ``side`` broadcast when it measures small; otherwise a shuffled join.
 

@@ -39,8 +39,11 @@ FIELDS = (
 )
 
 
-def analyze(text: Column, analyzer: str) -> Column:
-    return english_terms(text) if analyzer == "english" else standard_terms(text)
+def analyze(text: Column, analyzer: str | Column) -> Column:
+    """Terms of a text; the analyzer may differ from row to row."""
+    if isinstance(analyzer, str):
+        return english_terms(text) if analyzer == "english" else standard_terms(text)
+    return F.when(analyzer == "english", english_terms(text)).otherwise(standard_terms(text))
 
 
 def _counts(terms: Column) -> Column:
@@ -53,10 +56,17 @@ def _counts(terms: Column) -> Column:
 def field_terms(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """``passage_id, field, terms`` for every field a passage has, one row per field."""
     wanted = [f for f in fields if _has(passages, f.source)]
-    per_field = F.array(
-        *[F.struct(F.lit(f.name).alias("field"), analyze(F.col(f.source), f.analyzer).alias("terms")) for f in wanted]
+    # one row per field first, so the analysis is one expression and not one per field
+    texts = F.array(
+        *[
+            F.struct(F.lit(f.name).alias("field"), F.lit(f.analyzer).alias("analyzer"), F.col(f.source).alias("body"))
+            for f in wanted
+        ]
+    )
+    rows = passages.select("passage_id", F.inline(texts)).filter(F.col("body").isNotNull())
+    return rows.select(
+        "passage_id", "field", analyze(F.col("body"), F.col("analyzer")).alias("terms")
     )
-    return passages.select("passage_id", F.inline(per_field)).filter(F.size("terms") > 0)
 
 
 def _has(df: DataFrame, path: str) -> bool:
@@ -86,7 +96,9 @@ def postings(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFra
     )
     return (
         counted.withColumn("norm", norm)
-        .select("passage_id", "field", "len", "norm", F.inline("entries"))
+        # the outer form keeps Spark from testing the size of `entries` by computing it twice
+        .select("passage_id", "field", "len", "norm", F.inline_outer("entries"))
+        .filter(F.col("term").isNotNull())
         .select("field", "term", "passage_id", "tf", "len", "norm")
     )
 
@@ -100,8 +112,11 @@ def field_stats(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Data
     """``field, n_passages, avg_len`` over passages that have the field."""
     return (
         field_terms(passages, fields)
+        .select("field", F.size("terms").alias("len"))
         .groupBy("field")
-        .agg(F.count("*").alias("n_passages"), F.avg(F.size("terms").cast("double")).alias("avg_len"))
+        .agg(F.count_if(F.col("len") > 0).alias("n_passages"), F.sum("len").alias("total"))
+        .filter("n_passages > 0")
+        .select("field", "n_passages", (F.col("total") / F.col("n_passages")).alias("avg_len"))
     )
 
 

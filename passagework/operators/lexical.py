@@ -24,20 +24,25 @@ def search_texts(requests: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """``query_id, field, term, qtf, boost, fuzzy``: analysed query words per clause."""
+    analyzers = sorted({f.analyzer for f in fields})
+    rows = queries.select("query_id", "q", F.explode(F.array(*map(F.lit, analyzers))).alias("analyzer"))
+    terms = (
+        rows.select("query_id", "analyzer", F.explode_outer(analyze(F.col("q"), F.col("analyzer"))).alias("term"))
+        .filter(F.col("term").isNotNull())
+        .groupBy("query_id", "analyzer", "term")
+        .agg(F.count("*").alias("qtf"))
+    )
     clauses = F.array(
         *[
             F.struct(
                 F.lit(f.name).alias("field"), F.lit(f.boost).alias("boost"), F.lit(f.fuzzy).alias("fuzzy"),
-                analyze(F.col("q"), f.analyzer).alias("terms"),
+                F.lit(f.analyzer).alias("_analyzer"),
             )
             for f in fields
         ]
     )
-    return (
-        queries.select("query_id", F.inline(clauses))
-        .select("query_id", "field", "boost", "fuzzy", F.explode("terms").alias("term"))
-        .groupBy("query_id", "field", "boost", "fuzzy", "term")
-        .agg(F.count("*").alias("qtf"))
+    return terms.select("*", F.inline(clauses)).filter(F.col("analyzer") == F.col("_analyzer")).select(
+        "query_id", "field", "boost", "fuzzy", "term", "qtf"
     )
 
 
@@ -127,7 +132,7 @@ def term_weights(queries: DataFrame, index: Index, fields: tuple[Field, ...] = F
 
     A typo match counts ``1 - edits / length of the shorter word``.
     """
-    wanted = query_terms(queries, fields)
+    wanted = materialize(query_terms(queries, fields), "query-terms")
     exact = wanted.filter(~F.col("fuzzy")).join(index.vocabulary, ["field", "term"]).withColumn("share", F.lit(1.0))
     typos = wanted.filter("fuzzy").withColumnRenamed("term", "token")
     expanded = expand_terms(typos, index.vocabulary)
