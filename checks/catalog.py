@@ -2,3 +2,6 @@
 
 from . import chunking  # noqa: F401
 from . import ranking  # noqa: F401
+from . import tables  # noqa: F401
+from . import sources  # noqa: F401
+from . import streams  # noqa: F401

@@ -53,8 +53,8 @@ def query_terms_sql(fields) -> str:
 
 def letters(column: str) -> str:
     """DuckDB's levenshtein counts bytes: give every accented small letter one byte."""
-    accented = "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
-    return f"translate({column}, '{accented}', {' || '.join(f'chr({i})' for i in range(1, 32))})"
+    accented = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+    return f"translate({column}, '{accented}', {' || '.join(f'chr({i})' for i in [*range(1, 32), 127])})"
 
 
 EXPANSIONS = f"""
