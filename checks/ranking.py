@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.operators import fuse as fusing
 from passagework.operators.group import flat_results, result_counts
-from passagework.operators.index import FIELDS, build_index, field_stats, postings
+from passagework.operators.index import FIELDS, build_index, field_stats, index_rows, postings
 from passagework.operators.lexical import expand_terms, keyword_search, query_terms
 from passagework.operators.vector import knn_approximate, knn_exact, term_vector_search
 from passagework.sources.tables import read_table
@@ -96,7 +96,7 @@ NO_EXPANSIONS = "expanded AS (SELECT '' AS field, '' AS token, '' AS term, 1 AS
 SELECT field, term, passage_id, tf::INT AS tf, len::INT AS len, round(norm, 6) AS norm FROM post JOIN lens USING (field, passage_id)""",
 )
 def index_postings(spark, sf):
-    return postings(document_passages(spark, sf), TEXT_ONLY).withColumn("norm", F.round("norm", 6))
+    return postings(index_rows(document_passages(spark, sf), TEXT_ONLY)).withColumn("norm", F.round("norm", 6))
 
 
 @query(
@@ -105,7 +105,7 @@ def index_postings(spark, sf):
 SELECT field, n AS n_passages, round(avg_len, 6) AS avg_len FROM stats""",
 )
 def index_field_stats(spark, sf):
-    return field_stats(document_passages(spark, sf), PROSE).withColumn("avg_len", F.round("avg_len", 6))
+    return field_stats(postings(index_rows(document_passages(spark, sf), PROSE))).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(

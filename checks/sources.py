@@ -9,6 +9,7 @@ from passagework.functions import urls
 from passagework.functions.links import passage_link
 from passagework.functions.packing import pack_sections
 from passagework.operators import clips
+from passagework.operators.common import materialize
 from passagework.operators.lexical import search_texts
 from passagework.operators.schema import attrs, lookup_asset, shape_hit
 from passagework.sources import captions, feeds, markdown, pages, repo, sitemaps
@@ -341,7 +342,8 @@ SELECT 'u' || doc_id AS uid, 'T ' || doc_id AS title, 'Ada, Bo' AS author, TIMES
   (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block_no, 'Part of ' || source AS heading, kind, text FROM b WHERE text <> ''""",
 )
 def rich_text_sections(spark, sf):
-    found = pages.articles(_app_pages(spark, sf).select("url", "html"), BLOG, ORIGIN)
+    landed = materialize(_app_pages(spark, sf).select("url", "html"), "landed-pages")
+    found = pages.articles(landed, BLOG, ORIGIN)
     return found.select(
         "uid", "title", "author", "published_at", F.posexplode("blocks").alias("block_no", "b")
     ).select("uid", "title", "author", "published_at", "block_no", "b.*")

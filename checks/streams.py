@@ -27,7 +27,7 @@ def stream_upsert(spark, sf):
 
     def prepare(df):
         return df.select(
-            F.col("user_id").cast("string").alias("asset_id"), F.floor(F.unix_micros("ts") / 86_400_000_000).cast("int").alias("chunk_index"),
+            F.col("user_id").cast("string").alias("asset_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("int").alias("chunk_index"),
             F.col("event_type").alias("text"), "value", "ts", "event_id",
         )
 

@@ -133,17 +133,30 @@ def _final_ll(w: Column) -> Column:
     ).otherwise(w)
 
 
-def _on_longer_words(step):
-    return lambda w: F.when(F.length(w) > 2, step(w)).otherwise(w)
+def _on(step, endings: tuple[str, ...]):
+    """Apply a step to longer words with one of the endings; a cheap test before its patterns."""
+    size = len(endings[0])
+    return lambda w: F.when((F.length(w) > 2) & F.right(w, F.lit(size)).isin(*endings), step(w)).otherwise(w)
+
+
+def _last_two(suffixes) -> tuple[str, ...]:
+    return tuple(sorted({s[-2:] for s in suffixes}))
 
 
 def stem_terms(terms: Column) -> Column:
     """Stems of an array of lower-case words; words of one or two letters stay."""
     steps = (
-        _plural, _past_and_ing, _final_y, _replace(STEP_2), _replace(STEP_3), _drop, _final_e, _final_ll,
+        _on(_plural, ("s",)),
+        _on(_past_and_ing, ("ed", "ng")),
+        _on(_final_y, ("y",)),
+        _on(_replace(STEP_2), _last_two(STEP_2)),
+        _on(_replace(STEP_3), _last_two(STEP_3)),
+        _on(_drop, _last_two((*STEP_4, "ion"))),
+        _on(_final_e, ("e",)),
+        _on(_final_ll, ("ll",)),
     )
     for step in steps:
-        terms = F.transform(terms, _on_longer_words(step))
+        terms = F.transform(terms, step)
     return terms
 
 

@@ -1,9 +1,9 @@
-"""Keyword index over passages: postings, vocabulary and field statistics.
+"""Keyword index over passages: term rows, vocabulary and field statistics.
 
 A passage is one row of bounded length, so term counts, field lengths and vector norms
-are computed inside the row and building postings needs no shuffle. Postings stay
-together by passage; the vocabulary is their only aggregation and combines map-side,
-so a term that occurs in every passage costs one partial row per task.
+are computed inside the row and building the index needs no shuffle. The vocabulary is
+its only aggregation and combines map-side, so a term that occurs in every passage costs
+one partial row per task.
 """
 
 from __future__ import annotations
@@ -46,27 +46,15 @@ def analyze(text: Column, analyzer: str | Column) -> Column:
     return F.when(analyzer == "english", english_terms(text)).otherwise(standard_terms(text))
 
 
-def _counts(terms: Column) -> Column:
-    return F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, t))).alias("tf")),
-    )
-
-
-def field_terms(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``passage_id, field, terms`` for every field a passage has, one row per field."""
-    wanted = [f for f in fields if _has(passages, f.source)]
-    # one row per field first, so the analysis is one expression and not one per field
-    texts = F.array(
+def _texts(df: DataFrame, fields: tuple[Field, ...]) -> Column:
+    """The field texts of a passage as one array, so analysis is one expression."""
+    return F.array(
         *[
             F.struct(F.lit(f.name).alias("field"), F.lit(f.analyzer).alias("analyzer"), F.col(f.source).alias("body"))
-            for f in wanted
+            for f in fields
+            if _has(df, f.source)
         ]
     )
-    rows = passages.select("passage_id", F.inline(texts)).filter(F.col("body").isNotNull())
-    return rows.select(
-        "passage_id", "field", analyze(F.col("body"), F.col("analyzer")).alias("terms")
-    )
 
 
 def _has(df: DataFrame, path: str) -> bool:
@@ -78,26 +66,60 @@ def _has(df: DataFrame, path: str) -> bool:
     return True
 
 
-def postings(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``field, term, passage_id, tf, len, norm``: one row per distinct term of a field.
+def index_rows(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
+    """``passage_id, entries``: all terms of a passage in one row.
 
-    ``len`` is the number of terms in the field and ``norm`` the length of its vector of
-    ``1 + ln(tf)`` weights.
+    An entry has ``field, term, tf, len, norm``: ``len`` is the number of terms in the field
+    and ``norm`` the length of its vector of ``1 + ln(tf)`` weights.
     """
-    counted = field_terms(passages, fields).select(
-        "passage_id", "field", F.size("terms").alias("len"), _counts(F.col("terms")).alias("entries")
-    )
-    norm = F.sqrt(
-        F.aggregate(
-            "entries",
-            F.lit(0.0),
-            lambda acc, e: acc + F.pow(1 + F.log(e["tf"].cast("double")), F.lit(2.0)),
-        )
+
+    def of_field(t: Column) -> Column:
+        def count(terms: Column) -> Column:
+            return F.transform(
+                F.array_distinct(terms),
+                lambda w: F.struct(w.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, w))).alias("tf")),
+            )
+
+        def measured(counts: Column) -> Column:
+            def shaped(size: Column) -> Column:
+                return F.transform(
+                    counts,
+                    lambda c: F.struct(
+                        t["field"].alias("field"), c["term"].alias("term"), c["tf"].alias("tf"),
+                        size["len"].alias("len"), size["norm"].alias("norm"),
+                    ),
+                )
+
+            zero = F.struct(F.lit(0).alias("len"), F.lit(0.0).alias("sum"))
+            size = F.aggregate(
+                counts,
+                zero,
+                lambda s, c: F.struct(
+                    (s["len"] + c["tf"]).alias("len"),
+                    (s["sum"] + F.pow(1 + F.log(c["tf"].cast("double")), F.lit(2.0))).alias("sum"),
+                ),
+                lambda s: F.struct(s["len"].alias("len"), F.sqrt(s["sum"]).alias("norm")),
+            )
+            return _bind(size, shaped)
+
+        return _bind(_bind(analyze(t["body"], t["analyzer"]), count), measured)
+
+    present_texts = F.filter("texts", lambda t: t["body"].isNotNull())
+    return passages.select("passage_id", _texts(passages, fields).alias("texts")).select(
+        "passage_id", F.flatten(F.transform(present_texts, of_field)).alias("entries")
     )
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """``field, term, passage_id, tf, len, norm`` of index rows: one row per entry."""
+    # the outer form keeps Spark from testing the size of `entries` by computing it twice
     return (
-        counted.withColumn("norm", norm)
-        # the outer form keeps Spark from testing the size of `entries` by computing it twice
-        .select("passage_id", "field", "len", "norm", F.inline_outer("entries"))
+        rows.select("passage_id", F.inline_outer("entries"))
         .filter(F.col("term").isNotNull())
         .select("field", "term", "passage_id", "tf", "len", "norm")
     )
@@ -108,21 +130,12 @@ def vocabulary(postings_df: DataFrame) -> DataFrame:
     return postings_df.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def field_stats(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``field, n_passages, avg_len`` over passages that have the field."""
-    return (
-        field_terms(passages, fields)
-        .select("field", F.size("terms").alias("len"))
-        .groupBy("field")
-        .agg(F.count_if(F.col("len") > 0).alias("n_passages"), F.sum("len").alias("total"))
-        .filter("n_passages > 0")
-        .select("field", "n_passages", (F.col("total") / F.col("n_passages")).alias("avg_len"))
-    )
+def field_stats(postings_df: DataFrame) -> DataFrame:
+    """``field, n_passages, avg_len`` over passages that have the field.
 
-
-def stats_from_postings(postings_df: DataFrame) -> DataFrame:
-    """The same statistics from written postings: lengths are the sum of term counts."""
-    # the counts of one passage's terms add up to its length, so the shares add up to 1
+    The counts of one passage's terms add up to its length, so the shares ``tf / len`` of a
+    field add up to its number of passages, without a distinct count.
+    """
     return (
         postings_df.groupBy("field")
         .agg(F.sum(F.col("tf").cast("long")).alias("total"), F.round(F.sum(F.col("tf") / F.col("len"))).alias("n"))
@@ -134,22 +147,13 @@ def stats_from_postings(postings_df: DataFrame) -> DataFrame:
 class Index:
     """Written tables a search reads."""
 
-    postings: DataFrame
+    rows: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
 
 
 def build_index(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Index:
-    """Analyse ``passages`` once and write the three index tables.
-
-    Postings are partitioned by field, so a search reads the fields it asks for. The
-    statistics come from the written postings instead of a second analysis.
-    """
-    written = materialize(postings(passages, fields), "postings", "field").select(
-        "field", "term", "passage_id", "tf", "len", "norm"
-    )
-    return Index(
-        written,
-        materialize(vocabulary(written), "vocabulary"),
-        materialize(stats_from_postings(written), "field-stats"),
-    )
+    """Analyse ``passages`` once, write the index rows, and count terms from them."""
+    rows = materialize(index_rows(passages, fields), "index-rows")
+    entries = postings(rows)
+    return Index(rows, materialize(vocabulary(entries), "vocabulary"), materialize(field_stats(entries), "field-stats"))

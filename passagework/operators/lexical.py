@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SNIPPET_CHARS, escape_html, sentences, squeeze, strip
-from .common import join_sized, materialize, top_per
+from .common import materialize, top_per
 from .index import FIELDS, Field, Index, analyze
+from .scoring import top_passages
 
 # BM25 parameters (Robertson and Walker) and the typo limits.
 K1 = 1.2
@@ -111,11 +112,12 @@ def near_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     words = tokens.select("field", "token").distinct()
     probes = words.select("field", "token", F.inline(_probes(F.col("token"))))
     parts = vocab.select("field", "term", "df", F.inline(_segments(F.col("term"))))
-    edits = F.levenshtein("token", "term", MAX_EDITS)
+    edits = F.levenshtein("token", "term")
+    reach = F.least(F.lit(MAX_EDITS + 1), F.length("token"), F.length("term"))
     return (
         parts.join(probes, ["field", "len", "part", "segment"])
-        .withColumn("edits", edits)
-        .filter((F.col("edits") >= 0) & (F.col("edits") < F.least(F.length("token"), F.length("term"))))
+        .filter(edits < reach)
+        .select("field", "token", "term", "df", edits.alias("edits"))
         .groupBy("field", "token", "term")
         .agg(F.first("edits").alias("edits"), F.first("df").alias("df"))
     )
@@ -150,23 +152,11 @@ def term_weights(queries: DataFrame, index: Index, fields: tuple[Field, ...] = F
     )
 
 
-def keyword_scores(queries: DataFrame, index: Index, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``query_id, passage_id, score``: BM25 summed over the clauses."""
-    weights = materialize(term_weights(queries, index, fields), "term-weights")
-    hits = join_sized(index.postings, weights, ["field", "term"])
-    tf, length = F.col("tf").cast("double"), F.col("len")
-    scaled = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avg_len")))
-    return hits.groupBy("query_id", "passage_id").agg(
-        F.round(F.sum(F.col("weight") * scaled), 6).alias("score")
-    )
-
-
 def keyword_search(
     queries: DataFrame, index: Index, limit: int = 10, fields: tuple[Field, ...] = FIELDS
 ) -> DataFrame:
-    """``query_id, passage_id, score, rank``: the best ``limit`` passages of every query."""
-    order = [F.col("score").desc(), F.col("passage_id")]
-    return top_per(keyword_scores(queries, index, fields), ["query_id"], order, limit)
+    """``query_id, passage_id, score, rank``: BM25 summed over the clauses, best first."""
+    return top_passages(index.rows, term_weights(queries, index, fields), limit, K1, B)
 
 
 # --- highlights -----------------------------------------------------------------------

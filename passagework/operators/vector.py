@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_sized, materialize, top_per
 from .index import Index, analyze
+from .scoring import top_passages
 
 QUERIES_PER_SCAN = 4096
 
@@ -20,38 +22,31 @@ def candidate_count(limit: int) -> int:
     return min(max(10 * limit, 40), 10_000)
 
 
-def term_vector_scores(queries: DataFrame, index: Index, field: str = "text", analyzer: str = "english") -> DataFrame:
-    """``query_id, passage_id, score``: cosine of query and passage term vectors.
+def term_vector_search(
+    queries: DataFrame, index: Index, limit: int = 10, field: str = "text", analyzer: str = "english"
+) -> DataFrame:
+    """``query_id, passage_id, score, rank``: cosine of query and passage term vectors.
 
     Weights are ``1 + ln(tf)`` for passages and ``(1 + ln(tf)) * ln(1 + n / df)`` for
     queries (the lnc.ltc scheme), so passage norms need no corpus statistics and only the
     query's own terms are looked up.
     """
     counts = (
-        queries.select("query_id", F.explode(analyze(F.col("q"), analyzer)).alias("term"))
+        queries.select("query_id", F.explode_outer(analyze(F.col("q"), analyzer)).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    terms = index.vocabulary.filter(F.col("field") == field).select("term", "df")
-    total = index.stats.filter(F.col("field") == field).select("n_passages")
-    weighted = counts.join(terms, "term").join(F.broadcast(total), how="left").withColumn(
-        "weight", (1 + F.log(F.col("qtf").cast("double"))) * F.log(1 + F.col("n_passages") / F.col("df"))
+    terms = index.vocabulary.filter(F.col("field") == field).select("term", "df", "field")
+    stats = F.broadcast(index.stats)  # one row per searched field
+    idf = F.log(1 + F.col("n_passages") / F.col("df"))
+    weighted = (
+        counts.join(terms, "term")
+        .join(stats, "field")
+        .select("query_id", "field", "term", "avg_len", ((1 + F.log(F.col("qtf").cast("double"))) * idf).alias("weight"))
     )
-    weighted = materialize(weighted.select("query_id", "term", "weight"), "query-vectors")
-    norms = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("q_norm"))
-    unit = weighted.join(norms, "query_id").select("query_id", "term", (F.col("weight") / F.col("q_norm")).alias("weight"))
-    hits = join_sized(index.postings.filter(F.col("field") == field), unit, ["term"])
-    return hits.groupBy("query_id", "passage_id").agg(
-        F.round(F.sum(F.col("weight") * (1 + F.log(F.col("tf").cast("double"))) / F.col("norm")), 6).alias("score")
-    )
-
-
-def term_vector_search(
-    queries: DataFrame, index: Index, limit: int = 10, field: str = "text", analyzer: str = "english"
-) -> DataFrame:
-    """``query_id, passage_id, score, rank`` by term-vector cosine."""
-    order = [F.col("score").desc(), F.col("passage_id")]
-    return top_per(term_vector_scores(queries, index, field, analyzer), ["query_id"], order, limit)
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id")))
+    return top_passages(index.rows, weighted.withColumn("weight", F.col("weight") / norm), limit)
 
 
 def with_filters(vectors: DataFrame, filters: dict[str, object] | None) -> DataFrame:
