@@ -270,7 +270,7 @@ _ARTICLE = f"""
 a0 AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '(?is)<script\\b.*?(?:</script\\s*>|\\z)', '', 'g'), '(?is)<style\\b.*?(?:</style\\s*>|\\z)', '', 'g') AS h FROM pages),
 a1 AS (SELECT *, regexp_extract_all(array_to_string(regexp_extract_all(h, '(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|\\z)', 1), ''), '{pages.CAPTURE}') AS raw FROM a0),
 a2 AS (SELECT page_id, url, html, unnest(range(len(raw))) AS i, unnest(raw) AS r FROM a1),
-a3 AS (SELECT *, {squeeze_sql(unescape_sql("regexp_replace(r, '(?s)<[A-Za-z/!][^>]*>', '', 'g')"))} AS text FROM a2 WHERE regexp_matches(lower(r), '</(?:h2|h3|p|li|pre)\\s*>\\z'))"""
+a3 AS (SELECT *, {squeeze_sql(unescape_sql("regexp_replace(r, '(?s)<[A-Za-z/!][^>]*>', '', 'g')"))} AS text FROM a2 WHERE regexp_extract(lower(r), '</([a-z0-9]+)\\s*>\\z', 1) = lower(regexp_extract(r, '^<([A-Za-z0-9]+)', 1)))"""
 
 
 @query(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MAX_FIELD_CHARS, lines, sentences, squeeze, strip
+from .text import MAX_FIELD_CHARS, bind, lines, sentences, squeeze, strip
 
 CHUNK_CHARS = 900
 WINDOW_LINES = 80
@@ -63,28 +63,34 @@ def pack_prose(text: Column, cap: int = CHUNK_CHARS, overflow: str = "truncate")
     A sentence longer than ``cap`` keeps its first ``cap`` characters with
     ``overflow="truncate"`` and becomes several pieces with ``overflow="split"``.
     """
-    body = squeeze(F.coalesce(text, F.lit("")))
-    pieces = sentences(body)
-    if overflow == "split":
-        pieces = F.flatten(F.transform(pieces, lambda s: slices_of(s, cap)))
-    else:
-        pieces = F.transform(pieces, lambda s: F.left(s, F.lit(cap)))
-    return (
-        F.when(body == "", no_strings())
-        .when(F.length(body) <= cap, F.array(body))
-        .otherwise(pack(pieces, cap, " "))
-    )
+
+    def packed(body: Column) -> Column:
+        pieces = sentences(body)
+        if overflow == "split":
+            pieces = F.flatten(F.transform(pieces, lambda s: slices_of(s, cap)))
+        else:
+            pieces = F.transform(pieces, lambda s: F.left(s, F.lit(cap)))
+        return (
+            F.when(body == "", no_strings())
+            .when(F.length(body) <= cap, F.array(body))
+            .otherwise(pack(pieces, cap, " "))
+        )
+
+    return bind(squeeze(F.coalesce(text, F.lit(""))), packed)
 
 
 def pack_code(code: Column, cap: int = CHUNK_CHARS) -> Column:
     """Lines packed up to ``cap`` characters, breaks kept, overlong lines cut hard."""
-    body = F.regexp_replace(F.coalesce(code, F.lit("")), r"^\n+|\n+$", "")
-    pieces = F.flatten(F.transform(lines(body), lambda line: slices_of(line, cap)))
-    return (
-        F.when(body == "", no_strings())
-        .when(F.length(body) <= cap, F.array(body))
-        .otherwise(pack(pieces, cap, "\n"))
-    )
+
+    def packed(body: Column) -> Column:
+        pieces = F.flatten(F.transform(lines(body), lambda line: slices_of(line, cap)))
+        return (
+            F.when(body == "", no_strings())
+            .when(F.length(body) <= cap, F.array(body))
+            .otherwise(pack(pieces, cap, "\n"))
+        )
+
+    return bind(F.regexp_replace(F.coalesce(code, F.lit("")), r"^\n+|\n+$", ""), packed)
 
 
 def with_heading(heading: Column, piece: Column) -> Column:
@@ -157,9 +163,7 @@ def window_lines(
                 F.concat(s["out"], F.array(F.struct(at.alias("at"), n.alias("n")))).alias("out"),
             )
 
-        # the one-element transform binds the count so it is computed once
-        emitted = F.element_at(F.transform(F.array(F.greatest(taken(at), F.lit(1))), emit), 1)
-        return F.when(at == s["next"], emitted).otherwise(s)
+        return F.when(at == s["next"], bind(F.greatest(taken(at), F.lit(1)), emit)).otherwise(s)
 
     spans = F.when(total == 0, F.array().cast("array<struct<at:int,n:int>>")).otherwise(
         F.aggregate(F.sequence(F.lit(0), total - 1), zero, step, lambda s: s["out"])
@@ -222,7 +226,6 @@ def pack_source(
                 )
             )
 
-        return F.element_at(F.transform(F.array(marks), split), 1)
+        return bind(marks, split)
 
-    # one-element transforms bind the line array and the marks, so each is computed once
-    return F.element_at(F.transform(F.array(lines(source)), cut), 1)
+    return bind(lines(source), cut)

@@ -7,6 +7,7 @@ space and the other space characters), which Java's ``\\s`` does not cover.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ MAX_FIELD_CHARS = 8000  # longest `text` or `code` a passage may hold
 SNIPPET_CHARS = 420
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def present(c: Column) -> Column:
     """Null for null and for the empty string."""
     return F.nullif(c, F.lit(""))
@@ -43,10 +49,12 @@ def strip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without their breaks; a trailing break adds no empty line."""
-    parts = F.split(F.coalesce(c, F.lit("")), LINE_BREAK)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    def drop_last_blank(parts: Column) -> Column:
+        return F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts)
+
+    return bind(F.split(F.coalesce(c, F.lit("")), LINE_BREAK), drop_last_blank)
 
 
 def sentences(squeezed: Column) -> Column:

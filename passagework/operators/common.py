@@ -73,9 +73,19 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: int, ran
 
 
 def latest_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the one greatest in ``order``. Partial aggregation, no window."""
+    """One row per key: the one greatest in ``order``. Partial aggregation, no window.
+
+    Rows equal in ``order`` are decided by their other columns, so the result does not
+    depend on the order of arrival; maps and variants have no order and count as JSON.
+    """
     rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
+    types = dict(df.dtypes)
+
+    def ordered(name: str) -> Column:
+        plain = "map<" not in types[name] and "variant" not in types[name]
+        return F.col(name) if plain else F.to_json(F.struct(F.col(name))).alias(name)
+
+    ordering = F.struct(*[ordered(c) for c in order], *[ordered(c) for c in rest if c not in order])
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordering).alias("_row")).select(
         *keys, *[F.col("_row")[c].alias(c) for c in rest]
     ).select(*df.columns)

@@ -144,9 +144,9 @@ def _table_of(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
 def _entries(lengths: DataFrame, keys: list[str], cap: int, n_blocks: int, fan: int) -> DataFrame:
     """``keys, _block, held, before``: what every block finds open, and passages before it."""
     schema = lengths.select(*keys, "_block").schema
-    table_schema = T.StructType(schema.fields)
-    table_schema = table_schema.add("leaves", "array<int>").add("opens", "array<bigint>")
-    entry_schema = T.StructType(schema.fields).add("held", "int").add("before", "bigint")
+    table_schema = T.StructType(list(schema.fields))
+    table_schema = table_schema.add("leaves", T.ArrayType(T.IntegerType())).add("opens", T.ArrayType(T.LongType()))
+    entry_schema = T.StructType(list(schema.fields)).add("held", T.IntegerType()).add("before", T.LongType())
 
     @F.pandas_udf("struct<leaves:array<int>,opens:array<bigint>>")
     def table(counts: pd.Series) -> pd.DataFrame:

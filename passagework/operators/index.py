@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import english_terms, standard_terms
+from ..functions.text import bind
 from .common import materialize
 
 
@@ -100,9 +101,9 @@ def index_rows(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
                 ),
                 lambda s: F.struct(s["len"].alias("len"), F.sqrt(s["sum"]).alias("norm")),
             )
-            return _bind(size, shaped)
+            return bind(size, shaped)
 
-        return _bind(_bind(analyze(t["body"], t["analyzer"]), count), measured)
+        return bind(bind(analyze(t["body"], t["analyzer"]), count), measured)
 
     present_texts = F.filter("texts", lambda t: t["body"].isNotNull())
     return passages.select("passage_id", _texts(passages, fields).alias("texts")).select(
@@ -110,11 +111,6 @@ def index_rows(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
     )
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def postings(rows: DataFrame) -> DataFrame:
     """``field, term, passage_id, tf, len, norm`` of index rows: one row per entry."""
     # the outer form keeps Spark from testing the size of `entries` by computing it twice

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, squeeze, strip, strip_tags
+from ..functions.text import WS, bind, squeeze, strip, strip_tags
 
 CUE = "struct<start_ms:bigint,end_ms:bigint,text:string>"
 CAPTION_JSON = "struct<events:array<struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string>>>>>"
@@ -59,7 +59,7 @@ def subtitle_cues(body: Column) -> Column:
                 ),
             )
 
-        return F.element_at(F.transform(F.array(rows), from_stamp), 1)
+        return bind(rows, from_stamp)
 
     return F.filter(F.transform(blocks, cue), lambda c: c.isNotNull() & (c["text"] != ""))
 
