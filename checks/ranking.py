@@ -161,40 +161,49 @@ def semantic_topk(spark, sf):
     return term_vector_search(benchmark_queries(spark, sf), index, 10)
 
 
-_KNN = """
-n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS s FROM n),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / (q.s * c.s), 6) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id),
-knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10)"""
+# One query vector per label: the mean of the label's vectors.
+_CENTROIDS = """
+n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS s FROM n),
+dim AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM n),
+mean AS (SELECT label, i, avg(x) AS x FROM dim GROUP BY ALL),
+q0 AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM mean GROUP BY label),
+q AS (SELECT query_id, v, sqrt(list_inner_product(v, v)) AS s FROM q0)"""
+
+
+def _knn_sql(limit: int, keep: str) -> str:
+    return f"""WITH {_CENTROIDS},
+d AS (SELECT query_id, vec_id, round(list_inner_product(q.v, u.v) / (q.s * u.s), 6) AS score FROM q CROSS JOIN u WHERE {keep})
+SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= {limit}"""
+
+
+def _vectors(spark, sf):
+    vectors = read_table(spark, sf, "embeddings")
+    mean = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(
+        F.avg(F.col("x").cast("double")).alias("x")
+    )
+    # one row per dimension, so a list is as long as a vector
+    centroids = mean.groupBy(F.col("label").alias("query_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda d: d["x"]).alias("embedding")
+    )
+    return centroids, vectors
 
 
-@query("knn_exact", f"WITH {_KNN} SELECT query_id, vec_id, score, rank::INT AS rank FROM knn")
+@query("knn_exact", _knn_sql(50, "true"))
 def knn_all(spark, sf):
-    vectors = read_table(spark, sf, "embeddings", "vec_id", "embedding")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
-    return knn_exact(queries, vectors, 10, exclude_self=True)
+    return knn_exact(*_vectors(spark, sf), 50)
 
 
-@query(
-    "knn_filtered",
-    """WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-u AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS s FROM n),
-top AS (SELECT max(label) AS label FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / (q.s * c.s), 6) AS score FROM u q JOIN u c ON true JOIN top ON c.label = top.label)
-SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 5""",
-)
+@query("knn_filtered", _knn_sql(20, "u.label = (SELECT max(label) FROM embeddings)"))
 def knn_filtered(spark, sf):
-    vectors = read_table(spark, sf, "embeddings")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    centroids, vectors = _vectors(spark, sf)
     label = vectors.agg(F.max("label")).first()[0]
-    return knn_exact(queries, vectors, 5, filters={"label": label})
+    return knn_exact(centroids, vectors, 20, filters={"label": label})
 
 
 @query("knn_approximate")
 def knn_buckets(spark, sf):
-    vectors = read_table(spark, sf, "embeddings", "vec_id", "embedding")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
-    return knn_approximate(queries, vectors, 64, 10)
+    return knn_approximate(*_vectors(spark, sf), 64, 50)
 
 
 def _lists(spark, sf):

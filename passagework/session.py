@@ -19,6 +19,8 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # passages differ in size: bound Arrow batches by bytes as well as by rows
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     }
     settings.update(conf)
     for key, value in settings.items():
