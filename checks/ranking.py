@@ -59,9 +59,9 @@ def letters(column: str) -> str:
 
 EXPANSIONS = f"""
 tokens AS (SELECT DISTINCT field, term AS token FROM qt WHERE fuzzy),
-sized AS (SELECT field, token, unnest([-2, -1, 0, 1, 2]) + length(token) AS size FROM tokens),
-words AS (SELECT field, term, df, length(term) AS size FROM vocab),
-near AS (SELECT t.field, t.token, v.term, v.df, levenshtein({letters("t.token")}, {letters("v.term")}) AS edits
+sized AS (SELECT field, token, unnest([-2, -1, 0, 1, 2]) + length(token) AS size, {letters("token")} AS plain FROM tokens),
+words AS (SELECT field, term, df, length(term) AS size, {letters("term")} AS plain FROM vocab),
+near AS (SELECT t.field, t.token, v.term, v.df, levenshtein(t.plain, v.plain) AS edits
   FROM sized t JOIN words v ON v.field = t.field AND v.size = t.size),
 close AS (SELECT *, row_number() OVER (PARTITION BY field, token ORDER BY edits, df DESC, term) AS n FROM near
   WHERE edits <= 2 AND edits < least(length(token), length(term))),

@@ -23,7 +23,7 @@ def test_stems(value):
     pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file",
              "happy": "happi", "relational": "relat", "gaming": "game", "generalizations": "gener", "sensibiliti": "sensibl", "adoption": "adopt", "controll": "control"}
     assert value(english_terms, " ".join(pairs)) == list(pairs.values())
-    assert value(english_terms, "The dog's updateZone_Key is UP") == ["dog", "updatezone_kei", "up"]
+    assert value(english_terms, "The dog's moveTile_Key is UP") == ["dog", "movetile_kei", "up"]
 
 
 def levenshtein(a, b):
@@ -51,7 +51,7 @@ def table(spark):
         ("episode", "e1", "Gaming at scale", "podcast", "p1", "Games Weekly", 0, "Players love gaming. Databases store players.", None),
         ("episode", "e1", "Gaming at scale", "podcast", "p1", "Games Weekly", 1, "Sharding splits data across machines.", None),
         ("post", "b1", "Vector search", "blog", "bl", "The Blog", 0, "Semantic search finds similar passages.", None),
-        ("file", "r:zones.ts", "zones.ts", "repository", "r", "Coin Race", 0, "zones.ts defines updateZone", "function updateZone(a) { return a }"),
+        ("file", "r:tiles.ts", "tiles.ts", "repository", "r", "Kite Club", 0, "tiles.ts defines moveTile", "function moveTile(a) { return a }"),
         ("snippet", "s1", "Retry", None, None, None, 0, "Retry with jitter & <care>, É clair.", None),
     ]
     df = spark.createDataFrame(rows, "type string, id string, title string, pt string, pid string, ptitle string, n int, text string, code string")
@@ -68,13 +68,13 @@ def ask(spark, *texts):
 def test_whole_search(spark):
     passages = table(spark)
     index = build_index(passages)
-    texts = ("gsming", "similar passages", "updateZone", "& <care", "qqqq wwww", "retty")
+    texts = ("gsming", "similar passages", "moveTile", "& <care", "qqqq wwww", "retty")
     rows = {r.query_id: r for r in search(ask(spark, *texts), passages, index, limit=3).collect()}
     assert rows[0].groups[0].header.id == "p1" and rows[0].mode == "keyword"
     assert rows[1].groups[0].assets[0].asset.id == "b1" and rows[1].mode == "rrf"
     assert "<mark>similar</mark> <mark>passages</mark>" in rows[1].groups[0].assets[0].passages[0].passage.snippet_html
     file_hit = rows[2].groups[0].assets[0]
-    assert rows[2].mode.endswith("+code") and file_hit.asset.id == "r:zones.ts" and "code" in file_hit.match_types
+    assert rows[2].mode.endswith("+code") and file_hit.asset.id == "r:tiles.ts" and "code" in file_hit.match_types
     assert file_hit.passages[0].passage.href == "https://e.org/x#L7"
     assert rows[3].total >= 1
     assert rows[4].mode is None and rows[4].groups is None and rows[4].total == 0

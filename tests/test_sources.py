@@ -72,11 +72,11 @@ def test_docs_urls(spark, value):
     bad = ["https://w/docs/v8.0/sitemap-0.xml", "https://w/docs/sync/v1.21/install", "https://w/docs/drivers/node/v6.x/sitemap-0.xml", "https://w/x"]
     assert [value(urls.is_current_docs_url, u) for u in good + bad] == [True] * 3 + [False] * 4
     assert value(urls.product, good[0]) == "manual"
-    assert value(urls.product, "https://w/docs/atlas/cli/current/sitemap-0.xml") == "atlas/cli"
+    assert value(urls.product, "https://w/docs/stack/cli/current/sitemap-0.xml") == "stack/cli"
     assert value(lambda c: urls.manual_title(c, {"cli": "The CLI"}), "cli") == "The CLI"
     assert value(lambda c: urls.manual_title(c, {}), "drivers/node-js") == "Node Js"
-    assert value(tx.heading_anchor, "Text Indexes on Self-Managed Déployments!") == "text-indexes-on-self-managed-déployments"
-    assert value(tx.heading_anchor, "$encStr Support") == "encstr-support"
+    assert value(tx.heading_anchor, "Short Notes on Self-Made Bräu!") == "short-notes-on-self-made-bräu"
+    assert value(tx.heading_anchor, "$oneStep Help") == "onestep-help"
     entries = spark.createDataFrame(
         [("https://w/docs/manual/a/", None), ("https://w/docs/manual/a/?x=1", None), ("https://w/docs/other/a", None), ("https://w/docs/manual", "2026-01-01")],
         "loc string, lastmod string",
@@ -134,7 +134,7 @@ def test_app_article(spark):
 
 HTML = """<html><head><title>Plain
  title | Site</title><script type="application/ld+json">{broken</script>
-<script type="application/ld+json">{"@graph":[{"@type":"Person"},{"@type":"Article","headline":"Voyage","datePublished":"2025-02-01T10:00:00Z","author":["Ada",{"name":"Bo"}]}]}</script>
+<script type="application/ld+json">{"@graph":[{"@type":"Person"},{"@type":"Article","headline":"Journey","datePublished":"2025-02-01T10:00:00Z","author":["Ada",{"name":"Bo"}]}]}</script>
 <script>var x = "<article><p>no</p></article>";</script></head><body><p>outside</p>
 <article><style>.x{color:red}</style><!-- <p>hidden</p> --><h2>Why &amp; how</h2><p>First <b>bold</b> &eacute;&#33;<li>inner</li></p><svg><p>drawn</p></svg>
 <pre>
@@ -143,11 +143,11 @@ a &lt; b
 
 
 def test_html_article(spark):
-    df = spark.createDataFrame([("https://w/company/blog/news/voyage/", HTML), ("u", "<p>no article</p>")], "url string, html string")
+    df = spark.createDataFrame([("https://w/company/blog/news/journey/", HTML), ("u", "<p>no article</p>")], "url string, html string")
     rows = pages.articles(df, PREFIX, ORIGIN, "Site").collect()
     assert len(rows) == 1
     a = rows[0]
-    assert (a.uid, a.title, a.author, a.channel, str(a.published_at)) == ("/company/blog/news/voyage", "Voyage", "Ada, Bo", "news", "2025-02-01 10:00:00")
+    assert (a.uid, a.title, a.author, a.channel, str(a.published_at)) == ("/company/blog/news/journey", "Journey", "Ada, Bo", "news", "2025-02-01 10:00:00")
     # the unclosed paragraph swallows what follows, as it has no end tag
     assert [tuple(b) for b in a.blocks] == [("Why & how", "prose", "First bold é!inner"), ("Why & how", "code", "a < b")]
     assert df.select(pages.title_tag(F.col("html"), "Site").alias("t")).first().t == "Plain title"
@@ -164,17 +164,17 @@ def test_transcripts(value):
 PAGE = """
 > For the complete index, see elsewhere
 
-# Text Indexes
+# Short Notes
 
-Text indexes support queries.
+Notes hold a line each.
 
 ## Use Cases
 
-An online shop.
+A small kiosk.
 
 ```javascript
 # not a heading
-db.createIndex()
+makeNote()
 ```text
 still code
 ```
@@ -188,11 +188,11 @@ open fence
 
 def test_markdown_page(value):
     page = value(lambda t: markdown.page_passages(t, "for the complete index"), PAGE)
-    assert page.title == "Text Indexes"
+    assert page.title == "Short Notes"
     assert [(p.text, p.code, p.language, p.anchor) for p in page.passages] == [
-        ("Text Indexes. Text indexes support queries.", None, None, "text-indexes"),
-        ("Use Cases. An online shop.", None, None, "use-cases"),
-        ("Use Cases. not", "# not a heading\ndb.createIndex()\n```text\nstill code", "javascript", "use-cases"),
+        ("Short Notes. Notes hold a line each.", None, None, "short-notes"),
+        ("Use Cases. A small kiosk.", None, None, "use-cases"),
+        ("Use Cases. not", "# not a heading\nmakeNote()\n```text\nstill code", "javascript", "use-cases"),
         ("Use Cases. after", None, None, "use-cases"),
         ("Use Cases. tail", None, None, "use-cases"),
         ("Use Cases. open", "open fence", None, "use-cases"),
@@ -204,7 +204,7 @@ def test_markdown_page(value):
 
 def test_repository(spark, tmp_path):
     files = {
-        "README.md": b"# \n# Coin Race\n\nShort.\n\nA two-player coin collecting game with many rules.\n", "src/game.ts": b"export function collectCoin(p) {\n}\nexport function zone(a) {\n}\n",
+        "README.md": b"# \n# Kite Club\n\nShort.\n\nA two-player kite flying game with many rules.\n", "src/game.ts": b"export function gatherLeaf(p) {\n}\nexport function zone(a) {\n}\n",
         "node_modules/x.ts": b"x", ".git/y.py": b"x", "a/.hidden.py": b"x", "yarn.lock": b"x", "notes.txt": b"x", "bin.py": b"a\0b", "big.py": b"x" * 200001, "deep/readme.md": b"other", "ok.PY": b"hello\n",
     }
     for name, body in files.items():
@@ -216,10 +216,10 @@ def test_repository(spark, tmp_path):
     assert set(rows) == {"README.md", "src/game.ts", "deep/readme.md", "ok.PY"}
     assert rows["ok.PY"].ref == hashlib.sha1(b"blob 6\0hello\n").hexdigest() and rows["ok.PY"].language == "python"
     readme = repo.readmes(found)
-    assert readme.first().title == "Coin Race"
+    assert readme.first().title == "Kite Club"
     passages = repo.file_passages(found, readme).orderBy("path", "chunk_index").collect()
     game = [p for p in passages if p.path == "src/game.ts"]
-    assert game[0].text == "src/game.ts. defines collectCoin, zone. A two-player coin collecting game with many rules."
+    assert game[0].text == "src/game.ts. defines gatherLeaf, zone. A two-player kite flying game with many rules."
     assert (game[1].text, game[1].start_line) == ("src/game.ts zone", 3)
     assert [p.text for p in passages if p.path == "deep/readme.md"] == ["other"]
 
