@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,27 +17,34 @@ BROADCAST_BYTES = 256 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where that setting is missing, as in tests.
+    A temporary folder serves only where the setting is missing and driver and executors
+    are one process (``local[n]``); on a cluster the missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
-        else:
+        elif re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             folder = tempfile.mkdtemp(prefix="passagework-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/passagework-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a recomputation, and
-    gives later joins real sizes.
+    gives later joins real sizes. ``release`` deletes what a session has written.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -44,6 +52,12 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; their DataFrames end with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a side before it is broadcast: bounded row count, then total row size."""
     width = F.octet_length(F.to_json(F.struct("*"))).cast("long")
