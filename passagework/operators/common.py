@@ -59,9 +59,9 @@ def release(spark: SparkSession) -> None:
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a side before it is broadcast: bounded row count, then total row size."""
+    """Measure a side before it is broadcast: its rows and their total size, summed in all tasks."""
     width = F.octet_length(F.to_json(F.struct("*"))).cast("long")
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    seen = df.agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
     return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
