@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, langid, mixing, secrets, sharding, urls
+from passagework.llm import bpe, exact_search, hnsw, langid, mixing, near_dups, secrets, sharding, urls
 from passagework.llm.common import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,47 @@ def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).drop("text")
+
+
+@query(
+    "op3_exact_topk",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""",
+)
+def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_search.exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5, lambda x: F.floor(x * 256).cast("double"))
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query(
+    "op10_near_dups",
+    r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+rare AS (SELECT t FROM tokens GROUP BY t HAVING count(*) > 1),
+shared AS (SELECT tokens.* FROM tokens JOIN rare USING (t)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) + any_value(b.n) - count(*) AS u
+  FROM shared a JOIN shared b ON a.t = b.t AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85 GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * i >= 85 * u),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+""",
+)
+def op10_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = near_dups.near_duplicates(docs, shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
