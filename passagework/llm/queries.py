@@ -109,7 +109,7 @@ def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return sharding.shard_documents(docs).drop("text")
+    return sharding.shard_documents(docs, keep=["doc_id"])
 
 
 @query(

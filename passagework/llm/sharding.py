@@ -82,7 +82,7 @@ def plan_groups(groups: DataFrame, shards: int, exact_groups: int) -> DataFrame:
     return placed.unionByName(dealt)
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", exact_groups: int = 100_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", exact_groups: int = 100_000, keep: list[str] | None = None) -> DataFrame:
     """Add ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``.
 
     The law is ``bytes``: the shards' sizes are near equal. Rows of one text stay
@@ -92,11 +92,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
 
     Null texts have size 1 and checksum 0 and are a group apart from the empty text.
     Repeated rows and repeated or null ids get slots of their own. An empty table gives
-    an empty table. Columns with one of the added names are replaced.
+    an empty table. Columns with one of the added names are replaced. ``keep`` names the
+    input columns to return (all); without the text, no text is written or shuffled.
     """
     group, cell = fresh(docs, "_group", "_cell")
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
     body = F.col(text)
     rows = materialize(
         docs.select(
