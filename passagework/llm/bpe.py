@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +22,41 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Words: a run of other characters with the space before it, or white space that no run takes.
 #: A pre-token never crosses the ends of such a word, so words can be encoded on their own.
 WORD = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
-CHARS_PER_STEP = 4_000_000
+CHARS_PER_STEP = 1_000_000
+#: Pre-tokens of byte-level BPE files (a fixed value of the format).
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> Tokenizer:
+    """The tokenizer of a file, kept as long as the Python worker."""
+    return Tokenizer(path)
 
 
 class Tokenizer:
-    """A tokenizer file in memory: encodes words, knows the special tokens and the pieces."""
+    """A byte-level BPE file in memory: encodes words, knows special tokens and pieces.
 
-    def __init__(self, path: str):
-        import json
+    The file's ids must follow its merges, which makes an id the rank of its merge.
+    """
 
-        import tokenizers
+    def __init__(self, path: str):
+        import tiktoken
 
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        self.inner = tokenizers.Tokenizer.from_str(json.dumps(said | {"truncation": None, "padding": None}))
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
+        shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
+        rest = [b for b in range(256) if b not in set(shown)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in said["model"]["vocab"].items() if piece not in self.special}
+        merges = ("".join(m.split(" ") if isinstance(m, str) else m) for m in said["model"]["merges"])
+        order = [said["model"]["vocab"][m] for m in merges]
+        if order != sorted(order) or said["normalizer"] or said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError(f"{path} is no byte-level BPE whose ids follow its merges")
+        self.pieces = [b""] * (1 + max(*ranks.values(), *self.special.values()))
+        for piece, i in [*ranks.items(), *((text.encode(), i) for text, i in self.special.items())]:
+            self.pieces[i] = piece
+        self.merge = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.find = re.compile(WORD).findall
@@ -44,29 +68,16 @@ class Tokenizer:
         return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.find(part))]
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.inner.encode_batch(words, add_special_tokens=False)]
-
-    def pieces(self) -> list[bytes]:
-        """Bytes of every id: the id-to-piece table."""
-        shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
-        rest = [b for b in range(256) if b not in set(shown)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-        out = []
-        for i in range(self.inner.get_vocab_size(with_added_tokens=True)):
-            piece = self.inner.id_to_token(i) or ""
-            known = all(c in byte_of for c in piece)
-            out.append(bytes(byte_of[c] for c in piece) if known else piece.encode())
-        return out
+        return [[self.special[w]] if w in self.special else self.merge(w) for w in words]
 
 
 class Table:
     """Words and their ids as flat arrays, with the place of each word."""
 
-    def __init__(self, words: list[str], ids: list[list[int]]):
+    def __init__(self, words: list[str], sizes: np.ndarray, flat: np.ndarray):
         self.place = dict(zip(words, range(len(words))))
-        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1] if len(ids) else np.empty(0, np.int64)
-        self.flat = np.fromiter((i for x in ids for i in x), np.int32, int(self.sizes.sum()))
+        self.sizes, self.flat = sizes, flat
+        self.starts = np.cumsum(sizes) - sizes
 
 
 def joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,7 +109,7 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", words: int =
     """
 
     def count(batches):
-        own = Tokenizer(tokenizer)
+        own = tokenizer_of(tokenizer)
         for batch in batches:
             for run in steps(batch.column(0)):
                 seen = Counter()
@@ -108,7 +119,7 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", words: int =
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
     def encode(batches):
-        own = Tokenizer(tokenizer)
+        own = tokenizer_of(tokenizer)
         for batch in batches:
             ids = own.encode(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
@@ -122,28 +133,33 @@ def encoded(spark: SparkSession, table: DataFrame, tokenizer: str, text: Column)
     """Ids of a text as the tokenizer gives them for the whole text; null is the empty text.
 
     Frequent words are joined by position from the broadcast ``word_table``. A word beyond
-    it is encoded once in each step of its task (up to 4 million characters) and joined the same way, so every
+    it is encoded once in each step of its task (a million characters) and joined the same way, so every
     word of every text has its ids and nothing is moved.
     """
     rows = table.toArrow()
-    shared = spark.sparkContext.broadcast((rows["word"].to_pylist(), rows["ids"].to_pylist()))
+    ids = rows["ids"].combine_chunks()
+    sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared = spark.sparkContext.broadcast((rows["word"].to_pylist(), sizes, ids.flatten().to_numpy()))
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, known = Tokenizer(tokenizer), Table(*shared.value)
+        own, known = tokenizer_of(tokenizer), Table(*shared.value)
         for texts in batches:
-            flats, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+            flats, sizes, base = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], len(known.place)
             for bodies in steps(texts):
                 words = [own.words(body) for body in bodies]
                 flat = [w for ws in words for w in ws]
-                rare = list({w for w in flat if w not in known.place})
-                extra = Table(rare, own.encode(rare))
-                base = len(known.place)
-                place = extra.place
-                at = np.fromiter((known.place[w] if w in known.place else base + place[w] for w in flat), np.int64, len(flat))
-                all_sizes = np.concatenate((known.sizes, extra.sizes))
-                all_starts = np.concatenate((known.starts, extra.starts + len(known.flat)))
-                ids = np.concatenate((known.flat, extra.flat))
+                place = known.place.get
+                rare = [w for w, at in zip(flat, map(place, flat)) if at is None]
+                rare = dict(zip(rare, range(len(rare))))
+                rare = dict(zip(rare, range(base, base + len(rare))))
+                coded = own.encode(list(rare))
+                extra = np.fromiter(map(len, coded), np.int64, len(coded))
+                at = np.fromiter((rare[w] if i is None else i for w, i in zip(flat, map(place, flat))), np.int64, len(flat))
+                more = np.fromiter(chain.from_iterable(coded), np.int32, int(extra.sum()))
+                all_sizes = np.concatenate((known.sizes, extra))
+                all_starts = np.concatenate((known.starts, np.cumsum(extra) - extra + len(known.flat)))
+                ids = np.concatenate((known.flat, more))
                 each = all_sizes[at]
                 flats.append(ids[joined(all_starts[at], each)])
                 ends = np.cumsum([len(ws) for ws in words])
@@ -175,7 +191,7 @@ def decoded(tokenizer: str, ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Tokenizer(tokenizer).pieces() + [b""]
+        pieces = tokenizer_of(tokenizer).pieces + [b""]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(pieces), np.uint8)
