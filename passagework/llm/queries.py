@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, exact_search, hnsw, langid, mixing, near_dups, secrets, sharding, urls
+from passagework.llm import bpe, exact_search, hnsw, langid, mixing, near_dups, secrets, sharding, toxicity, urls
 from passagework.llm.common import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,12 @@ def op10_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = near_dups.near_duplicates(docs, shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")).filter(fold("doc_id", 4) != 2)
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
