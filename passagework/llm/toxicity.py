@@ -21,20 +21,32 @@ SPAN = 6  # characters that a subsequence of three may stretch over
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 FILTER_BITS = 20
 WORDS_PER_STEP = 20_000
-KNOWN_WORDS = 300_000
-EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~¡«»¿…“”‘’"
-LEAST = 0.25  # similarities below count as none
+KNOWN_WORDS = 500_000
+PART = 6  # characters of the start and the end that stand for a longer word
+SHARP = 0.2  # width of the exponential of the normalised kernel
+LONGEST = 16
+SINGLE = frozenset("bcdefghijklmnopqrstuvwxyz")
+NO_LETTER = re.compile(r"[\W\d_]+")
+LEAST = 0.5  # normalised kernel values below count as none
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct words of a text, lower-cased, without marks at their ends.
+    """Distinct words of a text, lower-cased, without marks and digits (``i.d-i0ot``: ``idiot``).
 
-    A run of three or more single characters (``i d i o t``) is also taken as one word.
+    A word longer than ``PART`` also counts by its start and its end, so that endings do
+    not hide a stem; beyond ``LONGEST`` only by these. A run of three or more single
+    characters (``i d i o t``) is also a word.
     """
     lowered = text.lower()
-    words = {w.strip(EDGES) for w in set(lowered.split())}
-    words.update("".join(m[0].split()) for m in SPELLED.finditer(lowered))
+    raw = set(lowered.split())
+    words = {w if w.isalpha() else NO_LETTER.sub("", w) for w in raw}
+    if not raw.isdisjoint(SINGLE):
+        words.update(NO_LETTER.sub("", m[0]) for m in SPELLED.finditer(lowered))
+    long = [w for w in words if len(w) > PART]
+    words.update([w[:PART] for w in long])
+    words.update([w[-PART:] for w in long])
+    words.difference_update([w for w in long if len(w) > LONGEST])
     words.discard("")
     return words
 
@@ -70,15 +82,19 @@ def summed(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> tuple[np.
 
 
 class Kernel:
-    """Normalised kernel values between words and fixed landmark words."""
+    """Kernel values between words and fixed landmark words.
+
+    The gap-weighted subsequence kernel, normalised to 1 for equal words and sharpened by
+    an exponential (which keeps it a kernel); far words have 0.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         rows, keys, weights = summed(*subsequences(landmarks))
         norms = np.sqrt(np.bincount(rows, weights**2, len(landmarks)))
-        self.keys = np.unique(keys)
-        self.table = np.zeros((len(self.keys) + 1, len(landmarks)), np.float32)
-        self.table[np.searchsorted(self.keys, keys), rows] = weights / norms[rows]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.owner, self.share = rows[order], (weights / norms[rows])[order]
         self.known = np.zeros(1 << FILTER_BITS, bool)
         self.known[self.slot(self.keys)] = True
 
@@ -88,22 +104,29 @@ class Kernel:
             return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """Matrix words x landmarks; 1 for a landmark itself, 0 without a common subsequence."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if not len(self.keys):
-            return out
+        """Matrix words x landmarks; 1 for a landmark itself, 0 for words far from it."""
+        size = len(self.landmarks)
+        if not len(self.keys) or not words:
+            return np.zeros((len(words), size), np.float32)
         rows, keys, weights = subsequences(words)
-        some = self.known[self.slot(keys)]
-        hits = np.bincount(rows[some], minlength=len(words)) >= 2
-        near = hits[rows]
-        rows, keys, weights = summed(rows[near], keys[near], weights[near])
-        norms = np.sqrt(np.bincount(rows, weights**2, len(words)))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        meets = self.keys[at] == keys
-        rows, at, weights = rows[meets], at[meets], weights[meets]
-        if len(rows):
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            out[rows[first]] = np.add.reduceat(self.table[at] * weights[:, None], first, axis=0) / norms[rows[first], None]
+        some = np.flatnonzero(self.known[self.slot(keys)])
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        meets = self.keys[at] == keys[some]
+        some, at = some[meets], at[meets]
+        # squares summed apart are at most the norm: what stays below LEAST here is below it
+        square = np.maximum(np.bincount(rows, weights**2, len(words)), 1e-9)
+        enough = np.bincount(rows[some], weights[some] ** 2, len(words)) >= LEAST**2 * square
+        some, at = some[enough[rows[some]]], at[enough[rows[some]]]
+        each = self.count[at]
+        spot = np.repeat(self.first[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        cell = np.repeat(rows[some], each) * size + self.owner[spot]
+        product = np.bincount(cell, np.repeat(weights[some], each) * self.share[spot], len(words) * size).reshape(-1, size)
+        close = np.flatnonzero(product.max(1) >= LEAST * np.sqrt(square))
+        out = np.zeros((len(words), size), np.float32)
+        if len(close):
+            own_rows, _, own_weights = summed(*subsequences([words[i] for i in close]))
+            cosine = product[close] / np.sqrt(np.bincount(own_rows, own_weights**2, len(close)))[:, None]
+            out[close] = np.where(cosine >= LEAST, np.exp((np.minimum(cosine, 1) - 1) / SHARP), 0)
         return out
 
 
@@ -111,7 +134,12 @@ class Pool:
     """Highest kernel value of any word of a text, by landmark; remembers words, to a bound."""
 
     def __init__(self, kernel: Kernel):
-        self.kernel, self.rows, self.dull = kernel, {}, set()
+        self.kernel = kernel
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.near: list[np.ndarray] = []
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
@@ -120,23 +148,22 @@ class Pool:
             sets, new, start = [], set(), at
             while at < len(texts) and len(new) < WORDS_PER_STEP:
                 sets.append(words_of(texts[at] or ""))
-                new |= sets[-1] - self.dull - self.rows.keys()
+                new.update(w for w in sets[-1] if w not in self.place)
                 at += 1
-            fresh_words = sorted(new)
-            for a in range(0, len(fresh_words), WORDS_PER_STEP):
-                part = fresh_words[a : a + WORDS_PER_STEP]
+            new_words = sorted(new)
+            for a in range(0, len(new_words), WORDS_PER_STEP):
+                part = new_words[a : a + WORDS_PER_STEP]
                 values = self.kernel.values(part)
-                values[values < LEAST] = 0
-                top = values.max(1, initial=0)
-                for i in np.flatnonzero(top):
-                    self.rows[part[i]] = values[i]
-                self.dull.update(part[i] for i in np.flatnonzero(top == 0))
+                for word, near, row in zip(part, values.any(1), values):
+                    self.place[word] = len(self.near) if near else -1
+                    if near:
+                        self.near.append(row)
             for i, words in enumerate(sets):
-                near = words & self.rows.keys()
-                if near:
-                    out[start + i] = np.max([self.rows[w] for w in near], axis=0)
-            if len(self.rows) + len(self.dull) > KNOWN_WORDS:
-                self.rows, self.dull = {}, set()
+                rows = [self.near[p] for p in map(self.place.__getitem__, words) if p >= 0]
+                if rows:
+                    out[start + i] = np.max(rows, axis=0)
+            if len(self.place) > KNOWN_WORDS:
+                self.forget()
         return out
 
 
@@ -173,8 +200,8 @@ def word_labels(sample: DataFrame) -> DataFrame:
 def pick_landmarks(sample: DataFrame, landmarks: int, candidates: int = 1500) -> list[str]:
     """Words that set toxic texts apart, spread over the kernel's space.
 
-    Candidates are the words with the highest standardised difference of their shares (at
-    least 3, at most ``candidates``). Landmarks are taken greedily: the next is the one with the
+    Candidates are the words with the highest standardised difference of their shares (3
+    or more, in two toxic texts or more; at most ``candidates``). Landmarks are taken greedily: the next is the one with the
     highest difference times distance from those taken.
     """
     by_label = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -183,7 +210,7 @@ def pick_landmarks(sample: DataFrame, landmarks: int, candidates: int = 1500) ->
         return []
     share = (F.col("toxic") + F.col("clean")) / (n1 + n0)
     z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share + 1e-9) * (1 / n1 + 1 / n0))
-    rows = word_labels(sample).filter(F.length("word") <= 64).withColumn("z", z).filter("z >= 3").orderBy(F.desc("z"), "word").limit(candidates).collect()
+    rows = word_labels(sample).filter(F.length("word") <= 64).withColumn("z", z).filter("z >= 3 and toxic >= 2").orderBy(F.desc("z"), "word").limit(candidates).collect()
     words, gain = [r["word"] for r in rows], np.array([r["z"] for r in rows])
     if not words:
         return []
@@ -237,7 +264,7 @@ def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost:
     return Model(kernel.landmarks, whiten @ w[:-1], float(w[-1]), float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int = 96) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int = 160) -> Model:
     """Model from at most ``rows`` labelled texts (``doc_id``, ``text``; ``doc_id``, ``label`` 0 or 1).
 
     The sample is the labels with the smallest hashes of their id; rows without text, id or
