@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ FILTER_BITS = 20
 WORDS_PER_STEP = 20_000
 KNOWN_WORDS = 500_000
 PART = 6  # characters of the start and the end that stand for a longer word
-SHARP = 0.2  # width of the exponential of the normalised kernel
+SHARP = 0.35  # width of the exponential of the normalised kernel
 LONGEST = 16
 SINGLE = frozenset("bcdefghijklmnopqrstuvwxyz")
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -226,6 +227,18 @@ def pick_landmarks(sample: DataFrame, landmarks: int, candidates: int = 1500) ->
     return [words[i] for i in taken]
 
 
+def spoiled(text: str) -> str:
+    """The text with one more letter in every word of four or more: a neighbour doubled, or another word's."""
+    out = []
+    for word in text.split():
+        if len(word) >= 4:
+            draw = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+            at = 1 + draw % (len(word) - 1)
+            word = word[:at] + (word[at - 1] if draw & 65536 else text[draw % len(text)].strip() or "x") + word[at:]
+        out.append(word)
+    return " ".join(out)
+
+
 def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost: float = 1.0) -> Model:
     """Linear machine on Nyström features: squared hinge loss, Newton steps on its active set.
 
@@ -268,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
     """Model from at most ``rows`` labelled texts (``doc_id``, ``text``; ``doc_id``, ``label`` 0 or 1).
 
     The sample is the labels with the smallest hashes of their id; rows without text, id or
-    label teach nothing. With one label only, every score is that label's share.
+    label teach nothing. Toxic texts are learned twice, the second time with a letter
+    inserted in every word. With one label only, every score is that label's share.
     """
     spark = docs.sparkSession
     some = labels.filter("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
@@ -287,7 +301,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
             found = pool.features(texts.to_pylist())
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
 
-    table = sample.orderBy("doc_id").select(features("text").alias("f"), "label").toArrow()
+    @F.arrow_udf("string")
+    def spoil(texts: pa.Array) -> pa.Array:
+        return pa.array([spoiled(t) for t in texts.to_pylist()], pa.string())
+
+    twice = sample.unionByName(sample.filter("label = 1").withColumn("text", spoil("text")))
+    table = twice.orderBy("doc_id").select(features("text").alias("f"), "label").toArrow()
     grid = np.array(table["f"].to_pylist(), np.float32)
     return fit_machine(grid, table["label"].to_numpy(), Kernel(picked))
 
