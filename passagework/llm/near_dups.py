@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,41 +129,77 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return pairs.filter(same("ta", "tb")).select("a", "b").distinct()
 
 
-def missed_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, m: int, least: int) -> DataFrame:
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """How many of a node's shingles no other node of ``texts`` has: ``node``, ``own``.
+
+    Nodes with more than one row get no count.
+    """
+
+    @F.arrow_udf("array<long>")
+    def sets(column: pa.Array) -> pa.Array:
+        found = [shingle_set(t, size).view(np.int64) for t in column.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+    each = texts.select("node", F.explode(sets("text")).alias("shingle"))
+    single = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
+    several = texts.groupBy("node").count().filter("count > 1")
+    return single.groupBy("node").agg(F.count("*").alias("own")).join(several, "node", "left_anti")
+
+
+def missed_pairs(
+    members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, m: int, band: int, least: int, percent: int, own_of: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Pairs of one bucket that the pivots have left in different components.
 
     A bucket needs this only where a member is not in its pivot's component (a minor
-    member). Its minors are compared with all of its members, signature against signature:
-    small buckets by a join, large ones in blocks of bounded size. Nothing is capped.
+    member). Two exact bounds come first. Of ``n`` shingles ``own`` stand in no other
+    member of such buckets (``own_of``), so a pair shares at most the smaller ``n - own``;
+    a member that this keeps from every partner goes, and so does every pair below the
+    threshold. The minors left are compared with all members left, signature against
+    signature: small buckets by a join, large ones in blocks of bounded size, each pair
+    in the first band it shares. Nothing is capped.
     """
     own = members.join(labels.select(F.col("id").alias("node"), F.col("component")), "node", "left").withColumn("label", F.coalesce("component", "node"))
     hubs = own.filter("node = hub").select("bucket", F.col("label").alias("hub_label"))
-    own = materialize(own.join(hubs, "bucket").select("bucket", "node", "n", "label", (F.col("label") != F.col("hub_label")).alias("minor")), "dup-buckets")
-    split = own.filter("minor").groupBy("bucket").agg(F.count("*").alias("minors"))
-    split = materialize(own.join(split, "bucket"), "dup-buckets").filter("n > 2")
-    small, large = split.filter(F.col("n") <= SMALL_BUCKET), split.filter(F.col("n") > SMALL_BUCKET)
-    one = small.filter("minor").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    two = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    few = _pairs(one.join(two, "bucket").filter("la <> lb"))
-    few = few.join(tested, ["a", "b"], "left_anti")
-    many = large.join(nodes, "node")
+    own = materialize(own.join(hubs, "bucket").select("bucket", "band", "node", "label", (F.col("label") != F.col("hub_label")).alias("minor")), "dup-buckets")
+    mixed_buckets = own.filter("minor").select("bucket").distinct()
+    open_rows = materialize(own.join(mixed_buckets, "bucket"), "dup-open")
+    ids = materialize(open_rows.select("node").distinct(), "dup-open-ids")
+    sized = ids.join(nodes.select("node", "n"), "node").join(own_of(ids), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sized = materialize(sized.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "dup-open-sizes")
+    rest = materialize(open_rows.join(sized, "node"), "dup-open")
+    counts = rest.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if("minor").alias("minors"))
+    split = materialize(rest.join(counts.filter("minors > 0 and members > 1"), "bucket"), "dup-open")
+    small, large = split.filter(F.col("members") <= SMALL_BUCKET), split.filter(F.col("members") > SMALL_BUCKET)
+    one = small.filter("minor").select("bucket", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "own")])
+    two = small.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "own")])
+    most = F.least(F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
+    few = one.join(two, "bucket").filter((F.col("label1") != F.col("label2")) & (100 * most >= percent * (F.col("n1") + F.col("n2") - most)))
+    few = _pairs(few.select(F.col("node1").alias("a"), F.col("node2").alias("b"))).join(tested, ["a", "b"], "left_anti")
+    many = large.join(nodes.select("node", "signature"), "node")
     i_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("minors") / MINOR_ROWS))
-    j_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEMBER_ROWS))
+    j_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / MEMBER_ROWS))
     every = lambda n, rows: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / rows) - 1))
-    keep = ["bucket", "node", "label", "signature"]
-    blocks = many.filter("minor").select(*keep, i_of.alias("i"), every("n", MEMBER_ROWS).alias("j"), F.lit(True).alias("left"))
+    keep = ["bucket", "band", "node", "label", "n", "own", "signature"]
+    blocks = many.filter("minor").select(*keep, i_of.alias("i"), every("members", MEMBER_ROWS).alias("j"), F.lit(True).alias("left"))
     blocks = blocks.unionByName(many.select(*keep, every("minors", MINOR_ROWS).alias("i"), j_of.alias("j"), F.lit(False).alias("left")))
 
     def compare(table: pa.Table) -> pa.Table:
-        left = table.filter(table["left"])
-        right = table.filter(pa.compute.invert(table["left"]))
+        left, right = table.filter(table["left"]), table.filter(pa.compute.invert(table["left"]))
         out_a, out_b = [], []
-        grid = np.frombuffer(b"".join(right["signature"].to_pylist()), np.uint16).reshape(-1, m)
-        labels_of, ids = right["label"].to_numpy(), right["node"].to_numpy()
-        for node, label, raw in zip(left["node"].to_pylist(), left["label"].to_pylist(), left["signature"].to_pylist()):
-            near = ((grid == np.frombuffer(raw, np.uint16)).sum(1) >= least) & (labels_of != label)
-            out_a += [node] * int(near.sum())
-            out_b += ids[near].tolist()
+        if right.num_rows:
+            grid = np.frombuffer(b"".join(right["signature"].to_pylist()), np.uint16).reshape(-1, m)
+            labels_of, ids_of, n_of, own_of_ = (right[c].to_numpy() for c in ("label", "node", "n", "own"))
+            here = table["band"][0].as_py()
+            for row in left.to_pylist():
+                top = np.minimum(n_of - own_of_, row["n"] - row["own"])
+                near = np.flatnonzero((labels_of != row["label"]) & (100 * top >= percent * (n_of + row["n"] - top)))
+                same = grid[near] == np.frombuffer(row["signature"], np.uint16)
+                first = same[:, : m // band * band].reshape(len(near), m // band, band).all(2).argmax(1) == here
+                near = near[first & (same.sum(1) >= least)]
+                out_a += [row["node"]] * len(near)
+                out_b += ids_of[near].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     blocked = _pairs(blocks.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")).join(tested, ["a", "b"], "left_anti")
@@ -182,10 +219,11 @@ def near_duplicates(
        components, cut into bands of ``band``: a pair at the least similarity shares no
        band with a chance of ``(1 - s**band) ** (m / band)``, 2e-6 at 0.8.
     2. Every node of a band's bucket is paired with the bucket's smallest id. Pairs whose
-       signatures agree far less than the threshold asks (by 0.25, over 6 deviations) go;
+       signatures agree far less than the threshold asks (5 deviations, a chance of 3e-7) go;
        the others are confirmed on the full sets. Links are grouped by union-find.
     3. Where that leaves members of a bucket in different components, those are compared
-       with all others of the bucket, confirmed, and grouped again. So no pair of a bucket
+       with all others of the bucket that could reach the threshold (``missed_pairs``),
+       confirmed, and grouped again. So no pair of a bucket
        in different components goes untested, and no group is expanded to all its pairs.
 
     Null and empty texts have no shingles and are linked with nothing. A row without an id
@@ -196,7 +234,8 @@ def near_duplicates(
     added = ("n_shingles", "component_id", "kept")
     columns = [c for c in docs.columns if c not in added]
     s, digest, node = fresh(docs, "_set", "_digest", "_node")
-    least = int(m * (percent / 100 - 0.25))
+    share = percent / 100
+    least = math.floor(m * share - 5 * math.sqrt(m * share * (1 - share)))
 
     @F.arrow_udf("struct<n:long,digest:binary,signature:binary>")
     def sign(texts: pa.Array) -> pa.Array:
@@ -207,26 +246,27 @@ def near_duplicates(
     rows = materialize(docs.select(*columns, sign(F.col(text)).alias(s)), "dup-rows")
     linked = rows.filter((F.col(f"{s}.n") > 0) & F.col(doc_id).isNotNull())
     sets = materialize(
-        linked.groupBy(F.col(f"{s}.digest").alias(digest)).agg(F.min(F.col(doc_id).cast("long")).alias(node), F.max(f"{s}.signature").alias("signature")), "dup-sets"
+        linked.groupBy(F.col(f"{s}.digest").alias(digest)).agg(F.min(F.col(doc_id).cast("long")).alias(node), F.max(f"{s}.n").alias("n"), F.max(f"{s}.signature").alias("signature")), "dup-sets"
     )
-    nodes = sets.select(F.col(node).alias("node"), "signature")
+    nodes = sets.select(F.col(node).alias("node"), "n", "signature")
     slices = F.transform(F.sequence(F.lit(0), F.lit(m // band - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 2 * band + 1, F.lit(2 * band))))
-    banded = nodes.select("node", F.explode(slices).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(banded.join(shared, "bucket"), "dup-members")
+    banded = nodes.select("node", F.posexplode(slices).alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    members = materialize(banded.join(shared.select("bucket", "hub"), "bucket"), "dup-members")
     tested = materialize(_pairs(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "dup-tested")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dup-ids")
+    def texts_of(ids: DataFrame) -> DataFrame:
         bodies = linked.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
         return materialize(join_sized(bodies, ids, ["node"]), "dup-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return materialize(verified(pairs, texts_of(pairs), shingle, percent), "dup-links")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dup-ids")
+        return materialize(verified(pairs, texts_of(ids), shingle, percent), "dup-links")
 
     links = confirm(materialize(likely(tested, nodes, m, least), "dup-likely"))
     labels = components(links)
-    missed = materialize(missed_pairs(members, labels, nodes, tested, m, least), "dup-missed")
+    own_of = lambda ids: own_shingles(texts_of(ids), shingle)
+    missed = materialize(missed_pairs(members, labels, nodes, tested, m, band, least, percent, own_of), "dup-missed")
     if missed.limit(1).count():
         labels = components(links.unionByName(confirm(missed)))
     roots = sets.select(digest, node).join(labels.withColumnRenamed("id", node), node, "left")

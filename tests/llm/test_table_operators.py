@@ -281,18 +281,34 @@ def test_missed_pairs_are_all_pairs_across_components(spark):
         s = base.copy()
         s[rng.choice(100, int(rng.integers(0, 60)), replace=False)] = rng.integers(60_000, 65_535)
         signatures.append(s)
-    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(signatures)], "node long, signature binary")
-    members = spark.createDataFrame([(7, i, 0, 40) for i in range(40)], "bucket long, node long, hub long, n long")
+    nodes = spark.createDataFrame([(i, 100 + i, bytearray(s.tobytes())) for i, s in enumerate(signatures)], "node long, n long, signature binary")
+    first = lambda a, b: min((k for k in range(25) if (signatures[a][4 * k : 4 * k + 4] == signatures[b][4 * k : 4 * k + 4]).all()), default=None)
+    bands = {band: [i for i in range(40) if i == 0 or first(0, i) is not None] for band in range(25)}
+    members = spark.createDataFrame([(7 + band, band, i, 0) for band, ids in bands.items() for i in ids], "bucket long, band int, node long, hub long")
     labels = spark.createDataFrame([(i, 0) for i in range(10)], "id long, component long")
     tested = spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long")
-    want = {
-        (a, b) for a in range(1, 40) for b in range(a + 1, 40) if not (a < 10 and b < 10) and (signatures[a] == signatures[b]).sum() >= 60
-    }
-    for limit in (16, 100):
+    rare = {i: i % 5 * 4 for i in range(40)}  # shingles of their own
+    inside = bands[0]
+
+    def possible(a, b):
+        top = min(100 + a - rare[a], 100 + b - rare[b])
+        return (signatures[a] == signatures[b]).sum() >= 60 and 100 * top >= 85 * (200 + a + b - top)
+
+    pairs = {(a, b) for a in inside for b in inside if 0 < a < b and not (a < 10 and b < 10)}
+    want = {p for p in pairs if possible(*p) and first(*p) is not None}
+    own_of = lambda ids: spark.createDataFrame(list(rare.items()), "node long, own long")
+    for limit in (2, 100):
         near_dups.SMALL_BUCKET, before = limit, near_dups.SMALL_BUCKET
-        got = near_dups.missed_pairs(members, labels, nodes, tested, 100, 60)
+        got = near_dups.missed_pairs(members, labels, nodes, tested, 100, 4, 60, 85, own_of)
         near_dups.SMALL_BUCKET = before
-        assert {(r["a"], r["b"]) for r in got.collect()} == want
+        got = {(r["a"], r["b"]) for r in got.collect()}
+        assert want <= got <= {p for p in pairs if possible(*p)}
+    assert 5 < len(want) < len(pairs) / 2
+
+
+def test_own_shingles(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "b c d e"), (3, "x"), (4, "p q r"), (4, "s t u")], "node long, text string")
+    assert {tuple(r) for r in near_dups.own_shingles(texts, 3).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
 def test_super_minhash_estimates_with_less_spread():
