@@ -21,11 +21,11 @@ SPAN = 6  # characters that a subsequence of three may stretch over
 #: Offsets of the second and third character, with the weight of their gaps.
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 FILTER_BITS = 20
-WORDS_PER_STEP = 20_000
-KNOWN_WORDS = 500_000
+WORDS_PER_STEP = 5_000
+KNOWN_WORDS = 250_000
 PART = 6  # characters of the start and the end that stand for a longer word
 SHARP = 0.35  # width of the exponential of the normalised kernel
-LONGEST = 16
+LONGEST = 12
 SINGLE = frozenset("bcdefghijklmnopqrstuvwxyz")
 NO_LETTER = re.compile(r"[\W\d_]+")
 LEAST = 0.5  # normalised kernel values below count as none
@@ -142,13 +142,13 @@ class Pool:
         self.place: dict[str, int] = {}
         self.near: list[np.ndarray] = []
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
         at = 0
         while at < len(texts):  # bounded steps: a text's words are met whole
             sets, new, start = [], set(), at
             while at < len(texts) and len(new) < WORDS_PER_STEP:
-                sets.append(words_of(texts[at] or ""))
+                sets.append(words_of(texts[at].as_py() or ""))
                 new.update(w for w in sets[-1] if w not in self.place)
                 at += 1
             new_words = sorted(new)
@@ -298,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pool = Pool(Kernel(shared.value))
         for texts in batches:
-            found = pool.features(texts.to_pylist())
+            found = pool.features(texts)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
 
     @F.arrow_udf("string")
@@ -320,7 +320,7 @@ def toxicity(spark, model: Model, text: Column) -> Column:
         known = shared.value
         pool = Pool(Kernel(known.landmarks))
         for texts in batches:
-            yield pa.array(known.scores(pool.features(texts.to_pylist())).astype(float))
+            yield pa.array(known.scores(pool.features(texts)).astype(float))
 
     return run(text)
 
