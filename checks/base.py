@@ -31,7 +31,7 @@ ORIGIN = "https://www.example.org"
 
 
 def first_sentence(text):
-    return F.left(F.regexp_extract(text, r"^[^.!?\n]*", 0), F.lit(80))
+    return F.regexp_extract(text, r"^[^.!?\n]*", 0)
 
 
 def document_passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,10 +87,13 @@ def sentences_sql(column: str) -> str:
     return f"string_split(regexp_replace({column}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))"
 
 
+#: A sentence as pieces of 900 characters.
+SLICES = "list_transform(range(greatest(1, ceil(length(s) / 900.0))::BIGINT), lambda i: s[i * 900 + 1 : (i + 1) * 900])"
+
 CHUNKS = f"""
 sq AS (SELECT doc_id, text AS raw, lang, source, {squeeze_sql('text')} AS body FROM documents),
-sents AS (SELECT *, list_transform({sentences_sql('body')}, lambda s: left(s, 900)) AS parts FROM sq WHERE body <> ''),
+sents AS (SELECT *, flatten(list_transform({sentences_sql('body')}, lambda s: {SLICES})) AS parts FROM sq WHERE body <> ''),
 packs AS (SELECT doc_id, raw, lang, source, {packed_sql('parts')} AS pieces FROM sents),
 chunks AS (SELECT doc_id, raw, lang, source, unnest(range(len(pieces))) AS chunk_index, unnest(pieces) AS text FROM packs),
 passages AS (SELECT 'post' || chr(31) || doc_id || chr(31) || chunk_index AS passage_id, doc_id, lang, source, chunk_index, text,
-  coalesce(nullif(left(regexp_extract(raw, '^[^.!?\\n]*'), 80), ''), 'untitled') AS title, source || '/' || lang AS path FROM chunks)"""
+  coalesce(nullif(regexp_extract(raw, '^[^.!?\\n]*'), ''), 'untitled') AS title, source || '/' || lang AS path FROM chunks)"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
 from passagework.functions import urls
+from passagework.functions.text import escape_html
 from passagework.functions.links import passage_link
 from passagework.functions.packing import pack_sections
 from passagework.operators import clips
@@ -15,7 +16,7 @@ from passagework.operators.schema import attrs, lookup_asset, shape_hit
 from passagework.sources import captions, feeds, markdown, pages, repo, sitemaps
 from passagework.sources.tables import read_table
 
-from .base import BLOG, CHUNKS, ORIGIN, document_passages, packed_sql, query, sentences_sql, squeeze_sql, strip_sql
+from .base import BLOG, CHUNKS, ORIGIN, SLICES, document_passages, packed_sql, query, sentences_sql, squeeze_sql, strip_sql
 from .chunking import lines_sql
 
 # --- captions -------------------------------------------------------------------------
@@ -284,7 +285,7 @@ def page_sections(spark, sf):
 
 @query(
     "page_chunks",
-    f"""WITH {_ARTICLE}, b AS (SELECT page_id, i, list_transform({sentences_sql('text')}, lambda s: left(s, 900)) AS parts FROM a3 WHERE text <> ''),
+    f"""WITH {_ARTICLE}, b AS (SELECT page_id, i, flatten(list_transform({sentences_sql('text')}, lambda s: {SLICES})) AS parts FROM a3 WHERE text <> ''),
 k AS (SELECT page_id, i, {packed_sql('parts')} AS pieces FROM b),
 f AS (SELECT page_id, flatten(list(pieces ORDER BY i)) AS all_pieces FROM k GROUP BY page_id)
 SELECT page_id, unnest(range(len(all_pieces)))::INT AS chunk_index, unnest(list_transform(all_pieces, lambda x: trim(x))) AS text FROM f""",
@@ -351,17 +352,18 @@ def rich_text_sections(spark, sf):
 
 @query(
     "page_transcripts",
-    f"""SELECT doc_id, CASE lang WHEN 'fr' THEN text WHEN 'es' THEN NULL ELSE regexp_replace({strip_sql("regexp_replace(text, '<[^>]+>', '', 'g')")}, '^$', '') END AS transcript FROM documents
-WHERE NOT contains(text, '&') AND NOT contains(lower(text), '</') """,
+    f"""SELECT doc_id, CASE lang WHEN 'fr' THEN text WHEN 'es' THEN NULL WHEN 'de' THEN {strip_sql('text')} || '  end'
+  ELSE {strip_sql('text')} END AS transcript FROM documents""",
 )
 def page_transcripts(spark, sf):
-    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang").filter("not contains(text, '&') and not contains(lower(text), '</')")
-    lang = F.col("lang")
-    linked = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.col("text").alias("transcript"))), F.lit("</script>"))
+    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang")
+    lang, shown = F.col("lang"), escape_html(F.col("text"))
+    data = F.replace(F.to_json(F.struct(F.col("text").alias("transcript"))), F.lit("</"), F.lit("<\\/"))
+    linked = F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>"))
     html = (
         F.when(lang == "fr", linked)
-        .when(lang == "de", F.concat(F.lit('<section class="a Transcript b">'), F.col("text"), F.lit("</section>")))
-        .when(lang == "en", F.concat(F.lit('<div id="transcript">'), F.col("text"), F.lit("</div>")))
+        .when(lang == "de", F.concat(F.lit('<section class="a Transcript b"><section>'), shown, F.lit("</section><p> end</p></section><section>no</section>")))
+        .when(lang == "en", F.concat(F.lit('<div>before</div><div id="transcript">'), shown, F.lit("</div><div>after</div>")))
         .otherwise(F.concat(F.lit("<div>"), F.col("text"), F.lit("</div>")))
     )
     return docs.select("doc_id", pages.page_transcript(html).alias("transcript"))
@@ -373,7 +375,7 @@ def page_transcripts(spark, sf):
 @query(
     "markdown_passages",
     f"""WITH t AS (SELECT doc_id, translate(text, '#`>', '   ') AS text FROM documents),
-b AS (SELECT doc_id, list_transform({sentences_sql(squeeze_sql('text'))}, lambda s: left(s, 900)) AS parts FROM t WHERE {squeeze_sql('text')} <> ''),
+b AS (SELECT doc_id, flatten(list_transform({sentences_sql(squeeze_sql('text'))}, lambda s: {SLICES})) AS parts FROM t WHERE {squeeze_sql('text')} <> ''),
 k AS (SELECT doc_id, {packed_sql('parts')} AS pieces FROM b),
 p AS (SELECT doc_id, unnest(range(len(pieces))) AS i, unnest(list_transform(pieces, lambda x: trim(x))) AS piece FROM k),
 m AS (SELECT doc_id, i, CASE WHEN starts_with(piece, 'Page ' || doc_id) THEN piece ELSE 'Page ' || doc_id || '. ' || piece END AS text, NULL::VARCHAR AS code,
@@ -400,7 +402,8 @@ _EXT = "CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.md' WHEN 'de' THEN '.ts'
 def _files(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
     ext = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".md").when(F.col("lang") == "de", ".ts").otherwise(".txt")
-    content = F.encode("text", "UTF-8")
+    # every third file ends with a byte that is no UTF-8
+    content = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("E9"))).otherwise(F.unhex(F.lit(""))))
     return docs.select(
         F.col("source").alias("repo"), F.concat(F.lit("src/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), ext).alias("path"),
         content.alias("content"), F.octet_length(content).cast("long").alias("length"),
@@ -408,17 +411,18 @@ def _files(spark, sf):
 
 
 _FILES = f"""
-fs AS (SELECT source AS repo, 'src/' || lang || '/d' || doc_id || {_EXT} AS path, {_EXT} AS ext, text, doc_id FROM documents
+fs AS (SELECT source AS repo, 'src/' || lang || '/d' || doc_id || {_EXT} AS path, {_EXT} AS ext, doc_id,
+  text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END AS text, encode(text) || CASE WHEN doc_id % 3 = 0 THEN '\\xE9'::BLOB ELSE ''::BLOB END AS body FROM documents
   WHERE lang <> 'es' AND octet_length(encode(text)) <= 200000)"""
 
 
 @query(
     "repo_files",
     f"""WITH {_FILES} SELECT repo, path, ext, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' END AS language,
-  sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS ref FROM fs""",
+  sha1(encode('blob ' || octet_length(body) || chr(0)) || body) AS ref, text FROM fs""",
 )
 def repo_files(spark, sf):
-    return repo.repo_files(_files(spark, sf)).drop("text")
+    return repo.repo_files(_files(spark, sf))
 
 
 @query(
@@ -426,13 +430,13 @@ def repo_files(spark, sf):
     f"""WITH {_FILES}, w AS (SELECT path, list_distinct_ordered FROM (SELECT path, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]{{3,}}$')
    AND lower(t) NOT IN ({', '.join(f"'{k}'" for k in repo.KEYWORDS)})) AS list_distinct_ordered FROM fs)),
 i AS (SELECT path, list_filter(list_distinct_ordered, lambda t, n: list_position(list_distinct_ordered, t) = n)[1:6] AS names FROM w)
-SELECT path, left(path || CASE WHEN len(names) > 0 THEN '. defines ' || array_to_string(names, ', ') ELSE '' END || '. ' || 'This store keeps passages of ' || repo || ' and serves them to anyone.', 1500) AS description
+SELECT path, path || CASE WHEN len(names) > 0 THEN '. defines ' || array_to_string(names, ', ') ELSE '' END || '. ' || 'This store keeps passages of ' || repo || ' and serves them to anyone.' AS description
 FROM fs JOIN i USING (path)""",
 )
 def file_descriptions(spark, sf):
     files = repo.repo_files(_files(spark, sf))
     readme = F.concat(F.lit("# Store\n\nShort one.\n\nThis store keeps passages\nof "), F.col("repo"), F.lit(" and serves them to anyone.\n## Next\nmore"))
-    return files.select("path", repo.description(readme, F.col("path"), F.col("text")).alias("description"))
+    return files.select("path", repo.description(repo.readme_lead(readme), F.col("path"), F.col("text")).alias("description"))
 
 
 @query(

@@ -13,29 +13,39 @@ from .base import benchmark_queries, document_passages, query
 from .ranking import TEXT_ONLY
 
 
+_DAY = "(epoch_us(ts) // 86400000000)::INT"
+
+
 @query(
     "stream_upsert",
-    """SELECT user_id::VARCHAR AS asset_id, (epoch_us(ts) // 86400000000)::INT AS chunk_index, arg_max(event_type, (ts, event_id)) AS text,
-  arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL""",
+    f"""WITH e AS (SELECT user_id::VARCHAR AS asset_id, {_DAY} AS chunk_index, event_type, value, ts, event_id, (SELECT max({_DAY}) FROM events) - user_id % 4 AS n_chunks FROM events)
+SELECT asset_id, chunk_index, arg_max(event_type, (ts, event_id)) AS text, arg_max(value, (ts, event_id)) AS value FROM e
+WHERE chunk_index < n_chunks GROUP BY ALL""",
 )
 def stream_upsert(spark, sf):
+    """Events in seven batches, newest first, so that assets are split and rows come late; then trimmed."""
     import uuid
 
     root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events*.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("int")
+    last = events.agg(F.max(day)).first()[0]
+    for part in range(7):  # one file each, in the order of their names and times
+        some = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(7)) == part).orderBy(F.desc("ts")).coalesce(1)
+        some.write.mode("append").parquet(f"{root}/landed")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
 
     def prepare(df):
         return df.select(
-            F.col("user_id").cast("string").alias("asset_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("int").alias("chunk_index"),
-            F.col("event_type").alias("text"), "value", "ts", "event_id",
+            F.col("user_id").cast("string").alias("asset_id"), day.alias("chunk_index"),
+            F.col("event_type").alias("text"), "value", "ts", "event_id", (F.lit(last) - F.col("user_id") % 4).cast("int").alias("n_chunks"),
         )
 
     stream = ingest_stream(
-        source, f"{root}/table", f"{root}/progress", ["asset_id"], order=["ts", "event_id"], prepare=prepare, buckets=16, trim=False
+        source, f"{root}/table", f"{root}/progress", ["asset_id"], order=["ts", "event_id"], prepare=prepare, buckets=16, ends="n_chunks"
     )
     stream.awaitTermination()
-    shape = prepare(spark.createDataFrame([], schema)).schema
+    shape = prepare(spark.createDataFrame([], events.schema)).schema
     return read_stream_table(spark, f"{root}/table", shape).select("asset_id", "chunk_index", "text", "value")
 
 

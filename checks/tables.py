@@ -177,20 +177,23 @@ def not_stored(spark, sf):
 
 @query(
     "partial_update",
-    """SELECT o_orderkey::VARCHAR AS asset_id, coalesce(CASE WHEN o_orderstatus <> 'P' THEN 'sp-' || o_custkey END, o_orderpriority) AS spotify_episode_id,
-  o_orderpriority AS duration FROM orders""",
+    """SELECT kind AS asset_type, o_orderkey::VARCHAR AS asset_id,
+  coalesce(CASE WHEN kind = 'episode' AND o_orderstatus <> 'P' THEN 'sp-' || o_custkey END, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END) AS spotify_episode_id,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS duration FROM orders CROSS JOIN (VALUES ('episode'), ('video')) t(kind)""",
 )
 def partial_update(spark, sf):
+    """Two types share their ids, every third asset has no attributes, every change comes twice."""
     orders = read_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    passages = orders.select(
-        F.struct(F.lit("episode").alias("type"), F.col("o_orderkey").cast("string").alias("id")).alias("asset"),
-        F.struct(F.col("o_orderpriority").alias("spotify_episode_id"), F.col("o_orderpriority").alias("duration")).alias("attrs"),
+    stored = F.struct(F.col("o_orderpriority").alias("spotify_episode_id"), F.col("o_orderpriority").alias("duration"))
+    passages = orders.select(F.explode(F.array(F.lit("episode"), F.lit("video"))).alias("kind"), "*").select(
+        F.struct(F.col("kind").alias("type"), F.col("o_orderkey").cast("string").alias("id")).alias("asset"),
+        F.when(F.col("o_orderkey") % 3 > 0, stored).alias("attrs"),
     )
-    changes = orders.select(
-        F.col("o_orderkey").cast("string").alias("asset_id"),
-        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("sp-"), F.col("o_custkey").cast("string"))).alias("spotify_episode_id"),
-    )
-    return update_attrs(passages, changes, ("spotify_episode_id",)).select("asset.id", "attrs.*").withColumnRenamed("id", "asset_id")
+    change = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("sp-"), F.col("o_custkey").cast("string")))
+    changes = orders.select(F.col("o_orderkey").cast("string").alias("asset_id"), F.lit(2).alias("seq"), change.alias("spotify_episode_id"))
+    older = changes.withColumn("seq", F.lit(1)).withColumn("spotify_episode_id", F.lit("old"))
+    updated = update_attrs(passages, changes.unionByName(older), ("spotify_episode_id",), kind="episode", order=["seq"])
+    return updated.select(F.col("asset.type").alias("asset_type"), F.col("asset.id").alias("asset_id"), "attrs.spotify_episode_id", "attrs.duration")
 
 
 @query(
@@ -236,7 +239,7 @@ m AS (SELECT kind AS asset_type, doc_id::VARCHAR AS asset_id, CASE WHEN odd THEN
   CASE WHEN kind IN ('video', 'episode') THEN source END AS parent_id,
   CASE WHEN kind IN ('video', 'episode') THEN CASE WHEN odd THEN 'Show ' || source ELSE source END END AS parent_title,
   CASE WHEN odd THEN '600' END AS duration, CASE WHEN kind = 'video' THEN doc_id::VARCHAR END AS video_id, lang AS ingest_source,
-  length(text)::VARCHAR AS n_letters, nullif(left(text, 8000), '') AS text, length(text) AS n FROM k)"""
+  length(text)::VARCHAR AS n_letters, nullif(text, '') AS text, length(text) AS n FROM k)"""
 
 
 def _flat(df):
@@ -261,7 +264,7 @@ def migrate_twice(spark, sf):
 
 @query(
     "migrate_report",
-    f"WITH {_LEGACY} SELECT asset_type, count(*) AS scanned, count(*) AS replaced, 0::BIGINT AS rejected FROM m GROUP BY asset_type",
+    f"WITH {_LEGACY} SELECT asset_type, count(*) AS scanned, count(*) FILTER (n BETWEEN 1 AND 8000) AS replaced, count(*) FILTER (n NOT BETWEEN 1 AND 8000) AS rejected FROM m GROUP BY asset_type",
 )
 def migrate_report(spark, sf):
     from passagework.plans.migrate import migration_report

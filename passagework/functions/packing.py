@@ -57,11 +57,11 @@ def pack(pieces: Column, cap: int, joiner: str) -> Column:
     return F.aggregate(pieces, empty, add, close)
 
 
-def pack_prose(text: Column, cap: int = CHUNK_CHARS, overflow: str = "truncate") -> Column:
+def pack_prose(text: Column, cap: int = CHUNK_CHARS, overflow: str = "split") -> Column:
     """Sentences packed up to ``cap`` characters.
 
-    A sentence longer than ``cap`` keeps its first ``cap`` characters with
-    ``overflow="truncate"`` and becomes several pieces with ``overflow="split"``.
+    A sentence longer than ``cap`` becomes several pieces. ``overflow="truncate"`` keeps
+    only its first ``cap`` characters instead; that loses text and must be asked for.
     """
 
     def packed(body: Column) -> Column:
@@ -94,16 +94,19 @@ def pack_code(code: Column, cap: int = CHUNK_CHARS) -> Column:
 
 
 def with_heading(heading: Column, piece: Column) -> Column:
-    """Put the section heading before a piece that does not start with it already."""
+    """Put the section heading before a piece that does not start with it already.
+
+    A heading with which the piece would not fit a passage is left to its own column.
+    """
     head = strip(F.coalesce(heading, F.lit("")))
     body = strip(F.coalesce(piece, F.lit("")))
     text = F.when((head == "") | F.startswith(body, head), body).otherwise(
         strip(F.concat(head, F.lit(". "), body))
     )
-    return F.left(text, F.lit(MAX_FIELD_CHARS))
+    return F.when(F.length(text) <= MAX_FIELD_CHARS, text).otherwise(body)
 
 
-def pack_sections(blocks: Column, cap: int = CHUNK_CHARS, overflow: str = "truncate") -> Column:
+def pack_sections(blocks: Column, cap: int = CHUNK_CHARS, overflow: str = "split") -> Column:
     """Texts of ``blocks`` (array of struct heading, kind, text) in reading order."""
 
     def one(block: Column) -> Column:
@@ -135,7 +138,7 @@ def window_lines(
 
     A window shortened by ``max_chars`` moves the next one back accordingly, so no line
     is skipped: each start is the previous start plus the lines taken minus ``overlap``.
-    A single line over ``max_chars`` is cut.
+    A single line over ``max_chars`` becomes several pieces with the same first line.
     """
     total = F.size(rows)
 
@@ -171,14 +174,17 @@ def window_lines(
 
     def render(span: Column) -> Column:
         body = F.array_join(F.slice(rows, span["at"] + 1, span["n"]), "\n")
-        body = F.when(span["n"] == 1, F.left(body, F.lit(max_chars))).otherwise(body)
-        return F.struct(
-            F.regexp_replace(body, r"^\n+|\n+$", "").alias("code"),
-            (first_line + span["at"]).cast("int").alias("start_line"),
-            symbol.cast("string").alias("symbol"),
+        bodies = F.when(span["n"] == 1, slices_of(body, max_chars)).otherwise(F.array(body))
+        return F.transform(
+            bodies,
+            lambda part: F.struct(
+                F.regexp_replace(part, r"^\n+|\n+$", "").alias("code"),
+                (first_line + span["at"]).cast("int").alias("start_line"),
+                symbol.cast("string").alias("symbol"),
+            ),
         )
 
-    return F.filter(F.transform(spans, render), lambda p: strip(p["code"]) != "").cast(_PIECE)
+    return F.filter(F.flatten(F.transform(spans, render)), lambda p: strip(p["code"]) != "").cast(_PIECE)
 
 
 def pack_source(

@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,17 +38,43 @@ def pack_cues(
 ) -> DataFrame:
     """``keys, chunk_index, text, start_ms, end_ms, n_cues`` from cues numbered per asset.
 
-    ``order`` numbers the cues of an asset from 0 without large gaps. Blank cues are
-    dropped; one cue longer than ``max_chars`` stays whole.
+    ``order`` numbers the cues of an asset; gaps, repeated numbers (then in the order of
+    their times and texts) and nulls (first) are allowed, and so are null keys. Blank cues
+    are dropped; one cue longer than ``max_chars`` stays whole.
     """
-    last = cues.agg(F.max(order).alias("n")).first()["n"] or 0
-    placed = (
-        cues.select(*keys, F.col(order).cast("long").alias("_ord"), strip(F.col("text")).alias("text"), "start_ms", "end_ms")
-        .filter("text <> ''")
-        .withColumn("_block", F.floor(F.col("_ord") / block))
-    )
+    placed = _placed(cues, keys, order, block)
+    last = placed.agg(F.max("_ord").alias("n")).first()["n"] or 0
+    names = placed.groupBy("_key").agg(*[F.first(k, ignorenulls=True).alias(k) for k in keys])
     if last < block:
-        return _pack_short(placed, keys, max_chars)
+        packed = _pack_short(placed, ["_key"], max_chars)
+    else:
+        packed = _pack_blocks(placed, ["_key"], max_chars, block, fan, last)
+    return packed.join(names, "_key").select(*keys, "chunk_index", "text", "start_ms", "end_ms", "n_cues")
+
+
+def _placed(cues: DataFrame, keys: list[str], order: str, block: int) -> DataFrame:
+    """Cues with text under one never-null ``_key``, numbered densely from 0 (``_ord``).
+
+    Numbers are given inside ranges of ``block`` order values, and each range starts where
+    the counts of the ones before it end, so no task sorts a whole asset.
+    """
+    parts = [F.when(F.col(k).isNull(), "n").otherwise(F.concat(F.lit("v"), F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string"))) for k in keys]
+    rows = cues.select(
+        F.concat(*parts).alias("_key"), *keys, F.col(order).cast("long").alias("_at"), strip(F.col("text")).alias("text"), "start_ms", "end_ms"
+    ).filter("text <> ''").withColumn("_cell", F.coalesce(F.floor(F.col("_at") / block), F.lit(-(2**62))))
+    before = W.partitionBy("_key").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("_key", "_cell").agg(F.count("*").alias("_n")).select(
+        "_key", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+    )
+    within = F.row_number().over(W.partitionBy("_key", "_cell").orderBy("_at", "start_ms", "end_ms", "text"))
+    numbered = rows.withColumn("_row", within).join(starts, ["_key", "_cell"])
+    dense = numbered.withColumn("_ord", (F.col("_first") + F.col("_row") - 1).cast("long"))
+    table = dense.select("_key", *keys, "_ord", "text", "start_ms", "end_ms", F.floor((F.col("_first") + F.col("_row") - 1) / block).alias("_block"))
+    return materialize(table, "cues")
+
+
+def _pack_blocks(placed: DataFrame, keys: list[str], max_chars: int, block: int, fan: int, last: int) -> DataFrame:
+    """Assets of more than one block: tables of blocks, composed, then one group per passage."""
     lengths = placed.groupBy(*keys, "_block").agg(
         F.array_sort(F.collect_list(F.struct("_ord", F.length("text").alias("n")))).alias("cues")
     )

@@ -98,7 +98,10 @@ def passage_filter(df: DataFrame, asset_type: str, asset_id: str, chunk_index: i
 
 
 def to_passages(df: DataFrame) -> DataFrame:
-    """Give ``df`` the passage columns in order; what it lacks is null, text is capped."""
+    """Give ``df`` the passage columns in order; what it lacks is null.
+
+    Text and code stay whole; ``validation_errors`` names those that are too long.
+    """
     have = set(df.columns)
     columns = []
     for field in PASSAGE.fields:
@@ -109,7 +112,7 @@ def to_passages(df: DataFrame) -> DataFrame:
         elif field.name not in have:
             value = F.lit(None)
         elif field.name in ("text", "code"):
-            value = present(F.left(F.col(field.name), F.lit(MAX_FIELD_CHARS)))
+            value = present(F.col(field.name))
         elif field.name in ("audio_url", "ingest_source"):
             value = present(F.col(field.name))
         else:

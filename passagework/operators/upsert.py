@@ -80,19 +80,27 @@ def replace_rows(stored: DataFrame, incoming: DataFrame, key: list[str]) -> Data
     return kept.unionByName(incoming)
 
 
-def update_attrs(passages: DataFrame, changes: DataFrame, members: tuple[str, ...]) -> DataFrame:
+def update_attrs(
+    passages: DataFrame, changes: DataFrame, members: tuple[str, ...], kind: str | None = None, order: list[str] | None = None
+) -> DataFrame:
     """Set attribute members on every passage of the assets in ``changes``.
 
-    ``changes`` has ``asset_id`` (unique) and one column per member; a null leaves the
-    stored member alone, and other members and assets are not touched.
+    ``changes`` has ``asset_id``, one column per member, and ``asset_type`` unless all are of
+    one ``kind``: ids are only unique within a type. Of several changes of one asset the
+    last in ``order`` counts. A null leaves the stored member alone; other members and
+    assets, and passages whose asset has no change, are not touched. Passages without
+    attributes get them.
     """
-    renamed = changes.select("asset_id", *[F.col(m).alias(f"_{m}") for m in members])
-    joined = passages.join(renamed, F.col("asset.id") == F.col("asset_id"), "left")
-    attrs = F.col("attrs")
-    for m in members:
-        attrs = attrs.withField(m, F.coalesce(F.col(f"_{m}"), F.col("attrs")[m]))
+    typed = changes if kind is None else changes.withColumn("asset_type", F.lit(kind))
+    last = latest_per(typed, ASSET_KEY, order or [])
+    renamed = last.select(*[F.col(c).alias(f"_{c}") for c in (*ASSET_KEY, *members)])
+    joined = passages.join(
+        renamed, (F.col("asset.type") == F.col("_asset_type")) & (F.col("asset.id") == F.col("_asset_id")), "left"
+    )
+    stored = passages.schema["attrs"].dataType.names
+    merged = F.struct(*[(F.coalesce(F.col(f"_{m}"), F.col("attrs")[m]) if m in members else F.col("attrs")[m]).alias(m) for m in stored])
     touched = F.coalesce(*[F.col(f"_{m}").cast("string") for m in members]).isNotNull()
-    return joined.withColumn("attrs", F.when(touched, attrs).otherwise(F.col("attrs"))).select(*passages.columns)
+    return joined.withColumn("attrs", F.when(touched, merged).otherwise(F.col("attrs"))).select(*passages.columns)
 
 
 def missing_assets(known: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:

@@ -26,9 +26,9 @@ def needs_rewrite(table: DataFrame) -> DataFrame:
 
 
 def migration_report(table: DataFrame) -> DataFrame:
-    """``asset_type, scanned, replaced, rejected``: rows without asset or text are rejected."""
+    """``asset_type, scanned, replaced, rejected``: rows that break a table rule are rejected."""
     moved = from_legacy(needs_rewrite(table))
-    usable = F.col("asset").isNotNull() & present(F.col("text")).isNotNull()
+    usable = F.size(validation_errors()) == 0
     return moved.groupBy(F.col("asset.type").alias("asset_type")).agg(
         F.count("*").alias("scanned"), F.count_if(usable).alias("replaced"), F.count_if(~usable).alias("rejected")
     )

@@ -49,11 +49,20 @@ def test_cue_edges(spark):
     assert packed(spark, {"a": cues}, max_chars=20)["a"] == [(1, 2, "a" * 50), (2, 4, "bb " + "c" * 17), (4, 5, "d")]
 
 
-def test_cue_start_and_end(spark):
-    late = "A much later sentence that should start a new chunk because it will not fit."
-    cues = [(1000, 2000, "Hello there."), (2000, 3500, "This is later."), (90000, 95000, late)]
-    got = packed(spark, {"a": cues}, max_chars=40)["a"]
-    assert got[0][:2] == (1000, 3500) and got[-1][0] == 90000
+def test_cue_numbers_with_repeats_gaps_and_nulls(spark):
+    """Short and block-wise packing agree whatever the numbers and keys look like."""
+    rng, rows, want = random.Random(21), [], {}
+    for key in ("k", None, ""):
+        cues = [(rng.choice([None, 0, 3, 3, 700, 5000]), i * 10, i * 10 + 5, rng.choice(["oar", "mast head", "jib", " "])) for i in range(60)]
+        rows += [(key, *c) for c in cues]
+        ordered = sorted(cues, key=lambda c: (c[0] is not None, c[0] or 0, c[1]))
+        want[key] = [t for _, _, t in brute_cues([c[1:] for c in ordered], 25)]
+    df = spark.createDataFrame(rows, "asset string, ord int, start_ms bigint, end_ms bigint, text string").repartition(3)
+    for options in ({}, {"block": 4, "fan": 2}):
+        got = {}
+        for r in pack_cues(df, ["asset"], max_chars=25, **options).orderBy("chunk_index").collect():
+            got.setdefault(r.asset, []).append(r.text)
+        assert got == want
 
 
 def test_prose(value):
@@ -62,8 +71,8 @@ def test_prose(value):
     assert value(pack_prose, None) == []
     assert value(pack_prose, "a b c. d") == ["a b c. d"]
     long = "é" * 2000
-    assert value(pack_prose, long) == ["é" * 900]
-    assert "".join(value(lambda t: pack_prose(t, overflow="split"), long)) == long
+    assert value(lambda t: pack_prose(t, overflow="truncate"), long) == ["é" * 900]
+    assert value(pack_prose, long) == ["é" * 900, "é" * 900, "é" * 200]
     assert value(lambda t: pack_prose(t, 10), "One two. Three! Four? Five") == ["One two.", "Three!", "Four? Five"]
 
 
@@ -86,19 +95,22 @@ def test_sections(spark):
     assert all(t.startswith("Why") for t in texts[:-1])
 
 
-SOURCE = "\n".join(
-    ["import { db } from './db'", "", "export function collect(p) {", "  return 1", "}", "", "export const zone = 2", "x"]
-)
-
-
 def test_source_symbols(value):
-    got = [(p.start_line, p.symbol, p.code) for p in value(pack_source, SOURCE)]
-    assert got == [
-        (1, None, "import { db } from './db'"),
-        (3, "collect", "export function collect(p) {\n  return 1\n}"),
-        (7, "zone", "export const zone = 2\nx"),
-    ]
-    assert value(pack_source, "\n \n") == []
+    """Sources made of known segments: each declaration opens one, the preamble is its own."""
+    rng = random.Random(23)
+    openers = ["def {}(x):", "class {}:", "async function {}() {{", "export const {} = 3", "interface {} {{", "fn {}() {{"]
+    for _ in range(8):
+        rows, want = [], []
+        if rng.random() < 0.7:
+            rows += ["use rigging", "", "x = 1"]
+            want.append((1, None, "use rigging\n\nx = 1"))
+        for i in range(rng.randint(2, 5)):
+            body = [rng.choice(openers).format(f"name_{i}")] + [f"    step {k}" for k in range(rng.randint(0, 3))]
+            want.append((len(rows) + 1, f"name_{i}", "\n".join(body)))
+            rows += body
+        assert [(p.start_line, p.symbol, p.code) for p in value(pack_source, "\n".join(rows))] == want
+    assert [p.symbol for p in value(pack_source, "def lonely():\n    pass")] == [None]
+    assert value(pack_source, " \n\t\n") == []
 
 
 def brute_windows(rows, max_lines, overlap, cap):
@@ -109,7 +121,8 @@ def brute_windows(rows, max_lines, overlap, cap):
             n += 1
         n = max(n, 1)
         body = "\n".join(rows[at : at + n])
-        out.append((at + 1, (body[:cap] if n == 1 else body).strip("\n")))
+        parts = [body[k : k + cap] for k in range(0, max(len(body), 1), cap)] if n == 1 else [body]
+        out += [(at + 1, part.strip("\n")) for part in parts]
         if at + n >= len(rows):
             break
         at += max(1, n - overlap)

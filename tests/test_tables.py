@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from passagework.operators.clips import clip_pages
 from passagework.operators.schema import (
     attrs, construction_errors, from_legacy, node, passage_filter, split_valid, to_passages, validation_errors,
 )
-from passagework.operators.upsert import read_snapshot, upsert, upsert_passages, write_snapshot
+from passagework.operators.upsert import read_snapshot, update_attrs, upsert_passages, write_snapshot
 from passagework.plans.migrate import migrate
 
 
@@ -33,7 +34,7 @@ def test_construction_and_validation(spark):
     assert errors["d"] == ["unknown asset type", "asset id and title required", "text required"]
     assert errors["e"] == ["wrong parent type"]
     good, bad = split_valid(df, validation_errors())
-    assert {r.asset.id: r.reject_reasons for r in bad.collect()} == {"d": ["asset.type", "asset.title", "text"], "e": ["chunk_index"]}
+    assert {r.asset.id: r.reject_reasons for r in bad.collect()} == {"d": ["asset.type", "asset.title", "text"], "e": ["chunk_index", "text", "code"]}
     assert good.filter("asset.id = 'a'").first().attrs.spotify_episode_id is None
     assert passage_filter(df, "post", "a", 0).count() == 1 and passage_filter(df, "post", "zz").count() == 0
 
@@ -90,8 +91,29 @@ def test_states(spark):
 
 
 def test_newest_first(spark):
-    df = spark.createDataFrame([("old", datetime(2024, 1, 1)), ("new", datetime(2026, 3, 2)), ("none", None)], "id string, at timestamp")
-    assert [r.id for r in state.newest_first(df, "at", "id").collect()] == ["new", "old", "none"]
+    rng = random.Random(31)
+    rows = [(f"r{i:02d}", None if i % 6 == 0 else datetime(2000 + rng.randint(0, 3), 1 + i % 3, 5)) for i in range(30)]
+    rng.shuffle(rows)
+    got = [r.id for r in state.newest_first(spark.createDataFrame(rows, "id string, at timestamp"), "at", "id").collect()]
+    assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or datetime(1, 1, 1)).toordinal(), r[0]))]
+
+
+def test_attribute_changes(spark):
+    """Ids shared by two types, rows without attributes, several changes of one asset, null keys."""
+    shape = "asset struct<type:string,id:string>, attrs struct<duration:string,anchor_id:string>, n int"
+    rows = [(("episode", "7"), ("60", "a"), 0), (("video", "7"), ("60", "a"), 1), (("episode", "8"), None, 2), (("episode", "9"), None, 3), ((None, "7"), None, 4)]
+    changes = spark.createDataFrame([("episode", "7", "90", 2), ("episode", "7", "10", 1), ("episode", "8", "5", 1), ("episode", "9", None, 1), (None, None, "1", 1)],
+                                    "asset_type string, asset_id string, duration string, seq int")
+    got = {r.n: r.attrs and tuple(r.attrs) for r in update_attrs(spark.createDataFrame(rows, shape), changes, ("duration",), order=["seq"]).collect()}
+    assert got == {0: ("90", "a"), 1: ("60", "a"), 2: ("5", None), 3: None, 4: None}
+
+
+def test_long_legacy_text_is_kept_and_refused(spark):
+    old = spark.createDataFrame([("p", "e", "t", "y" * 9000), ("p", "f", "t", "y" * 8000)], "podcast_id string, episode_id string, episode_title string, text string").withColumn("chunk_index", F.lit(0))
+    assert sorted(len(r.text) for r in from_legacy(old).collect()) == [8000, 9000]
+    valid, rejected = migrate(old)
+    assert [r.asset.id for r in valid.collect()] == ["f"]
+    assert [(r.asset.id, r.reject_reasons, len(r.text)) for r in rejected.collect()] == [("e", ["text"], 9000)]
 
 
 def test_title_matching(spark):
