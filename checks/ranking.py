@@ -105,7 +105,7 @@ def index_postings(spark, sf):
 SELECT field, n AS n_passages, round(avg_len, 6) AS avg_len FROM stats""",
 )
 def index_field_stats(spark, sf):
-    return field_stats(postings(index_rows(document_passages(spark, sf), PROSE))).withColumn("avg_len", F.round("avg_len", 6))
+    return field_stats(index_rows(document_passages(spark, sf), PROSE)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(

@@ -40,6 +40,12 @@ FIELDS = (
 )
 
 
+#: What a search may be filtered by, with the passage member behind it.
+FILTERS = {"asset_type": "asset.type", "asset_id": "asset.id", "parent_id": "parent.id"}
+BUCKETS = 64
+SLICES = 8  # files that the terms of a bucket are spread over, by passage
+
+
 def analyze(text: Column, analyzer: str | Column) -> Column:
     """Terms of a text; the analyzer may differ from row to row."""
     if isinstance(analyzer, str):
@@ -68,7 +74,7 @@ def _has(df: DataFrame, path: str) -> bool:
 
 
 def index_rows(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """``passage_id, entries``: all terms of a passage in one row.
+    """``passage_id``, the filter columns and ``entries``: all terms of a passage in one row.
 
     An entry has ``field, term, tf, len, norm``: ``len`` is the number of terms in the field
     and ``norm`` the length of its vector of ``1 + ln(tf)`` weights.
@@ -76,11 +82,20 @@ def index_rows(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
 
     def of_field(t: Column) -> Column:
         def count(terms: Column) -> Column:
-            return F.transform(
-                F.array_distinct(terms),
-                lambda w: F.struct(w.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, w))).alias("tf")),
+            # equal terms are neighbours once sorted: a term counts from its first place to the next one's
+            first = F.filter(
+                F.sequence(F.lit(1), F.size(terms)), lambda i: (i == 1) | (F.get(terms, i - 1) != F.get(terms, i - 2))
             )
 
+            def runs(first: Column) -> Column:
+                after = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(terms) + 1))
+                return F.zip_with(
+                    first, after, lambda a, b: F.struct(F.get(terms, a - 1).alias("term"), (b - a).alias("tf"))
+                )
+
+            none = F.array().cast("array<struct<term:string,tf:int>>")
+            return F.when(F.size(terms) == 0, none).otherwise(bind(first, runs))
+
         def measured(counts: Column) -> Column:
             def shaped(size: Column) -> Column:
                 return F.transform(
@@ -103,11 +118,12 @@ def index_rows(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
             )
             return bind(size, shaped)
 
-        return bind(bind(analyze(t["body"], t["analyzer"]), count), measured)
+        return bind(bind(F.array_sort(analyze(t["body"], t["analyzer"])), count), measured)
 
     present_texts = F.filter("texts", lambda t: t["body"].isNotNull())
-    return passages.select("passage_id", _texts(passages, fields).alias("texts")).select(
-        "passage_id", F.flatten(F.transform(present_texts, of_field)).alias("entries")
+    keys = [F.col(path).alias(name) if _has(passages, path) else F.lit(None).cast("string").alias(name) for name, path in FILTERS.items()]
+    return passages.select("passage_id", *keys, _texts(passages, fields).alias("texts")).select(
+        "passage_id", *FILTERS, F.flatten(F.transform(present_texts, of_field)).alias("entries")
     )
 
 
@@ -126,17 +142,31 @@ def vocabulary(postings_df: DataFrame) -> DataFrame:
     return postings_df.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def field_stats(postings_df: DataFrame) -> DataFrame:
-    """``field, n_passages, avg_len`` over passages that have the field.
+def field_stats(rows: DataFrame) -> DataFrame:
+    """``field, n_passages, avg_len`` over the index rows whose passage has the field.
 
-    The counts of one passage's terms add up to its length, so the shares ``tf / len`` of a
-    field add up to its number of passages, without a distinct count.
+    The entries of a field are neighbours, so the first of each tells its length.
     """
-    return (
-        postings_df.groupBy("field")
-        .agg(F.sum(F.col("tf").cast("long")).alias("total"), F.round(F.sum(F.col("tf") / F.col("len"))).alias("n"))
-        .select("field", F.col("n").cast("long").alias("n_passages"), (F.col("total") / F.col("n")).alias("avg_len"))
-    )
+    firsts = F.filter("entries", lambda e, i: (i == 0) | (F.get(F.col("entries"), i - 1)["field"] != e["field"]))
+    each = rows.select(F.explode(F.transform(firsts, lambda e: F.struct(e["field"].alias("field"), e["len"].alias("len")))).alias("e"))
+    sums = each.groupBy("e.field").agg(F.count("*").alias("n_passages"), F.sum(F.col("e.len").cast("long")).alias("total"))
+    return sums.select("field", "n_passages", (F.col("total") / F.col("n_passages")).alias("avg_len"))
+
+
+def term_bucket(field: Column, term: Column) -> Column:
+    return F.pmod(F.xxhash64(field, term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(rows: DataFrame) -> DataFrame:
+    """Postings as a table partitioned by term bucket and sorted by term.
+
+    A search for a few terms reads their buckets only, and in these the row groups whose
+    range holds them. A bucket is dealt out by passage over ``SLICES`` files, so a term
+    that nearly every passage has is never one task's.
+    """
+    entries = postings(rows).withColumn("bucket", term_bucket(F.col("field"), F.col("term")))
+    dealt = entries.repartition(F.col("bucket"), F.pmod(F.xxhash64("passage_id"), F.lit(SLICES)))
+    return materialize(dealt.sortWithinPartitions("bucket", "field", "term"), "postings", "bucket")
 
 
 @dataclass(frozen=True)
@@ -144,6 +174,7 @@ class Index:
     """Written tables a search reads."""
 
     rows: DataFrame
+    postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
 
@@ -151,5 +182,5 @@ class Index:
 def build_index(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Index:
     """Analyse ``passages`` once, write the index rows, and count terms from them."""
     rows = materialize(index_rows(passages, fields), "index-rows")
-    entries = postings(rows)
-    return Index(rows, materialize(vocabulary(entries), "vocabulary"), materialize(field_stats(entries), "field-stats"))
+    terms = write_postings(rows)
+    return Index(rows, terms, materialize(vocabulary(terms), "vocabulary"), materialize(field_stats(rows), "field-stats"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,15 +151,15 @@ def term_weights(queries: DataFrame, index: Index, fields: tuple[Field, ...] = F
         both.groupBy("query_id", "field", "term", "boost", "df")
         .agg(F.sum(F.col("qtf") * F.col("share")).alias("strength"))
         .join(F.broadcast(index.stats), "field")  # one row per searched field
-        .select("query_id", "field", "term", "avg_len", (F.col("boost") * idf * F.col("strength")).alias("weight"))
+        .select("query_id", "field", "term", "df", "avg_len", (F.col("boost") * idf * F.col("strength")).alias("weight"))
     )
 
 
 def keyword_search(
-    queries: DataFrame, index: Index, limit: int = 10, fields: tuple[Field, ...] = FIELDS
+    queries: DataFrame, index: Index, limit: int = 10, fields: tuple[Field, ...] = FIELDS, filters: dict[str, object] | None = None
 ) -> DataFrame:
     """``query_id, passage_id, score, rank``: BM25 summed over the clauses, best first."""
-    return top_passages(index.rows, term_weights(queries, index, fields), limit, K1, B)
+    return top_passages(index, term_weights(queries, index, fields), limit, K1, B, filters)
 
 
 # --- highlights -----------------------------------------------------------------------
@@ -258,9 +261,24 @@ def _finder(patterns: list[str]):
     return lambda text: {found for _, found in automaton.iter(text)}
 
 
-def substring_matches(queries: DataFrame, passages: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+class _Last:
+    """A passage key that a heap takes for smaller the later it sorts."""
+
+    __slots__ = ("key",)
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def __lt__(self, other: _Last) -> bool:
+        return self.key > other.key
+
+
+def substring_matches(queries: DataFrame, passages: DataFrame, columns: tuple[str, ...], limit: int) -> DataFrame:
     """``query_id, passage_id`` where a column contains the query, ignoring case.
 
+    A task passes on the ``limit`` first passages of each literal, which is all a search
+    can use of it.
+
     Every text is read once for all queries: the literals form one automaton per scan, at
     most ``PATTERNS_PER_SCAN`` of them, so the cost does not grow with queries x passages.
     """
@@ -275,11 +293,17 @@ def substring_matches(queries: DataFrame, passages: DataFrame, columns: tuple[st
         patterns = [row["literal"] for row in share.toLocalIterator()]
 
         def find(batches):
-            contained = _finder(patterns)
+            contained, best = _finder(patterns), {}
             for batch in batches:
-                hits = batch["body"].map(lambda text: list(contained(text)))
-                found = batch[["passage_id"]].assign(literal=hits).explode("literal").dropna()
-                yield found
+                for key, text in zip(batch["passage_id"], batch["body"]):
+                    for literal in contained(text):
+                        held = best.setdefault(literal, [])
+                        if len(held) < limit:
+                            heapq.heappush(held, _Last(key))
+                        elif key < held[0].key:
+                            heapq.heapreplace(held, _Last(key))
+            rows = [(h.key, literal) for literal, held in best.items() for h in held]
+            yield pd.DataFrame(rows, columns=["passage_id", "literal"]).astype(object)
 
         return texts.mapInPandas(find, "passage_id string, literal string")
 
@@ -293,7 +317,7 @@ def substring_search(
     queries: DataFrame, passages: DataFrame, limit: int = 10, columns: tuple[str, ...] = ("asset.title", "parent.title", "text")
 ) -> DataFrame:
     """``query_id, passage_id, score, rank``: literal matches, score 1, by passage key."""
-    hits = substring_matches(queries, passages, columns).withColumn("score", F.lit(1.0))
+    hits = substring_matches(queries, passages, columns, limit).withColumn("score", F.lit(1.0))
     return top_per(hits, ["query_id"], [F.col("passage_id")], limit)
 
 

@@ -23,7 +23,7 @@ def candidate_count(limit: int) -> int:
 
 
 def term_vector_search(
-    queries: DataFrame, index: Index, limit: int = 10, field: str = "text", analyzer: str = "english"
+    queries: DataFrame, index: Index, limit: int = 10, field: str = "text", analyzer: str = "english", filters: dict[str, object] | None = None
 ) -> DataFrame:
     """``query_id, passage_id, score, rank``: cosine of query and passage term vectors.
 
@@ -43,10 +43,10 @@ def term_vector_search(
     weighted = (
         counts.join(terms, "term")
         .join(stats, "field")
-        .select("query_id", "field", "term", "avg_len", ((1 + F.log(F.col("qtf").cast("double"))) * idf).alias("weight"))
+        .select("query_id", "field", "term", "df", "avg_len", ((1 + F.log(F.col("qtf").cast("double"))) * idf).alias("weight"))
     )
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("query_id")))
-    return top_passages(index.rows, weighted.withColumn("weight", F.col("weight") / norm), limit)
+    return top_passages(index, weighted.withColumn("weight", F.col("weight") / norm), limit, filters=filters)
 
 
 def with_filters(vectors: DataFrame, filters: dict[str, object] | None) -> DataFrame:
