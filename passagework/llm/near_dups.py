@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import components, fresh
@@ -147,35 +147,72 @@ def own_shingles(texts: DataFrame, size: int) -> DataFrame:
     return single.groupBy("node").agg(F.count("*").alias("own")).join(several, "node", "left_anti")
 
 
-def missed_pairs(
-    members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, m: int, band: int, least: int, percent: int, own_of: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Pairs of one bucket that the pivots have left in different components.
-
-    A bucket needs this only where a member is not in its pivot's component (a minor
-    member). Two exact bounds come first. Of ``n`` shingles ``own`` stand in no other
-    member of such buckets (``own_of``), so a pair shares at most the smaller ``n - own``;
-    a member that this keeps from every partner goes, and so does every pair below the
-    threshold. The minors left are compared with all members left, signature against
-    signature: small buckets by a join, large ones in blocks of bounded size, each pair
-    in the first band it shares. Nothing is capped.
+def open_members(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, own_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Members of buckets whose pivots have left them in several components.
+
+    Of a node's ``n`` shingles ``own`` stand in no other node of such buckets (``own_of``),
+    so no partner shares more than ``n - own`` with it: nodes that this keeps below the
+    threshold with everyone are left out. Returns ``bucket, band, node, n, own``.
     """
-    own = members.join(labels.select(F.col("id").alias("node"), F.col("component")), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    own = _labelled(members, labels)
     hubs = own.filter("node = hub").select("bucket", F.col("label").alias("hub_label"))
-    own = materialize(own.join(hubs, "bucket").select("bucket", "band", "node", "label", (F.col("label") != F.col("hub_label")).alias("minor")), "dup-buckets")
-    mixed_buckets = own.filter("minor").select("bucket").distinct()
-    open_rows = materialize(own.join(mixed_buckets, "bucket"), "dup-open")
-    ids = materialize(open_rows.select("node").distinct(), "dup-open-ids")
+    own = materialize(own.join(hubs, "bucket").select("bucket", "band", "node", (F.col("label") != F.col("hub_label")).alias("minor")), "dup-buckets")
+    rows = materialize(own.join(own.filter("minor").select("bucket").distinct(), "bucket"), "dup-open")
+    ids = materialize(rows.select("node").distinct(), "dup-open-ids")
     sized = ids.join(nodes.select("node", "n"), "node").join(own_of(ids), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     sized = materialize(sized.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "dup-open-sizes")
-    rest = materialize(open_rows.join(sized, "node"), "dup-open")
-    counts = rest.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if("minor").alias("minors"))
-    split = materialize(rest.join(counts.filter("minors > 0 and members > 1"), "bucket"), "dup-open")
-    small, large = split.filter(F.col("members") <= SMALL_BUCKET), split.filter(F.col("members") > SMALL_BUCKET)
-    one = small.filter("minor").select("bucket", *[F.col(c).alias(f"{c}1") for c in ("node", "label", "n", "own")])
-    two = small.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "own")])
+    return materialize(rows.select("bucket", "band", "node").join(sized, "node"), "dup-open")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    found = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    return found.withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _reachable(percent: int) -> Column:
+    """Whether sets with ``n1``, ``own1`` and ``n2``, ``own2`` can reach the threshold at all."""
     most = F.least(F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
-    few = one.join(two, "bucket").filter((F.col("label1") != F.col("label2")) & (100 * most >= percent * (F.col("n1") + F.col("n2") - most)))
+    return 100 * most >= percent * (F.col("n1") + F.col("n2") - most)
+
+
+def _sides(rows: DataFrame, label: Column) -> DataFrame:
+    return rows.select("bucket", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "own")], label.alias("label1"))
+
+
+def _central(rows: DataFrame) -> DataFrame:
+    """The member of each bucket with the smallest share of own shingles: ``bucket, node2, n2, own2, label2``."""
+    first = F.min_by(F.struct("node", "n", "own", "label"), F.struct(F.col("own") / F.col("n"), F.col("node")))
+    return rows.groupBy("bucket").agg(first.alias("c")).select("bucket", *[F.col(f"c.{c}").alias(f"{c}2") for c in ("node", "n", "own", "label")])
+
+
+def central_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Each open member with the most central member of its bucket, if in another component.
+
+    Copies with edits of their own are near the text they were made from, rarely near one
+    pivot taken by its number; this second star brings a large group together.
+    """
+    own = _labelled(rows, labels)
+    star = _sides(own, F.col("label")).join(_central(own), "bucket").filter((F.col("label1") != F.col("label2")) & _reachable(percent))
+    return _pairs(star.select(F.col("node1").alias("a"), F.col("node2").alias("b")))
+
+
+def missed_pairs(rows: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, m: int, band: int, least: int, percent: int) -> DataFrame:
+    """All pairs of open members that are in one bucket but still in different components.
+
+    Members apart from their bucket's central one (minors) are compared with all others,
+    signature against signature, where sizes and own shingles let the pair reach the
+    threshold: small buckets by a join, large ones in blocks of bounded size, each pair
+    in the first band it shares. Nothing is capped.
+    """
+    own = _labelled(rows, labels)
+    own = own.join(_central(own).select("bucket", F.col("label2").alias("mid")), "bucket").withColumn("minor", F.col("label") != F.col("mid")).drop("mid")
+    own = materialize(own, "dup-open")
+    counts = own.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if("minor").alias("minors"))
+    split = materialize(own.join(counts.filter("minors > 0"), "bucket"), "dup-open")
+    small, large = split.filter(F.col("members") <= SMALL_BUCKET), split.filter(F.col("members") > SMALL_BUCKET)
+    one = _sides(small.filter("minor"), F.col("label"))
+    two = small.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "own", "label")])
+    few = one.join(two, "bucket").filter((F.col("label1") != F.col("label2")) & _reachable(percent))
     few = _pairs(few.select(F.col("node1").alias("a"), F.col("node2").alias("b"))).join(tested, ["a", "b"], "left_anti")
     many = large.join(nodes.select("node", "signature"), "node")
     i_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("minors") / MINOR_ROWS))
@@ -190,10 +227,10 @@ def missed_pairs(
         out_a, out_b = [], []
         if right.num_rows:
             grid = np.frombuffer(b"".join(right["signature"].to_pylist()), np.uint16).reshape(-1, m)
-            labels_of, ids_of, n_of, own_of_ = (right[c].to_numpy() for c in ("label", "node", "n", "own"))
+            labels_of, ids_of, n_of, own_of = (right[c].to_numpy() for c in ("label", "node", "n", "own"))
             here = table["band"][0].as_py()
             for row in left.to_pylist():
-                top = np.minimum(n_of - own_of_, row["n"] - row["own"])
+                top = np.minimum(n_of - own_of, row["n"] - row["own"])
                 near = np.flatnonzero((labels_of != row["label"]) & (100 * top >= percent * (n_of + row["n"] - top)))
                 same = grid[near] == np.frombuffer(row["signature"], np.uint16)
                 first = same[:, : m // band * band].reshape(len(near), m // band, band).all(2).argmax(1) == here
@@ -221,9 +258,10 @@ def near_duplicates(
     2. Every node of a band's bucket is paired with the bucket's smallest id. Pairs whose
        signatures agree far less than the threshold asks (5 deviations, a chance of 3e-7) go;
        the others are confirmed on the full sets. Links are grouped by union-find.
-    3. Where that leaves members of a bucket in different components, those are compared
-       with all others of the bucket that could reach the threshold (``missed_pairs``),
-       confirmed, and grouped again. So no pair of a bucket
+    3. Where that leaves members of a bucket in different components (``open_members``),
+       they are paired with the bucket's most central one, and what is then still apart
+       with all others of the bucket that could reach the threshold (``missed_pairs``);
+       both are confirmed and grouped again. So no pair of a bucket
        in different components goes untested, and no group is expanded to all its pairs.
 
     Null and empty texts have no shingles and are linked with nothing. A row without an id
@@ -265,10 +303,14 @@ def near_duplicates(
 
     links = confirm(materialize(likely(tested, nodes, m, least), "dup-likely"))
     labels = components(links)
-    own_of = lambda ids: own_shingles(texts_of(ids), shingle)
-    missed = materialize(missed_pairs(members, labels, nodes, tested, m, band, least, percent, own_of), "dup-missed")
-    if missed.limit(1).count():
-        labels = components(links.unionByName(confirm(missed)))
+    rest = open_members(members, labels, nodes, percent, lambda ids: own_shingles(texts_of(ids), shingle))
+    if rest.limit(1).count():
+        star = materialize(central_pairs(rest, labels, percent).join(tested, ["a", "b"], "left_anti"), "dup-tested")
+        links = materialize(links.unionByName(confirm(materialize(likely(star, nodes, m, least), "dup-likely"))), "dup-links")
+        labels, tested = components(links), tested.unionByName(star)
+        missed = materialize(missed_pairs(rest, labels, nodes, tested, m, band, least, percent), "dup-missed")
+        if missed.limit(1).count():
+            labels = components(links.unionByName(confirm(missed)))
     roots = sets.select(digest, node).join(labels.withColumnRenamed("id", node), node, "left")
     roots = materialize(roots.select(F.col(digest), F.coalesce("component", node).alias("component_id")), "dup-roots")
     whole = rows.withColumn(digest, F.when((F.col(f"{s}.n") > 0) & F.col(doc_id).isNotNull(), F.col(f"{s}.digest")))

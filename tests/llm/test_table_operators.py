@@ -283,27 +283,27 @@ def test_missed_pairs_are_all_pairs_across_components(spark):
         signatures.append(s)
     nodes = spark.createDataFrame([(i, 100 + i, bytearray(s.tobytes())) for i, s in enumerate(signatures)], "node long, n long, signature binary")
     first = lambda a, b: min((k for k in range(25) if (signatures[a][4 * k : 4 * k + 4] == signatures[b][4 * k : 4 * k + 4]).all()), default=None)
-    bands = {band: [i for i in range(40) if i == 0 or first(0, i) is not None] for band in range(25)}
-    members = spark.createDataFrame([(7 + band, band, i, 0) for band, ids in bands.items() for i in ids], "bucket long, band int, node long, hub long")
+    rare = {i: i % 5 * 4 for i in range(40)}  # shingles of their own
+    bands = {band: [i for i in range(40) if first(0, i) is not None or i == 0] for band in range(25)}
+    rest = spark.createDataFrame([(7 + band, band, i, 100 + i, rare[i]) for band, ids in bands.items() for i in ids], "bucket long, band int, node long, n long, own long")
     labels = spark.createDataFrame([(i, 0) for i in range(10)], "id long, component long")
     tested = spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long")
-    rare = {i: i % 5 * 4 for i in range(40)}  # shingles of their own
-    inside = bands[0]
 
-    def possible(a, b):
+    def reachable(a, b):
         top = min(100 + a - rare[a], 100 + b - rare[b])
-        return (signatures[a] == signatures[b]).sum() >= 60 and 100 * top >= 85 * (200 + a + b - top)
+        return 100 * top >= 85 * (200 + a + b - top)
 
-    pairs = {(a, b) for a in inside for b in inside if 0 < a < b and not (a < 10 and b < 10)}
-    want = {p for p in pairs if possible(*p) and first(*p) is not None}
-    own_of = lambda ids: spark.createDataFrame(list(rare.items()), "node long, own long")
+    pairs = {(a, b) for a in bands[0] for b in bands[0] if a < b and not (a < 10 and b < 10) and reachable(a, b)}
+    close = {p for p in pairs if p[0] and (signatures[p[0]] == signatures[p[1]]).sum() >= 60}
+    want = {p for p in close if first(*p) is not None}
     for limit in (2, 100):
         near_dups.SMALL_BUCKET, before = limit, near_dups.SMALL_BUCKET
-        got = near_dups.missed_pairs(members, labels, nodes, tested, 100, 4, 60, 85, own_of)
+        got = near_dups.missed_pairs(rest, labels, nodes, tested, 100, 4, 60, 85)
         near_dups.SMALL_BUCKET = before
-        got = {(r["a"], r["b"]) for r in got.collect()}
-        assert want <= got <= {p for p in pairs if possible(*p)}
-    assert 5 < len(want) < len(pairs) / 2
+        assert want <= {(r["a"], r["b"]) for r in got.collect()} <= close
+    assert len(want) > 5
+    star = {(r["a"], r["b"]) for r in near_dups.central_pairs(rest, labels, 85).collect()}
+    assert star == {p for p in pairs if p[0] == 0}  # node 0 has no shingle of its own
 
 
 def test_own_shingles(spark):
