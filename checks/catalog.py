@@ -5,3 +5,4 @@ from . import ranking  # noqa: F401
 from . import tables  # noqa: F401
 from . import sources  # noqa: F401
 from . import streams  # noqa: F401
+from . import more  # noqa: F401

@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 
 # Character classes valid both in Java and in RE2 patterns.
 WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
-NOT_WS = r"[^\t-\r\x1c-\x1f\x{85}\p{Z}]"
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-WORD = r"[\p{L}\p{M}\p{N}_]"
-NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
 
 MAX_FIELD_CHARS = 8000  # longest `text` or `code` a passage may hold
 SNIPPET_CHARS = 420
@@ -34,10 +31,6 @@ def present(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def first_present(*cols: Column) -> Column:
-    return F.coalesce(*[present(c) for c in cols])
-
-
 def squeeze(c: Column) -> Column:
     """Collapse runs of white space to one space and trim."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))
@@ -62,12 +55,6 @@ def sentences(squeezed: Column) -> Column:
     return F.split(squeezed, r"(?<=[.!?]) ")
 
 
-def cut_at_word(c: Column, limit: int, mark: str = "") -> Column:
-    """Cut longer text to ``limit`` characters, back to the last space, plus ``mark``."""
-    head = F.regexp_replace(F.left(c, F.lit(limit)), r" [^ ]*$", "")
-    return F.when(F.length(c) > limit, F.concat(head, F.lit(mark))).otherwise(c)
-
-
 def escape_html(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clock, present, slugify_title, squeeze, strip_tags, unescape_html
+from ..functions.text import clock, present, slugify_title
 
 PAGE_ENTRIES = 500
 
 
-def plain_snippet(html: Column) -> Column:
-    return squeeze(unescape_html(strip_tags(F.coalesce(html, F.lit("")))))
-
-
 def clip_text(clip_no: Column) -> Column:
     """One numbered entry: link, titles, start time and text, each on its line."""
     group, asset = present(F.col("group_title")), present(F.col("asset_title"))
@@ -65,12 +61,18 @@ def transcript_lines(assets: DataFrame, passages: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def write_transcripts(lines: DataFrame, path: str) -> None:
-    """One folder per asset; lines keep their order inside and across its files."""
+def write_transcripts(lines: DataFrame, path: str, buckets: int = 256) -> None:
+    """Text files under ``bucket=<n>/file=<safe title>-<asset id>``, lines in their order.
+
+    The asset id keeps equal titles apart and the buckets keep folders short. An asset of
+    very many lines is several files, in order by name.
+    """
+    name = F.concat_ws("-", "safe_title", slugify_title(F.col("asset_id")))
     (
-        lines.repartitionByRange("safe_title", "asset_id", "line_no")
-        .sortWithinPartitions("safe_title", "asset_id", "line_no")
-        .select("safe_title", F.col("line").alias("value"))
-        .write.partitionBy("safe_title")
+        lines.withColumns({"file": name, "bucket": F.pmod(F.xxhash64("asset_id"), F.lit(buckets))})
+        .repartitionByRange("bucket", "file", "asset_id", "line_no")
+        .sortWithinPartitions("bucket", "file", "asset_id", "line_no")
+        .select("bucket", "file", F.col("line").alias("value"))
+        .write.partitionBy("bucket", "file")
         .text(path)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_title, present
+from ..functions.urls import anchor_episode_id, transcript_episode_id
 from .common import latest_per
 
 GRAM_SIZES = (1, 2, 4, 8, 16)
@@ -26,44 +27,64 @@ def match_exact(assets: DataFrame, catalog: DataFrame, title: str, catalog_title
     return with_title_key(assets, title).join(last, "title_key", "left")
 
 
-def _anchor(key: Column) -> Column:
-    """The first 16, 8, 4, 2 or 1 letters: the longest of these the title has."""
-    size = F.lit(GRAM_SIZES[0])
-    for n in GRAM_SIZES[1:]:
-        size = F.when(F.length(key) >= n, F.lit(n)).otherwise(size)
-    return F.left(key, size)
+def _of_size(key: Column, n: int) -> Column:
+    """Every substring of ``n`` letters."""
+    made = F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda at: F.substr(key, at, F.lit(n)))
+    return F.when(F.length(key) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
 def _grams(key: Column) -> Column:
-    """Every substring of one of the anchor sizes."""
-    def of_size(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda at: F.substr(key, at, F.lit(n)))
-        return F.when(F.length(key) >= n, made).otherwise(F.array().cast("array<string>"))
+    """Every substring of one of the gram sizes."""
+    return F.array_distinct(F.concat(*[_of_size(key, n) for n in GRAM_SIZES]))
 
-    per_size = [of_size(n) for n in GRAM_SIZES]
-    return F.array_distinct(F.concat(*per_size))
 
+def _longest_grams(key: Column) -> Column:
+    """Every substring of the largest gram size that the title has."""
+    grams = _of_size(key, GRAM_SIZES[0])
+    for n in GRAM_SIZES[1:]:
+        grams = F.when(F.length(key) >= n, _of_size(key, n)).otherwise(grams)
+    return F.array_distinct(grams)
 
-def contained_titles(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``wanted_key, catalog_key`` where one title contains the other.
 
-    The start of the contained title must occur in the containing one, which makes this an
-    equi-join on short substrings of distinct titles followed by a check.
+def _inside(small: DataFrame, small_key: str, large: DataFrame, large_key: str) -> DataFrame:
+    """``small_key, large_key`` where the large title contains the small one.
+
+    A contained title has all its grams in the containing one, so it is enough to meet by
+    its rarest: what very many titles share, such as a common start, brings none together.
+    A title with a gram that no large title has is in none.
     """
+    held = large.select(large_key, F.explode(_grams(F.col(large_key))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = small.select(small_key, F.explode(_longest_grams(F.col(small_key))).alias("gram")).join(counts, "gram", "left")
+    rarest = asked.groupBy(small_key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("g")).filter("g.n > 0")
+    return rarest.select(small_key, "g.gram").join(held, "gram").filter(F.contains(large_key, small_key)).select(small_key, large_key)
+
+
+def contained_titles(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``wanted_key, catalog_key`` where one title contains the other: equi-joins on rare grams."""
     left = wanted.select(F.col("title_key").alias("wanted_key")).filter("wanted_key <> ''").distinct()
     right = catalog.select(F.col("title_key").alias("catalog_key")).filter("catalog_key <> ''").distinct()
+    inside = _inside(left, "wanted_key", right, "catalog_key").select("wanted_key", "catalog_key")
+    around = _inside(right, "catalog_key", left, "wanted_key").select("wanted_key", "catalog_key")
+    return inside.unionByName(around).distinct()
+
+
+def feed_ids(stored: DataFrame, feed: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Stored episodes left-joined with the feed by guid: what to write to their attributes.
 
-    def side(df: DataFrame, key: str, grams) -> DataFrame:
-        made = grams(F.col(key))
-        return df.select(key, F.explode(made).alias("gram"))
-
-    inside = side(left, "wanted_key", lambda k: F.array(_anchor(k))).join(
-        side(right, "catalog_key", _grams), "gram"
-    ).filter(F.contains("catalog_key", "wanted_key"))
-    around = side(left, "wanted_key", _grams).join(
-        side(right, "catalog_key", lambda k: F.array(_anchor(k))), "gram"
-    ).filter(F.contains("wanted_key", "catalog_key"))
-    return inside.unionByName(around).select("wanted_key", "catalog_key").distinct()
+    ``stored`` has ``asset_id, title, url`` per episode; ``feed`` has ``guid, title, link,
+    transcript_url`` per item, of which the last in ``order`` counts. The result,
+    ``asset_id, title, spotify_episode_id, anchor_id``, is a change table for
+    ``update_attrs(..., kind="episode")``: the feed's title and link win where it has them.
+    """
+    items = latest_per(feed.select("guid", "title", "link", "transcript_url", *(order or [])), ["guid"], order or [])
+    known = items.select(F.col("guid").alias("asset_id"), F.col("title").alias("_title"), F.col("link").alias("_link"), "transcript_url")
+    return stored.select("asset_id", "title", "url").join(known, "asset_id", "left").select(
+        "asset_id",
+        F.coalesce(present(F.col("_title")), F.col("title")).alias("title"),
+        transcript_episode_id(F.col("transcript_url")).alias("spotify_episode_id"),
+        anchor_episode_id(F.coalesce(present(F.col("_link")), F.col("url"))).alias("anchor_id"),
+    )
 
 
 def match_contained(assets: DataFrame, catalog: DataFrame, title: str, catalog_title: str, order: str) -> DataFrame:

@@ -1,12 +1,14 @@
 import itertools
+import json
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from passagework.functions.analysis import english_terms
 from passagework.functions.links import passage_link, with_time
+from passagework.operators import scoring
+from passagework.operators.common import top_per
 from passagework.operators.fuse import fuse_code, fuse_prose
 from passagework.operators.group import flat_results, group_passages, result_counts
 from passagework.operators.index import FIELDS, build_index
@@ -47,17 +49,19 @@ def test_near_terms_against_brute_force(spark):
 
 
 def table(spark):
+    """Passages of five kinds about boats; every one has words that no other has."""
     rows = [
-        ("episode", "e1", "Gaming at scale", "podcast", "p1", "Games Weekly", 0, "Players love gaming. Databases store players.", None),
-        ("episode", "e1", "Gaming at scale", "podcast", "p1", "Games Weekly", 1, "Sharding splits data across machines.", None),
-        ("post", "b1", "Vector search", "blog", "bl", "The Blog", 0, "Semantic search finds similar passages.", None),
-        ("file", "r:tiles.ts", "tiles.ts", "repository", "r", "Kite Club", 0, "tiles.ts defines moveTile", "function moveTile(a) { return a }"),
-        ("snippet", "s1", "Retry", None, None, None, 0, "Retry with jitter & <care>, É clair.", None),
+        ("video", "vid-9", "Mooring in swell", "channel", "ch4", "Quay Channel", 0, "Bowlines hold when the swell rises. A bowline never slips.", None),
+        ("video", "vid-9", "Mooring in swell", "channel", "ch4", "Quay Channel", 1, "Fenders keep hulls apart.", None),
+        ("doc", "d/lights", "Harbour lights", "manual", "nav", "Pilot Manual", 0, "Red lights stand to port, green ones to starboard.", None),
+        ("file", "crew/sloop:hull.go", "hull.go", "repository", "crew/sloop", "Sloop", 0, "hull.go defines patchHull", "func patchHull(planks int) {}"),
+        ("repo", "crew/dinghy", "Dinghy", None, None, None, 0, "Tenders & <rafts>, Ébauche.", None),
     ]
     df = spark.createDataFrame(rows, "type string, id string, title string, pt string, pid string, ptitle string, n int, text string, code string")
     parent = F.when(F.col("pid").isNotNull(), node(F.col("pt"), F.col("pid"), F.col("ptitle")))
-    return to_passages(df.select(node(F.col("type"), F.col("id"), F.col("title"), F.lit("https://e.org/x")).alias("asset"), parent.alias("parent"),
-                                 attrs(path=F.when(F.col("type") == "file", F.col("title")), start_line=F.when(F.col("type") == "file", F.lit(7))).alias("attrs"),
+    source = F.col("type") == "file"
+    return to_passages(df.select(node(F.col("type"), F.col("id"), F.col("title"), F.lit("https://sea.example/p")).alias("asset"), parent.alias("parent"),
+                                 attrs(path=F.when(source, F.col("title")), start_line=F.when(source, F.lit(31))).alias("attrs"),
                                  F.col("n").alias("chunk_index"), "text", "code"))
 
 
@@ -65,30 +69,84 @@ def ask(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "query_id int, q string")
 
 
-def test_whole_search(spark):
+def first_asset(row):
+    return row.groups[0].assets[0]
+
+
+def test_search_by_every_way(spark):
+    """One query per mode: prose, typo, code, literal fallback, one-edit title, nothing."""
     passages = table(spark)
     index = build_index(passages)
-    texts = ("gsming", "similar passages", "moveTile", "& <care", "qqqq wwww", "retty")
-    rows = {r.query_id: r for r in search(ask(spark, *texts), passages, index, limit=3).collect()}
-    assert rows[0].groups[0].header.id == "p1" and rows[0].mode == "keyword"
-    assert rows[1].groups[0].assets[0].asset.id == "b1" and rows[1].mode == "rrf"
-    assert "<mark>similar</mark> <mark>passages</mark>" in rows[1].groups[0].assets[0].passages[0].passage.snippet_html
-    file_hit = rows[2].groups[0].assets[0]
-    assert rows[2].mode.endswith("+code") and file_hit.asset.id == "r:tiles.ts" and "code" in file_hit.match_types
-    assert file_hit.passages[0].passage.href == "https://e.org/x#L7"
-    assert rows[3].total >= 1
-    assert rows[4].mode is None and rows[4].groups is None and rows[4].total == 0
-    assert rows[5].groups[0].assets[0].asset.id == "s1"
-    assert result_json(search(ask(spark, "players"), passages, index)).first().value.startswith('{"query_id":0')
+    texts = ("starboard lights", "bowlnie", "patchHull", "& <raft", "zzzz 0000", "dinghx", "swell")
+    rows = {texts[r.query_id]: r for r in search(ask(spark, *texts), passages, index, limit=4).collect()}
+    assert first_asset(rows["starboard lights"]).asset.id == "d/lights" and rows["starboard lights"].mode == "rrf"
+    assert "green ones to <mark>starboard</mark>" in first_asset(rows["starboard lights"]).passages[0].passage.snippet_html
+    assert first_asset(rows["bowlnie"]).asset.id == "vid-9" and rows["bowlnie"].mode == "keyword"
+    code = first_asset(rows["patchHull"])
+    assert rows["patchHull"].mode.endswith("+code") and code.asset.type == "file" and "code" in code.match_types
+    assert code.passages[0].passage.href == "https://sea.example/p#L31"
+    assert rows["& <raft"].total == 1 and first_asset(rows["& <raft"]).asset.id == "crew/dinghy"
+    assert (rows["zzzz 0000"].mode, rows["zzzz 0000"].groups, rows["zzzz 0000"].total) == (None, None, 0)
+    assert first_asset(rows["dinghx"]).asset.id == "crew/dinghy"
+    assert json.loads(result_json(search(ask(spark, "fenders"), passages, index)).first().value)["groups"][0]["header"]["id"] == "ch4"
+    native = search(ask(spark, "starboard lights"), passages, index, native=True).first()
+    assert native.mode == "rankFusion"
+
+
+def test_search_filters(spark):
+    passages = table(spark)
+    index = build_index(passages)
+    asked = ask(spark, "swell lights hull")
+    every = {a.asset.id for g in search(asked, passages, index).first().groups for a in g.assets}
+    assert every == {"vid-9", "d/lights", "crew/sloop:hull.go"}
+    for filters, want in (({"asset_type": "doc"}, {"d/lights"}), ({"asset_type": ["doc", "video"], "parent_id": "ch4"}, {"vid-9"}), ({"asset_id": "none"}, set())):
+        row = search(asked, passages, index, filters=filters).first()
+        assert {a.asset.id for g in row.groups or [] for a in g.assets} == want
+
+
+def test_postings_and_scan_give_the_same(spark):
+    """Both ways of scoring against sums in Python, with few and with very many queries."""
+    rng = random.Random(51)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"p{i:03d}", " ".join(rng.choices(words, weights=range(30, 0, -1), k=rng.randint(1, 25)))) for i in range(300)]
+    passages = spark.createDataFrame(rows, "passage_id string, text string").repartition(4)
+    index = build_index(passages, FIELDS[:1])
+    queries = [(q, rng.choice(words), rng.random() + 0.1) for q in range(150) for _ in range(3)]
+    known = {(r.field, r.term): r.df for r in index.vocabulary.collect()}
+    average = index.stats.first().avg_len
+    weights = spark.createDataFrame([(q, "text", w, known.get(("text", w), 0), x, average) for q, w, x in queries], "query_id int, field string, term string, df long, weight double, avg_len double")
+    want = {}
+    for q, w, x in queries:
+        for key, text in rows:
+            tf, n = text.split().count(w), len(text.split())
+            if tf:
+                want[q, key] = want.get((q, key), 0) + x * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))
+    best = {}
+    for (q, key), score in want.items():
+        best.setdefault(q, []).append((-round(score, 6), key))
+    best = {q: sorted(v)[:5] for q, v in best.items()}
+    for df in (scoring._from_postings(index.postings, weights, 1.2, 0.75), scoring._from_rows(index.rows, weights, 5, 1.2, 0.75, None, 450, 150)):
+        top = top_per(df, ["query_id"], [F.desc("score"), F.col("passage_id")], 5).collect()
+        got = {}
+        for r in top:
+            got.setdefault(r.query_id, []).append((-r.score, r.passage_id))
+        assert {q: [k for _, k in sorted(v)] for q, v in got.items()} == {q: [k for _, k in v] for q, v in best.items()}
+    scan = scoring._scan(index.rows.repartition(3), weights, 5, 1.2, 0.75)
+    assert scan.count() <= 5 * 150 * 3  # rows that leave the scan: limit x queries x tasks
+    buckets = {r.bucket for r in index.postings.filter("term = 'w0'").select("bucket").distinct().collect()}
+    assert len(buckets) == 1 and index.postings.select("bucket").distinct().count() > 10
 
 
 def test_literal_fallback(spark, value):
     passages = table(spark)
-    hits = substring_search(ask(spark, "é CLAIR", "& <ca", ".*", "GAMES WEEK"), passages).collect()
-    assert {(r.query_id, r.passage_id.split("\u001f")[1]) for r in hits} == {(0, "s1"), (1, "s1"), (3, "e1")}
-    assert value(lambda t: marked_snippet(t, F.lit("b & (c")), "a <B & (C d") == "a &lt;<mark>B &amp; (C</mark> d"
-    long = value(lambda t: marked_snippet(t, F.lit("needle")), "x" * 700 + " needle " + "y" * 700)
-    assert long.startswith("…") and len(long) == 601 and "<mark>needle</mark>" in long
+    hits = substring_search(ask(spark, "ÉBAUCHE", "s & <RA", "[a-z]", "quay chan"), passages).collect()
+    assert {(r.query_id, r.passage_id.split("\u001f")[1]) for r in hits} == {(0, "crew/dinghy"), (1, "crew/dinghy"), (3, "vid-9")}
+    assert value(lambda t: marked_snippet(t, F.lit("<3 (")), "I <3 (boats)") == "I <mark>&lt;3 (</mark>boats)"
+    long = value(lambda t: marked_snippet(t, F.lit("Keel")), "y" * 500 + " keel " + "z" * 900)
+    assert long.startswith("…") and "<mark>keel</mark>" in long and len(long) <= 601
+    many = spark.createDataFrame([(f"p{i:04d}", "the same words") for i in range(500)], "passage_id string, text string").repartition(5)
+    top = substring_search(ask(spark, "same", "e w"), many, 4, ("text",)).collect()
+    assert sorted((r.query_id, r.rank, r.passage_id) for r in top) == [(q, k + 1, f"p{k:04d}") for q in (0, 1) for k in range(4)]
 
 
 def test_one_edit(spark):
@@ -107,51 +165,109 @@ def test_highlights(spark, value):
     assert made == "We <mark>love</mark> <mark>games</mark>! … <mark>Games</mark>."
 
 
-def ranked(spark, *keys, **labels):
-    rows = [(0, k, i + 1, labels.get(k)) for i, k in enumerate(keys)]
-    return spark.createDataFrame(rows, "query_id int, passage_id string, rank int, match_types array<string>")
+def lists(spark, rng, queries, keys, label=None):
+    """Random ranked lists, and the same as a dict of key to rank."""
+    rows, ranks = [], {}
+    for q in range(queries):
+        chosen = rng.sample(keys, rng.randint(0, len(keys)))
+        ranks[q] = {key: i + 1 for i, key in enumerate(chosen)}
+        rows += [(q, key, i + 1, label) for i, key in enumerate(chosen)]
+    return spark.createDataFrame(rows, "query_id int, passage_id string, rank int, match_types array<string>"), ranks
+
+
+def test_fusion_against_sums(spark):
+    rng = random.Random(61)
+    keys = [f"k{i}" for i in range(9)]
+    keyword, by_word = lists(spark, rng, 12, keys)
+    semantic, by_sense = lists(spark, rng, 12, keys)
+    code, by_code = lists(spark, rng, 12, keys + ["only-code"])
 
+    def expected(q, parts):
+        """Best first; equal scores in the order of the first list and rank they are seen in."""
+        found = {key for ranks, *_ in parts for key in ranks[q]}
+        out = []
+        for key in found:
+            score = round(sum(w / (60 + ranks[q][key]) for ranks, w, _ in parts if key in ranks[q]), 9)
+            seen = min((i, ranks[q][key]) for i, (ranks, *_) in enumerate(parts) if key in ranks[q])
+            labels = sorted({label for ranks, _, said in parts if key in ranks[q] for label in said(q, key)})
+            out.append((-score, seen, key, labels))
+        return [(key, labels) for _, _, key, labels in sorted(out)]
 
-def test_fusion(spark):
-    got = fuse_prose(ranked(spark, "a", "b"), ranked(spark, "c", "a")).orderBy("rank").collect()
-    assert [r.passage_id for r in got] == ["a", "c", "b"] and got[0].match_types == ["keyword", "semantic"]
-    assert got[0].score == pytest.approx(1 / 61 + 1.2 / 62, abs=1e-9)
-    with_code = fuse_code(ranked(spark, "readme", readme=["keyword", "semantic"]), ranked(spark, "zones")).orderBy("rank").collect()
-    assert [(r.passage_id, r.match_types) for r in with_code] == [("readme", ["keyword", "semantic"]), ("zones", ["code"])]
-    tied = fuse_prose(ranked(spark, "z", "y"), ranked(spark).limit(0)).orderBy("rank").collect()
-    assert [r.passage_id for r in tied] == ["z", "y"]
+    def collected(df):
+        out = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.passage_id, r.match_types))
+        return out
 
+    prose = fuse_prose(keyword, semantic)
+    first = {q: expected(q, [(by_word, 1.0, lambda *_: ["keyword"]), (by_sense, 1.2, lambda *_: ["semantic"])]) for q in range(12)}
+    assert collected(prose) == {q: v for q, v in first.items() if v}
+    ranks = {q: {key: i + 1 for i, (key, _) in enumerate(v)} for q, v in first.items()}
+    said = {(q, key): labels for q, v in first.items() for key, labels in v}
+    second = {q: expected(q, [(ranks, 1.0, lambda q, key: said[q, key]), (by_code, 0.8, lambda *_: ["code"])])[:6] for q in range(12)}
+    assert collected(fuse_code(prose, code, 6)) == {q: v for q, v in second.items() if v}
 
-def test_grouping(spark):
+
+def test_grouping_against_a_plain_fold(spark):
+    rng = random.Random(71)
     node_type = "struct<type:string,id:string,title:string,author:string,url:string>"
-    e1, e2, repo = ("episode", "e1", "Ep", None, "u"), ("episode", "e2", "Ep2", None, "u"), ("repo", "m", "m", "a", None)
-    show, other = ("podcast", "p1", "One", "A", None), ("podcast", "p2", "Two", "B", None)
-    rows = [(0, 1, 0.9, ["keyword"], e1, show, 0), (0, 2, 0.4, ["semantic"], e1, show, 1), (0, 3, 0.2, ["semantic"], e1, show, 2), (0, 4, 0.7, ["keyword"], e2, other, 0),
-            (0, 5, 0.5, ["keyword"], repo, None, 0), (0, 6, 0.4, [], ("episode", None, "x", None, None), show, 0)]
-    hits = spark.createDataFrame(rows, f"query_id int, rank int, score double, match_types array<string>, asset {node_type}, parent {node_type}, chunk int").withColumn("passage", F.struct("chunk"))
+    parents = [("podcast", "x", "X", None, None), ("channel", "x", "Other x", "au", None), None]
+    rows, want = [], {}
+    for q in range(6):
+        groups = []
+        for rank in range(1, rng.randint(4, 25)):
+            kind, number = rng.choice([("episode", 1), ("episode", 2), ("video", 1), ("repo", 3), ("episode", None)])
+            asset = (kind, None if number is None else f"a{number}", "t", None, "u")
+            parent = parents[2] if kind == "repo" else parents[number % 2 if number else 0]
+            labels, score = rng.sample(["keyword", "semantic", "code"], rng.randint(0, 2)), round(rng.random(), 3)
+            rows.append((q, rank, score, labels, asset, parent, rank))
+            if number is None:
+                continue
+            head = (parent or asset)[:2]
+            group = next((g for g in groups if g[0] == head), None) or groups.append((head, [])) or groups[-1]
+            entry = next((e for e in group[1] if e[0] == asset[:2]), None) or group[1].append((asset[:2], [], set(), [])) or group[1][-1]
+            entry[1].append(rank)
+            entry[2].update(labels)
+            entry[3].append(score)
+        want[q] = [(h, [(a, r[:2], sorted(m), max(s)) for a, r, m, s in entries]) for h, entries in groups]
+    rng.shuffle(rows)
+    hits = spark.createDataFrame(rows, f"query_id int, rank int, score double, match_types array<string>, asset {node_type}, parent {node_type}, at int").withColumn("passage", F.struct("at"))
     results = group_passages(hits, 2)
-    groups = results.first().groups
-    assert [g.header.id for g in groups] == ["p1", "p2", "m"] and len(groups[0].assets[0].passages) == 2
-    assert groups[0].assets[0].match_types == ["keyword", "semantic"] and groups[2].header.type == "repo"
-    assert tuple(result_counts(results).first())[1:] == (3, 3)
-    assert flat_results(results).count() == 4
-
-
-def test_links(spark, value):
-    def link(kind, key, url=None, ms=None, line=None, anchor=None, **ids):
-        df = spark.createDataFrame([(kind, key, url, ms)], "type string, id string, url string, ms bigint")
-        made = passage_link(F.struct("type", "id", "url"), attrs(**{k: F.lit(v) for k, v in ids.items()}), F.col("ms"), F.lit(line).cast("int"), F.lit(anchor).cast("string"), "http://h/")
-        return df.select(made.alias("v")).first().v
-
-    assert link("video", "abc", ms=64000) == "https://www.youtube.com/watch?v=abc&t=64s"
-    assert link("episode", "x", ms=11120, spotify_episode_id="0T") == "https://open.spotify.com/episode/0T?t=11"
-    assert link("episode", "x", ms=64000, apple_track_id="9", itunes_id="7") == "https://podcasts.apple.com/us/podcast/id7?i=9&t=64"
-    assert link("snippet", "snippet:8f é", ms=5000) == "http://h/listen?asset=snippet%3A8f%20%C3%A9&t=5"
-    assert link("snippet", "s") == "http://h/listen?asset=s"
-    assert link("post", "x", url="http://p", ms=5) == "http://p"
-    assert link("file", "x", url="http://p#old", line=12) == "http://p#L12"
-    assert link("doc", "x", url="http://p", anchor="use") == "http://p#use" and link("doc", "x", url="http://p#q", anchor="use") == "http://p#q"
-    assert value(lambda t: with_time(t, F.lit(3)), "http://a/b?uo=4&t=9&x=1#f") == "http://a/b?t=3&x=1#f"
+    got = {
+        r.query_id: [((g.header.type, g.header.id), [((e.asset.type, e.asset.id), [p.passage["at"] for p in e.passages], e.match_types, e.score) for e in g.assets]) for g in r.groups]
+        for r in results.collect()
+    }
+    assert got == {q: v for q, v in want.items() if v}
+    counts = {r[0]: (r[1], r[2]) for r in result_counts(results).collect()}
+    assert counts == {q: (len(v), sum(len(e) for _, e in v)) for q, v in want.items() if v}
+    assert flat_results(results).count() == sum(len(e[1]) for v in want.values() for _, es in v for e in es)
+
+
+def test_links_follow_the_kind_and_ids_of_an_asset(spark, value):
+    """Every mix of kind, ids, time, line and anchor against a plain rule."""
+    kinds, ids = ("video", "episode", "post", "file", "doc", "snippet"), ("youtube_video_id", "spotify_episode_id", "apple_track_id")
+    rows, want = [], []
+    for kind, url, ms, line, anchor, held in itertools.product(kinds, (None, "https://sea.example/a"), (None, 83_999), (None, 5), (None, "keel"), range(4)):
+        known = {name: f"{name[0]}{held}" for i, name in enumerate(ids) if i == held - 1}
+        t = (ms or 0) // 1000
+        if kind in ("post", "file", "doc") and url:
+            link = url + (f"#L{line}" if kind == "file" and line else f"#{anchor}" if kind == "doc" and anchor else "")
+        elif kind == "video" or "youtube_video_id" in known:
+            link = f"https://www.youtube.com/watch?v={known.get('youtube_video_id', 'A b/1')}&t={t}s"
+        elif "spotify_episode_id" in known:
+            link = f"https://open.spotify.com/episode/{known['spotify_episode_id']}?t={t}"
+        elif "apple_track_id" in known:
+            link = f"https://podcasts.apple.com/us/podcast/id77?i={known['apple_track_id']}&t={t}"
+        else:
+            link = "/listen?asset=A%20b%2F1" + ("" if ms is None else f"&t={t}")
+        if kind in ("file", "doc") and not url and link.startswith("http"):
+            link = link + (f"#L{line}" if kind == "file" and line else f"#{anchor}" if kind == "doc" and anchor else "")
+        rows.append((kind, "A b/1", url, ms, line, anchor, *[known.get(name) for name in ids]))
+        want.append(link)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, type string, id string, url string, ms bigint, line int, anchor string, y string, s string, a string")
+    made = passage_link(F.struct("type", "id", "url"), attrs(youtube_video_id=F.col("y"), spotify_episode_id=F.col("s"), apple_track_id=F.col("a")), F.col("ms"), F.col("line"), F.col("anchor"), "", "77")
+    assert [r.v for r in df.orderBy("n").select(made.alias("v")).collect()] == want
+    assert value(lambda t: with_time(t, F.lit(8)), "https://sea.example/x?k=%20v&uo=&t=1&t=2#top") == "https://sea.example/x?k=%20v&t=8#top"
 
 
 def test_vectors(spark):

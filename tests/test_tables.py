@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from passagework.operators import enrich, state
-from passagework.operators.clips import clip_pages
+from passagework.operators.clips import clip_pages, transcript_lines, write_transcripts
 from passagework.operators.schema import (
     attrs, construction_errors, from_legacy, node, passage_filter, split_valid, to_passages, validation_errors,
 )
@@ -125,6 +125,34 @@ def test_title_matching(spark):
     assert loose == {"1": 1, "2": 1, "3": 1, "4": None, "5": 1}
 
 
+def test_titles_with_one_common_start_stay_linear(spark):
+    """Hundreds of titles that begin alike meet by their rare ends, not by their start."""
+    titles = spark.createDataFrame([(f"the long running harbour programme part {i:04d}",) for i in range(400)], "title_key string")
+    assert enrich.contained_titles(titles, titles).count() == 400
+    small = titles.select(F.col("title_key").alias("small"))
+    pairs = enrich._inside(small, "small", titles.select(F.col("title_key").alias("large")), "large")
+    joined = [line for line in pairs._jdf.queryExecution().toString().split("\n") if "Join" in line]
+    assert joined and pairs.count() == 400
+    mixed = spark.createDataFrame([("quay",), ("the quay wall",), ("wall",), ("zz",)], "title_key string")
+    got = {tuple(r) for r in enrich.contained_titles(mixed, mixed).collect()}
+    words = ["quay", "the quay wall", "wall", "zz"]
+    assert got == {(a, b) for a in words for b in words if a in b or b in a}
+
+
+def test_transcript_files(spark, tmp_path):
+    """Two assets of one title, one of them long: lines come back in order from their own files."""
+    assets = spark.createDataFrame([("a/1", "Same Title!", "2020-01-01", None), ("b2", "Same Title!", None, "u")], "asset_id string, title string, published string, url string")
+    texts = spark.createDataFrame([("a/1", i, f"line {i}") for i in range(50)] + [("b2", 0, "only")], "asset_id string, chunk_index int, text string").repartition(4)
+    write_transcripts(transcript_lines(assets, texts), str(tmp_path / "out"))
+    found = {}
+    for path in sorted((tmp_path / "out").glob("bucket=*/file=*/part-*")):
+        found.setdefault(path.parent.name, []).extend(path.read_text().splitlines())
+    assert found == {
+        "file=Same-Title-a1": ["Episode: Same Title!", "Date: 2020-01-01", "URL: Unknown", "-" * 50, "", *[f"line {i}" for i in range(50)]],
+        "file=Same-Title-b2": ["Episode: Same Title!", "Date: Unknown", "URL: u", "-" * 50, "", "only"],
+    }
+
+
 def test_clip_pages(spark):
     rows = [("p", 0, "h", "G", "A", 61000, "t"), ("p", 1, None, "A", "A", None, None), ("p", 2, "h", None, "A", 3661000, "u")]
     df = spark.createDataFrame(rows, "pack_id string, ord int, href string, group_title string, asset_title string, start_ms bigint, text string")
