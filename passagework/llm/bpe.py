@@ -15,6 +15,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm.common import most_frequent
 from passagework.operators.common import materialize
 
 #: White space of the byte-level pre-tokenizer.
@@ -104,8 +105,8 @@ def steps(texts: pa.Array) -> Iterator[list[str]]:
 def word_table(docs: DataFrame, tokenizer: str, text: str = "text", words: int = 200_000, longest: int = 64) -> DataFrame:
     """Distinct words of all texts, counted in Spark and encoded once: ``word``, ``n``, ``ids``.
 
-    Returns the ``words`` most frequent of at most ``longest`` characters, which bounds the
-    table at about 40 MB whatever the corpus.
+    Returns the most frequent that occur twice or more, at most ``words`` and of at most
+    ``longest`` characters, which bounds the table at about 40 MB whatever the corpus.
     """
 
     def count(batches):
@@ -125,7 +126,7 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", words: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(words)
+    frequent = most_frequent(materialize(counts.filter("n > 1"), "bpe-counts"), "n", words)
     return materialize(frequent.mapInArrow(encode, "word string, n long, ids array<int>"), "bpe-words")
 
 

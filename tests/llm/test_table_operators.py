@@ -378,3 +378,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) > 0 for r in final)
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, ((r["doc_id"], tuple(r["ids"])) for r in again))) == sorted((r["doc_id"], tuple(r["ids"])) for r in final)
+
+
+def test_most_frequent_rows_per_key(spark):
+    rng = random.Random(17)
+    rows = [(k, i, rng.choice([1, 1, 1, 2, 5, 40, 41, 900])) for k in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, n long")
+    for limit in (10, 100, 1000):
+        kept = common.most_frequent(df, "n", limit, "k").collect()
+        for k in "ab":
+            own = sorted((r["n"] for r in kept if r["k"] == k), reverse=True)
+            every = sorted((n for key, _, n in rows if key == k), reverse=True)
+            assert len(own) <= limit and own == every[: len(own)]
+            assert len(own) == len(every) if limit == 1000 else len(own) + sum(n == every[len(own)] or 40 <= n <= 41 for n in every) > limit
+    assert common.most_frequent(df, "n", 1000).count() == 400
