@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators.common import materialize, top_per
+from passagework.llm.common import most_frequent
+from passagework.operators.common import materialize
 
 ORDER = 4
 UNITS_PER_STEP = 2_000_000
@@ -154,7 +155,7 @@ def train(labelled: DataFrame, max_cells: int = 20_000_000) -> Models:
         context = F.shiftrightunsigned("gram", 16)
         contexts = counts.groupBy("lang", context.alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
         few = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()
-        kept = [top_per(df, ["lang"], [F.desc("n"), F.col("gram")], limit).toPandas() for df in (counts, contexts)]
+        kept = [most_frequent(df, "n", limit, "lang").toPandas() for df in (counts, materialize(contexts, "lang-contexts"))]
         for row in few:
             discounts[row["lang"], order] = row["one"] / (row["one"] + 2 * row["two"]) if row["one"] and row["two"] else 0.5
         for lang in langs:
