@@ -278,14 +278,15 @@ def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int = 160) -> Model:
-    """Model from at most ``rows`` labelled texts (``doc_id``, ``text``; ``doc_id``, ``label`` 0 or 1).
+    """Model from about ``rows`` labelled texts (``doc_id``, ``text``; ``doc_id``, ``label`` 0 or 1).
 
-    The sample is the labels with the smallest hashes of their id; rows without text, id or
+    The sample is one class of the hash of the id, of as many as make that size; rows without text, id or
     label teach nothing. Toxic texts are learned twice, the second time with a letter
     inserted in every word. With one label only, every score is that label's share.
     """
     spark = docs.sparkSession
-    some = labels.filter("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    known = labels.filter("doc_id is not null and label in (0, 1)")
+    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-known.count() // rows)))) == 0)
     sample = materialize(join_sized(docs.select("doc_id", "text").filter("text is not null"), materialize(some, "tox-labels"), ["doc_id"]), "tox-sample")
     picked = pick_landmarks(sample, landmarks)
     if not picked:
