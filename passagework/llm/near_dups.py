@@ -129,39 +129,47 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return pairs.filter(same("ta", "tb")).select("a", "b").distinct()
 
 
-def own_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """How many of a node's shingles no other node of ``texts`` has: ``node``, ``own``.
-
-    Nodes with more than one row get no count.
-    """
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``node, shingles``: the set of every row of ``texts``, sorted as signed numbers."""
 
     @F.arrow_udf("array<long>")
     def sets(column: pa.Array) -> pa.Array:
-        found = [shingle_set(t, size).view(np.int64) for t in column.to_pylist()]
+        found = [np.sort(shingle_set(t.as_py(), size).view(np.int64)) for t in column]
         ends = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
 
-    each = texts.select("node", F.explode(sets("text")).alias("shingle"))
+    return texts.select("node", sets("text").alias("shingles"))
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """How many of a node's shingles no other node of ``sets`` has: ``node``, ``own``.
+
+    Nodes with more than one row get no count.
+    """
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
     single = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
-    several = texts.groupBy("node").count().filter("count > 1")
+    several = sets.groupBy("node").count().filter("count > 1")
     return single.groupBy("node").agg(F.count("*").alias("own")).join(several, "node", "left_anti")
 
 
-def open_members(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, own_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Members of buckets whose pivots have left them in several components.
+def open_members(
+    members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets whose pivots have left them in several components, and their sets.
 
-    Of a node's ``n`` shingles ``own`` stand in no other node of such buckets (``own_of``),
-    so no partner shares more than ``n - own`` with it: nodes that this keeps below the
-    threshold with everyone are left out. Returns ``bucket, band, node, n, own``.
+    Of a node's ``n`` shingles ``own`` stand in no other node of such buckets, so no
+    partner shares more than ``n - own`` with it: nodes that this keeps below the threshold
+    with everyone are left out. Returns (``bucket, band, node, n, own``; ``node, shingles``).
     """
     own = _labelled(members, labels)
     hubs = own.filter("node = hub").select("bucket", F.col("label").alias("hub_label"))
     own = materialize(own.join(hubs, "bucket").select("bucket", "band", "node", (F.col("label") != F.col("hub_label")).alias("minor")), "dup-buckets")
     rows = materialize(own.join(own.filter("minor").select("bucket").distinct(), "bucket"), "dup-open")
     ids = materialize(rows.select("node").distinct(), "dup-open-ids")
-    sized = ids.join(nodes.select("node", "n"), "node").join(own_of(ids), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sets = materialize(sets_of(ids), "dup-open-sets")
+    sized = ids.join(nodes.select("node", "n"), "node").join(own_shingles(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     sized = materialize(sized.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "dup-open-sizes")
-    return materialize(rows.select("bucket", "band", "node").join(sized, "node"), "dup-open")
+    return materialize(rows.select("bucket", "band", "node").join(sized, "node"), "dup-open"), sets
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,13 +204,17 @@ def central_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     return _pairs(star.select(F.col("node1").alias("a"), F.col("node2").alias("b")))
 
 
-def missed_pairs(rows: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, m: int, band: int, least: int, percent: int) -> DataFrame:
-    """All pairs of open members that are in one bucket but still in different components.
+def missed_pairs(
+    rows: DataFrame, sets: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, m: int, band: int, least: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """What open members of one bucket but different components still have to do with each other.
 
     Members apart from their bucket's central one (minors) are compared with all others,
-    signature against signature, where sizes and own shingles let the pair reach the
-    threshold: small buckets by a join, large ones in blocks of bounded size, each pair
-    in the first band it shares. Nothing is capped.
+    where sizes and own shingles let the pair reach the threshold. Small buckets give pairs
+    to confirm. Large ones are compared in blocks of bounded size, signature against
+    signature, then set against set, each pair in the first band it shares, and give only
+    confirmed links, one for each minor and other component. Nothing is capped. Returns
+    (pairs to confirm, confirmed links).
     """
     own = _labelled(rows, labels)
     own = own.join(_central(own).select("bucket", F.col("label2").alias("mid")), "bucket").withColumn("minor", F.col("label") != F.col("mid")).drop("mid")
@@ -214,33 +226,45 @@ def missed_pairs(rows: DataFrame, labels: DataFrame, nodes: DataFrame, tested: D
     two = small.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "own", "label")])
     few = one.join(two, "bucket").filter((F.col("label1") != F.col("label2")) & _reachable(percent))
     few = _pairs(few.select(F.col("node1").alias("a"), F.col("node2").alias("b"))).join(tested, ["a", "b"], "left_anti")
-    many = large.join(nodes.select("node", "signature"), "node")
+    many = large.join(nodes.select("node", "signature"), "node").join(sets, "node")
     i_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("minors") / MINOR_ROWS))
     j_of = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / MEMBER_ROWS))
     every = lambda n, rows: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / rows) - 1))
-    keep = ["bucket", "band", "node", "label", "n", "own", "signature"]
+    keep = ["bucket", "band", "node", "label", "n", "own", "signature", "shingles"]
     blocks = many.filter("minor").select(*keep, i_of.alias("i"), every("members", MEMBER_ROWS).alias("j"), F.lit(True).alias("left"))
     blocks = blocks.unionByName(many.select(*keep, every("minors", MINOR_ROWS).alias("i"), j_of.alias("j"), F.lit(False).alias("left")))
 
     def compare(table: pa.Table) -> pa.Table:
         left, right = table.filter(table["left"]), table.filter(pa.compute.invert(table["left"]))
         out_a, out_b = [], []
-        if right.num_rows:
+        if left.num_rows and right.num_rows:
             grid = np.frombuffer(b"".join(right["signature"].to_pylist()), np.uint16).reshape(-1, m)
             labels_of, ids_of, n_of, own_of = (right[c].to_numpy() for c in ("label", "node", "n", "own"))
-            here = table["band"][0].as_py()
-            for row in left.to_pylist():
+            here, held = table["band"][0].as_py(), right["shingles"].combine_chunks()
+            flat, ends = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
+            mine = left["shingles"].combine_chunks()
+            for k, row in enumerate(left.drop_columns(["shingles"]).to_pylist()):
                 top = np.minimum(n_of - own_of, row["n"] - row["own"])
                 near = np.flatnonzero((labels_of != row["label"]) & (100 * top >= percent * (n_of + row["n"] - top)))
                 same = grid[near] == np.frombuffer(row["signature"], np.uint16)
                 first = same[:, : m // band * band].reshape(len(near), m // band, band).all(2).argmax(1) == here
-                near = near[first & (same.sum(1) >= least)]
-                out_a += [row["node"]] * len(near)
-                out_b += ids_of[near].tolist()
+                likely_ones = first & (same.sum(1) >= least)
+                near, same = near[likely_ones], same[likely_ones]
+                own, done = mine[k].values.to_numpy(), set()
+                for at in near[np.argsort(-same.sum(1), kind="stable")]:
+                    if labels_of[at] in done:
+                        continue
+                    other = flat[ends[at] : ends[at + 1]]
+                    spot = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    both = int((own[spot] == other).sum())
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        done.add(labels_of[at])
+                        out_a.append(row["node"])
+                        out_b.append(int(ids_of[at]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    blocked = _pairs(blocks.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")).join(tested, ["a", "b"], "left_anti")
-    return likely(few, nodes, m, least).unionByName(blocked).distinct()
+    found = blocks.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    return likely(few, nodes, m, least), _pairs(found)
 
 
 def near_duplicates(
@@ -303,14 +327,17 @@ def near_duplicates(
 
     links = confirm(materialize(likely(tested, nodes, m, least), "dup-likely"))
     labels = components(links)
-    rest = open_members(members, labels, nodes, percent, lambda ids: own_shingles(texts_of(ids), shingle))
+    rest, open_sets = open_members(members, labels, nodes, percent, lambda ids: full_sets(texts_of(ids), shingle))
     if rest.limit(1).count():
         star = materialize(central_pairs(rest, labels, percent).join(tested, ["a", "b"], "left_anti"), "dup-tested")
         links = materialize(links.unionByName(confirm(materialize(likely(star, nodes, m, least), "dup-likely"))), "dup-links")
         labels, tested = components(links), tested.unionByName(star)
-        missed = materialize(missed_pairs(rest, labels, nodes, tested, m, band, least, percent), "dup-missed")
-        if missed.limit(1).count():
-            labels = components(links.unionByName(confirm(missed)))
+        pairs, found = missed_pairs(rest, open_sets, labels, nodes, tested, m, band, least, percent)
+        pairs, found = materialize(pairs, "dup-missed"), materialize(found, "dup-links")
+        if pairs.limit(1).count():
+            found = found.unionByName(confirm(pairs))
+        if found.limit(1).count():
+            labels = components(links.unionByName(found))
     roots = sets.select(digest, node).join(labels.withColumnRenamed("id", node), node, "left")
     roots = materialize(roots.select(F.col(digest), F.coalesce("component", node).alias("component_id")), "dup-roots")
     whole = rows.withColumn(digest, F.when((F.col(f"{s}.n") > 0) & F.col(doc_id).isNotNull(), F.col(f"{s}.digest")))

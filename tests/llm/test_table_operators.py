@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passagework.llm import common, exact_search, hnsw, mixing, near_dups, sharding
+from passagework.llm import bpe, common, exact_search, hnsw, mixing, near_dups, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -230,6 +231,14 @@ def _near_docs(seed=6):
     return list(enumerate(rows)) + [(None, "same text here now"), (3, rows[3])]
 
 
+def _plain_groups(links, ids):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def _plain_components(rows, size, percent):
     def shingles(text):
         w = [x.decode() for x in (text or "").encode().lower().split()]
@@ -296,11 +305,21 @@ def test_missed_pairs_are_all_pairs_across_components(spark):
     pairs = {(a, b) for a in bands[0] for b in bands[0] if a < b and not (a < 10 and b < 10) and reachable(a, b)}
     close = {p for p in pairs if p[0] and (signatures[p[0]] == signatures[p[1]]).sum() >= 60}
     want = {p for p in close if first(*p) is not None}
+    # node i has 100 + i shingles; nodes of one third have all of the smaller set in common
+    sets = {i: sorted(range(1000 * (i % 3), 1000 * (i % 3) + 100 + i)) for i in range(40)}
+    shingles = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
     for limit in (2, 100):
         near_dups.SMALL_BUCKET, before = limit, near_dups.SMALL_BUCKET
-        got = near_dups.missed_pairs(rest, labels, nodes, tested, 100, 4, 60, 85)
+        pairs_left, found = near_dups.missed_pairs(rest, shingles, labels, nodes, tested, 100, 4, 60, 85)
+        got, links = ({(r["a"], r["b"]) for r in df.collect()} for df in (pairs_left, found))
         near_dups.SMALL_BUCKET = before
-        assert want <= {(r["a"], r["b"]) for r in got.collect()} <= close
+        if limit == 100:
+            assert want <= got <= close and not links
+        else:
+            exact = {(a, b) for a, b in want if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+            joined = lambda some: _plain_groups(some | {(0, i) for i in range(10)}, range(40))
+            assert not got and links <= exact and joined(links) == joined(exact)
+            assert len(exact) > 5
     assert len(want) > 5
     star = {(r["a"], r["b"]) for r in near_dups.central_pairs(rest, labels, 85).collect()}
     assert star == {p for p in pairs if p[0] == 0}  # node 0 has no shingle of its own
@@ -308,7 +327,7 @@ def test_missed_pairs_are_all_pairs_across_components(spark):
 
 def test_own_shingles(spark):
     texts = spark.createDataFrame([(1, "a b c d"), (2, "b c d e"), (3, "x"), (4, "p q r"), (4, "s t u")], "node long, text string")
-    assert {tuple(r) for r in near_dups.own_shingles(texts, 3).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert {tuple(r) for r in near_dups.own_shingles(near_dups.full_sets(texts, 3)).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
 def test_super_minhash_estimates_with_less_spread():
@@ -375,7 +394,10 @@ def test_pipeline_stages(spark, tmp_path):
     want = Counter({k[0]: k[4] * n for k, n in _plain_mix(kept).items() if k[4]})
     assert Counter(r["doc_id"] for r in seen["mix"].collect()) == want
     final = seen["tokens"].collect()
-    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) > 0 for r in final)
+    assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in final)
+    texts = Counter((r["doc_id"], r["text"]) for r in seen["mix"].collect())
+    decoded = bpe.decode(seen["tokens"], public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in decoded) == texts
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, ((r["doc_id"], tuple(r["ids"])) for r in again))) == sorted((r["doc_id"], tuple(r["ids"])) for r in final)
 
