@@ -13,7 +13,7 @@ from passagework.llm.common import most_frequent
 from passagework.operators.common import materialize
 
 ORDER = 4
-UNITS_PER_STEP = 2_000_000
+UNITS_PER_STEP = 300_000
 FLOOR = 1.0 / 65536
 
 
