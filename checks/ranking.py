@@ -206,6 +206,19 @@ def knn_buckets(spark, sf):
     return knn_approximate(*_vectors(spark, sf), 64, 50)
 
 
+@query(
+    "knn_approximate_recall",
+    "SELECT label AS query_id, least(50, (SELECT count(*) FROM embeddings)) AS n, true AS recalled FROM embeddings GROUP BY label",
+)
+def knn_recall(spark, sf):
+    """Rows per query, and whether at least half of the exact neighbours are among them."""
+    centroids, vectors = _vectors(spark, sf)
+    near = knn_approximate(centroids, vectors, 64, 50, bands=32, bits=6).select("query_id", "vec_id", F.lit(1).alias("near"))
+    exact = knn_exact(centroids, vectors, 50).select("query_id", "vec_id", F.lit(1).alias("exact"))
+    both = near.join(exact, ["query_id", "vec_id"], "full").groupBy("query_id")
+    return both.agg(F.count("near").alias("n"), (F.sum(F.col("near") * F.col("exact")) >= 0.5 * F.count("exact")).alias("recalled"))
+
+
 def _lists(spark, sf):
     index = build_index(document_passages(spark, sf), TEXT_ONLY)
     queries = benchmark_queries(spark, sf)

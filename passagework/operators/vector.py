@@ -18,8 +18,8 @@ QUERIES_PER_SCAN = 4096
 
 
 def candidate_count(limit: int) -> int:
-    """How many candidates an approximate search ranks exactly."""
-    return min(max(10 * limit, 40), 10_000)
+    """How many candidates an approximate search ranks exactly: never fewer than it returns."""
+    return max(limit, min(max(10 * limit, 40), 10_000))
 
 
 def term_vector_search(
@@ -148,21 +148,39 @@ def band_keys(embedding: Column, dims: int, bands: int = 16, bits: int = 8, seed
 
 
 def knn_approximate(
-    queries: DataFrame, vectors: DataFrame, dims: int, limit: int = 10, filters: dict[str, object] | None = None, **lsh: int
+    queries: DataFrame, vectors: DataFrame, dims: int, limit: int = 10, filters: dict[str, object] | None = None,
+    bands: int = 16, bits: int = 8,
 ) -> DataFrame:
     """``query_id, vec_id, score, rank``: nearest neighbours through shared buckets.
 
     The vectors sharing most bucket keys with a query are the candidates
     (:func:`candidate_count` of them, the over-fetch of the search); their cosine is then
-    computed exactly. A bucket holding many copies is no hot spot: the query side is the
-    one that is broadcast or split, and shared keys are counted map-side.
+    computed exactly. Queries that find fewer than ``limit`` rows are asked again with
+    wider buckets (fewer bits), and what is still short is searched exactly, so every
+    query gets ``limit`` rows if the table has them.
     """
-    source = with_filters(vectors, filters)
-    keyed = source.select("vec_id", F.explode(band_keys(F.col("embedding"), dims, **lsh)).alias("band"))
-    asked = materialize(
-        queries.select("query_id", F.explode(band_keys(F.col("embedding"), dims, **lsh)).alias("band")), "query-bands"
-    )
-    shared = join_sized(keyed, asked, ["band"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("shared"))
+    source = with_filters(vectors, filters).filter(F.col("embedding").isNotNull())
+    found, rest = None, materialize(queries.select("query_id", "embedding"), "knn-queries")
+    for width in sorted({bits, max(1, bits // 2), max(1, bits // 4)}, reverse=True):
+        hits = materialize(_in_buckets(rest, source, dims, limit, bands, width), "knn-hits")
+        full = hits.groupBy("query_id").count().filter(F.col("count") >= limit).select("query_id")
+        done = hits.join(full, "query_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        rest = materialize(rest.join(full, "query_id", "left_anti"), "knn-queries")
+        if rest.isEmpty():
+            return found
+    return found.unionByName(knn_exact(rest, source, limit).select(*found.columns))
+
+
+def _in_buckets(queries: DataFrame, source: DataFrame, dims: int, limit: int, bands: int, bits: int) -> DataFrame:
+    """Neighbours among vectors of a shared bucket.
+
+    A bucket holding many copies is no hot spot: the query side is the one that is
+    broadcast or split, and shared keys are counted map-side.
+    """
+    keys = lambda: F.explode(band_keys(F.col("embedding"), dims, bands, bits)).alias("band")
+    asked = materialize(queries.select("query_id", keys()), "query-bands")
+    shared = join_sized(source.select("vec_id", keys()), asked, ["band"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("shared"))
     chosen = top_per(
         shared, ["query_id"], [F.col("shared").desc(), F.col("vec_id")], candidate_count(limit), "_n"
     ).select("query_id", "vec_id")
