@@ -165,28 +165,33 @@ def keyword_search(
 # --- highlights -----------------------------------------------------------------------
 
 
-def fragments(text: Column, terms: Column, analyzer: str, most: int = 2) -> Column:
+def fragments(text: Column, terms: Column, analyzer: str, most: int = 2, words: Column | None = None) -> Column:
     """The ``most`` sentences with most matching words, in reading order.
 
     Returns ``array<struct<texts: array<struct<value, type>>>>`` where words whose
-    analysed form is in ``terms`` have type ``hit``.
+    analysed form is in ``terms``, or which are in ``words`` (lower case: what typos were
+    expanded to), have type ``hit``.
     """
-    from ..functions.analysis import TOKEN
+    from ..functions.analysis import STOP_WORDS, TOKEN
+
+    def hit(word: Column) -> Column:
+        exact = F.arrays_overlap(analyze(word, analyzer), terms)
+        if words is None:
+            return exact
+        plain = F.lower(word)
+        return exact | (~plain.isin(*STOP_WORDS) & F.array_contains(words, plain))
 
     def pieces(sentence: Column) -> Column:
         gaps = F.split(sentence, TOKEN)
-        words = F.regexp_extract_all(sentence, F.lit(TOKEN), 0)
+        found = F.regexp_extract_all(sentence, F.lit(TOKEN), 0)
         return F.flatten(
             F.zip_with(
                 gaps,
-                words,
+                found,
                 lambda gap, word: F.filter(
                     F.array(
                         F.struct(gap.alias("value"), F.lit("text").alias("type")),
-                        F.struct(
-                            word.alias("value"),
-                            F.when(F.arrays_overlap(analyze(word, analyzer), terms), "hit").otherwise("text").alias("type"),
-                        ),
+                        F.struct(word.alias("value"), F.when(hit(word), "hit").otherwise("text").alias("type")),
                     ),
                     lambda p: p["value"].isNotNull() & (p["value"] != ""),
                 ),
@@ -195,11 +200,9 @@ def fragments(text: Column, terms: Column, analyzer: str, most: int = 2) -> Colu
 
     scored = F.filter(
         F.transform(
-            sentences(squeeze(text)),
+            sentences(squeeze(F.coalesce(text, F.lit("")))),
             lambda s, i: F.struct(
-                F.size(F.filter(analyze(s, analyzer), lambda t: F.array_contains(terms, t))).alias("n"),
-                (-i).alias("order"),
-                s.alias("sentence"),
+                F.size(F.filter(F.regexp_extract_all(s, F.lit(TOKEN), 0), hit)).alias("n"), (-i).alias("order"), s.alias("sentence")
             ),
         ),
         lambda s: s["n"] > 0,
@@ -209,6 +212,18 @@ def fragments(text: Column, terms: Column, analyzer: str, most: int = 2) -> Colu
     return F.transform(ordered, lambda s: F.struct(pieces(s["sentence"]).alias("texts")))
 
 
+# The highlighted fields in their order, with the analyzer of their words.
+HIGHLIGHTED = (("text", "english"), ("asset.title", "english"), ("parent.title", "english"), ("code", "standard"))
+
+
+def typo_words(weights: DataFrame) -> DataFrame:
+    """``query_id, words``: vocabulary words that a query's words stand for in its fuzzy clauses.
+
+    At most ``MAX_EXPANSIONS`` for each word of the query.
+    """
+    return weights.filter(F.col("field").endswith(".fuzzy")).groupBy("query_id").agg(F.collect_set("term").alias("words"))
+
+
 def highlight_html(highlights: Column, fallback: Column) -> Column:
     """Snippet markup: marked fragments joined by an ellipsis, or the start of the text."""
 

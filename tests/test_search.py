@@ -82,9 +82,12 @@ def test_search_by_every_way(spark):
     assert first_asset(rows["starboard lights"]).asset.id == "d/lights" and rows["starboard lights"].mode == "rrf"
     assert "green ones to <mark>starboard</mark>" in first_asset(rows["starboard lights"]).passages[0].passage.snippet_html
     assert first_asset(rows["bowlnie"]).asset.id == "vid-9" and rows["bowlnie"].mode == "keyword"
+    assert first_asset(rows["bowlnie"]).passages[0].passage.snippet_html == "A <mark>bowline</mark> never slips."
+    assert "Mooring in <mark>swell</mark>" in first_asset(rows["swell"]).passages[0].passage.snippet_html
     code = first_asset(rows["patchHull"])
     assert rows["patchHull"].mode.endswith("+code") and code.asset.type == "file" and "code" in code.match_types
     assert code.passages[0].passage.href == "https://sea.example/p#L31"
+    assert "func <mark>patchHull</mark>(planks int) {}" in code.passages[0].passage.snippet_html
     assert rows["& <raft"].total == 1 and first_asset(rows["& <raft"]).asset.id == "crew/dinghy"
     assert (rows["zzzz 0000"].mode, rows["zzzz 0000"].groups, rows["zzzz 0000"].total) == (None, None, 0)
     assert first_asset(rows["dinghx"]).asset.id == "crew/dinghy"
