@@ -449,7 +449,36 @@ def repo_readmes(spark, sf):
     return repo.readmes(named).select("repo", F.col("readme").alias("readme_path"))
 
 
-@query("file_passages")
+# The README of a repository is one short line here (a path), so that is its lead.
+_FILE_PASSAGES = f"""WITH RECURSIVE {_FILES.strip()},
+lead AS (SELECT repo, min(path) AS lead FROM fs GROUP BY repo),
+w0 AS (SELECT path, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]{{3,}}$')
+   AND lower(t) NOT IN ({', '.join(f"'{k}'" for k in repo.KEYWORDS)})) AS found FROM fs),
+names AS (SELECT path, list_filter(found, lambda t, n: list_position(found, t) = n)[1:6] AS names FROM w0),
+l AS (SELECT path, {lines_sql('text')} AS rows FROM fs WHERE ext <> '.md'),
+s AS (SELECT path, rows, len(rows) AS n, list_transform(rows, lambda x: length(x)) AS sizes FROM l
+  WHERE len(list_filter(rows, lambda x: {strip_sql('x')} <> '')) > 0),
+w AS (
+  SELECT path, 0::BIGINT AS off, 0::BIGINT AS took, 0::BIGINT AS next FROM s
+  UNION ALL
+  SELECT path, next, k, CASE WHEN next + k >= n THEN -1 ELSE next + greatest(1, k - 10) END FROM (
+    SELECT w.path, w.next, s.n, greatest(1, len(list_filter(range(1, least(80, s.n - w.next) + 1),
+      lambda c: list_sum(s.sizes[w.next + 1 : w.next + c]) + c - 1 <= 3500))) AS k
+    FROM w JOIN s USING (path) WHERE w.next >= 0 AND (w.took = 0 OR w.next > 0)) q),
+b AS (SELECT w.path, off, took, array_to_string(rows[off + 1 : off + took], chr(10)) AS body FROM w JOIN s USING (path) WHERE took > 0),
+parts AS (SELECT path, off, CASE WHEN took = 1 THEN list_transform(range(greatest(1, ceil(length(body) / 3500.0))::BIGINT), lambda i: body[i * 3500 + 1 : (i + 1) * 3500]) ELSE [body] END AS p FROM b),
+r AS (SELECT path, off, unnest(range(len(p))) AS k, regexp_replace(unnest(p), '^\\n+|\\n+$', '', 'g') AS code FROM parts),
+code AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY off, k) - 1)::INT AS chunk_index, (off + 1)::INT AS start_line, code FROM r WHERE {strip_sql('code')} <> ''),
+sents AS (SELECT path, flatten(list_transform({sentences_sql(squeeze_sql('text'))}, lambda s: {SLICES})) AS parts FROM fs WHERE ext = '.md' AND {squeeze_sql('text')} <> ''),
+prose AS (SELECT path, {packed_sql('parts')} AS pieces FROM sents)
+SELECT fs.repo, path, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' END AS language, sha1(encode('blob ' || octet_length(body) || chr(0)) || body) AS ref, chunk_index,
+  CASE WHEN chunk_index > 0 THEN path ELSE path || CASE WHEN len(names) > 0 THEN '. defines ' || array_to_string(names, ', ') ELSE '' END || '. ' || lead END AS text, code, start_line
+FROM code JOIN fs USING (path) JOIN names USING (path) JOIN lead USING (repo)
+UNION ALL
+SELECT repo, path, NULL, sha1(encode('blob ' || octet_length(body) || chr(0)) || body), unnest(range(len(pieces)))::INT, {strip_sql('unnest(pieces)')}, NULL, NULL FROM prose JOIN fs USING (path)"""
+
+
+@query("file_passages", _FILE_PASSAGES)
 def file_passages(spark, sf):
     files = repo.repo_files(_files(spark, sf))
     readmes = files.groupBy("repo").agg(F.min("path").alias("readme"))
