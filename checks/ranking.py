@@ -17,7 +17,7 @@ from .terms import english_sql, standard_sql
 # Fields of the document passages with their text in SQL.
 PROSE = tuple(f for f in FIELDS if f.name != "code")
 TEXT_ONLY = tuple(f for f in FIELDS if f.name in ("text", "asset.title", "parent.title"))
-_SOURCE = {"text": "text", "asset.title": "title", "parent.title": "source", "attrs.path": "path"}
+_SOURCE = {"code": "code", "text": "text", "asset.title": "title", "parent.title": "source", "attrs.path": "path"}
 
 
 def postings_sql(fields) -> str:

@@ -450,7 +450,7 @@ def repo_readmes(spark, sf):
 
 
 # The README of a repository is one short line here (a path), so that is its lead.
-_FILE_PASSAGES = f"""WITH RECURSIVE {_FILES.strip()},
+FILE_CTES = f"""{_FILES.strip()},
 lead AS (SELECT repo, min(path) AS lead FROM fs GROUP BY repo),
 w0 AS (SELECT path, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]{{3,}}$')
    AND lower(t) NOT IN ({', '.join(f"'{k}'" for k in repo.KEYWORDS)})) AS found FROM fs),
@@ -470,15 +470,15 @@ parts AS (SELECT path, off, CASE WHEN took = 1 THEN list_transform(range(greates
 r AS (SELECT path, off, unnest(range(len(p))) AS k, regexp_replace(unnest(p), '^\\n+|\\n+$', '', 'g') AS code FROM parts),
 code AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY off, k) - 1)::INT AS chunk_index, (off + 1)::INT AS start_line, code FROM r WHERE {strip_sql('code')} <> ''),
 sents AS (SELECT path, flatten(list_transform({sentences_sql(squeeze_sql('text'))}, lambda s: {SLICES})) AS parts FROM fs WHERE ext = '.md' AND {squeeze_sql('text')} <> ''),
-prose AS (SELECT path, {packed_sql('parts')} AS pieces FROM sents)
-SELECT fs.repo, path, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' END AS language, sha1(encode('blob ' || octet_length(body) || chr(0)) || body) AS ref, chunk_index,
+prose AS (SELECT path, {packed_sql('parts')} AS pieces FROM sents),
+file_pieces AS (SELECT fs.repo, path, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' END AS language, sha1(encode('blob ' || octet_length(body) || chr(0)) || body) AS ref, chunk_index,
   CASE WHEN chunk_index > 0 THEN path ELSE path || CASE WHEN len(names) > 0 THEN '. defines ' || array_to_string(names, ', ') ELSE '' END || '. ' || lead END AS text, code, start_line
 FROM code JOIN fs USING (path) JOIN names USING (path) JOIN lead USING (repo)
 UNION ALL
-SELECT repo, path, NULL, sha1(encode('blob ' || octet_length(body) || chr(0)) || body), unnest(range(len(pieces)))::INT, {strip_sql('unnest(pieces)')}, NULL, NULL FROM prose JOIN fs USING (path)"""
+SELECT repo, path, NULL, sha1(encode('blob ' || octet_length(body) || chr(0)) || body), unnest(range(len(pieces)))::INT, {strip_sql('unnest(pieces)')}, NULL, NULL FROM prose JOIN fs USING (path))"""
 
 
-@query("file_passages", _FILE_PASSAGES)
+@query("file_passages", f"WITH RECURSIVE {FILE_CTES} SELECT * FROM file_pieces")
 def file_passages(spark, sf):
     files = repo.repo_files(_files(spark, sf))
     readmes = files.groupBy("repo").agg(F.min("path").alias("readme"))
