@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm.common import small_batches
+
 #: Kinds in their order within one start.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -74,9 +78,11 @@ def spans_of(text: str, raw: bytes, allowed: re.Pattern) -> list[tuple[int, int,
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((s, e) for s, _, e in found)
+    starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     for m in CANDIDATE.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if any(s < end and start < e for s, e in base) or allowed.fullmatch(run):
+        before = bisect_left(starts, end)  # spans that start before the run's end
+        if (before and ends[before - 1] > start) or allowed.fullmatch(run):
             continue
         if any(dense(run, *rule) for _, *rule in CLASSES):
             found.append((start, 3, end))
@@ -118,6 +124,7 @@ def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
 
 def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Add the column ``into`` (``secret_spans``); a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, secret_spans(F.col(text), allowed))
 
 
