@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.common import most_frequent
+from passagework.llm.common import most_frequent, small_batches
 from passagework.operators.common import materialize
 
 #: White space of the byte-level pre-tokenizer.
@@ -24,6 +24,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: A pre-token never crosses the ends of such a word, so words can be encoded on their own.
 WORD = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 CHARS_PER_STEP = 1_000_000
+WORDS_HELD = 200_000  # distinct words that a task counts before it passes them on
 #: Pre-tokens of byte-level BPE files (a fixed value of the format).
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -111,13 +112,20 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", words: int =
 
     def count(batches):
         own = tokenizer_of(tokenizer)
+        seen = Counter()
+
+        def told():
+            kept = [(w, n) for w, n in seen.items() if len(w) <= longest]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+
         for batch in batches:
             for run in steps(batch.column(0)):
-                seen = Counter()
                 for body in run:
                     seen.update(own.words(body))
-                kept = [(w, n) for w, n in seen.items() if len(w) <= longest]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+                if len(seen) > WORDS_HELD:
+                    yield told()
+                    seen.clear()
+        yield told()
 
     def encode(batches):
         own = tokenizer_of(tokenizer)
@@ -125,6 +133,7 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", words: int =
             ids = own.encode(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
+    small_batches(docs.sparkSession)
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = most_frequent(materialize(counts.filter("n > 1"), "bpe-counts"), "n", words)
     return materialize(frequent.mapInArrow(encode, "word string, n long, ids array<int>"), "bpe-words")

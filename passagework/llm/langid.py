@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import most_frequent
+from passagework.llm.common import most_frequent, small_batches
 from passagework.operators.common import materialize
 
 ORDER = 4
 UNITS_PER_STEP = 300_000
+GRAMS_HELD = 1_000_000
 FLOOR = 1.0 / 65536
 
 
@@ -67,18 +68,33 @@ def unit_steps(texts: pa.Array, letters: np.ndarray) -> Iterator[tuple[np.ndarra
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """Counts of four-unit grams by language over all rows: ``lang``, ``gram``, ``n``.
 
-    Each task adds up its batches by sorting; Spark adds up the tasks.
+    Each task adds up its steps by sorting and passes on its sums, at the latest when they
+    are ``GRAMS_HELD``; Spark adds up the tasks.
     """
+    small_batches(labelled.sparkSession)
 
     def count(batches):
-        letters = _letters()
+        letters, held = _letters(), {}
+
+        def told():
+            for lang, (keys, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 texts = batch.column(1).filter(pa.array(langs == lang))
                 for gram, _, _, _ in unit_steps(texts, letters):
                     keys, n = np.unique(gram, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                    if lang in held:
+                        had, counts = held[lang]
+                        keys, place = np.unique(np.concatenate((had, keys)), return_inverse=True)
+                        n = np.bincount(place, np.concatenate((counts, n))).astype(np.int64)
+                    held[lang] = keys, n.astype(np.int64)
+            if sum(len(keys) for keys, _ in held.values()) > GRAMS_HELD:
+                yield from told()
+                held.clear()
+        yield from told()
 
     return labelled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -177,6 +193,7 @@ def predicted(spark, models: Models, text: Column) -> Column:
     taken at 30 units or the text's length if shorter. Null texts and texts without a
     letter are ``und`` with confidence 0 and no cross-entropy.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(models)
 
     @F.arrow_udf(PREDICTION)

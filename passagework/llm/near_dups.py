@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import components, fresh
+from passagework.llm.common import components, fresh, small_batches
 from passagework.operators.common import join_sized, materialize
 
 SHINGLES_PER_STEP = 200_000
@@ -293,6 +293,7 @@ def near_duplicates(
     count as one node. An empty table gives an empty table; columns with one of the added
     names are replaced. Ids are whole numbers.
     """
+    small_batches(docs.sparkSession)
     added = ("n_shingles", "component_id", "kept")
     columns = [c for c in docs.columns if c not in added]
     s, digest, node = fresh(docs, "_set", "_digest", "_node")

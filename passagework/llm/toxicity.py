@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import fresh
+from passagework.llm.common import fresh, small_batches
 from passagework.operators.common import join_sized, materialize
 
 DECAY = 0.7  # per character skipped inside a subsequence
@@ -285,6 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
     inserted in every word. With one label only, every score is that label's share.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.filter("doc_id is not null and label in (0, 1)")
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-known.count() // rows)))) == 0)
     sample = materialize(join_sized(docs.select("doc_id", "text").filter("text is not null"), materialize(some, "tox-labels"), ["doc_id"]), "tox-sample")
@@ -314,6 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
 
 def toxicity(spark, model: Model, text: Column) -> Column:
     """Probability of label 1 for a whole text; null counts as the empty text."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
