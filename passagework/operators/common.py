@@ -52,10 +52,18 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this session; their DataFrames end with them."""
+def release(spark: SparkSession, *labels: str) -> None:
+    """Delete the intermediate tables of this session; their DataFrames end with them.
+
+    ``labels`` restricts it to tables whose label starts with one of them.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return
+    for status in files.listStatus(path):
+        if not labels or status.getPath().getName().startswith(labels):
+            files.delete(status.getPath(), True)
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
