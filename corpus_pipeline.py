@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns the documents that go on; the
 returns token ids. Null and empty texts leave in the first stage, as they have no
 language; no other stage drops a document but as a copy of one that stays, or because the
 mix draws it no time.
+
+A stage first deletes the intermediate tables that the stages before it have left; their
+results must have been written, as ``run`` does.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import bpe, langid, mixing, near_dups, secrets
-from passagework.operators.common import materialize
+from passagework.operators.common import materialize, release
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from ``lang``; those it rejects go."""
+    release(spark, *WORKING)
     labelled = docs.select("lang", "text").filter("lang is not null and text is not null")
     models = langid.train(labelled)
     levels = langid.rejection_levels(spark, labelled, models)
@@ -25,13 +29,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.filter(~langid.rejected(F.col("_language"), levels)).select(*docs.columns)
 
 
+#: Labels of the tables that operators write: by language, near duplicates, mix, tokens.
+WORKING = ("lang-", "dup-", "edges-", "roots-", "mix-", "bpe-")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8)."""
+    release(spark, *WORKING)
     return near_dups.near_duplicates(docs).filter("kept").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a sign and ``n_chars`` counted anew."""
+    release(spark, *WORKING)
     found = secrets.find_secrets(docs, into="_secrets")
     clear = secrets.redacted(F.col("text"), F.col("_secrets"))
     changed = found.withColumns({"text": clear, "n_chars": F.when(F.size("_secrets") > 0, F.length(clear).cast("long")).otherwise(F.col("n_chars"))})
@@ -40,11 +50,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is drawn."""
+    release(spark, *WORKING)
     return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with their number; ``bpe.decode`` gives the text back."""
+    release(spark, *WORKING)
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

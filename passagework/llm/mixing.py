@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passagework.llm.common import fresh, numbered, words_of
-from passagework.operators.common import materialize
+from passagework.operators.common import join_sized, materialize
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -78,7 +78,8 @@ def mix(
     )
     before = W.partitionBy(key).orderBy("size").rowsBetween(W.unboundedPreceding, -1)
     starts = by_size.select(key, "size", F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start)).join(targets, key)
-    out = numbered(rows, [key, "size"], cell, [F.col(mark), F.col(doc_id)], place).join(starts, [key, "size"])
+    # one row per source and size: small beside the documents, so these are not dealt out again
+    out = join_sized(numbered(rows, [key, "size"], cell, [F.col(mark), F.col(doc_id)], place), materialize(starts, "mix-starts"), [key, "size"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = F.col(start) + F.col(place)
     copies = F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)

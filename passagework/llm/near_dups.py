@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from passagework.llm.common import components, fresh, small_batches
 from passagework.operators.common import join_sized, materialize
 
-SHINGLES_PER_STEP = 200_000
+SHINGLES_PER_STEP = 60_000
 SMALL_BUCKET = 16
 MINOR_ROWS, MEMBER_ROWS = 256, 1024
 
