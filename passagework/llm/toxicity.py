@@ -25,29 +25,51 @@ WORDS_PER_STEP = 5_000
 KNOWN_WORDS = 250_000
 PART = 6  # characters of the start and the end that stand for a longer word
 SHARP = 0.35  # width of the exponential of the normalised kernel
-LONGEST = 12
-SINGLE = frozenset("bcdefghijklmnopqrstuvwxyz")
+LONGEST = 12  # longer words are read through all their windows of this many and of PART characters
 NO_LETTER = re.compile(r"[\W\d_]+")
 LEAST = 0.5  # normalised kernel values below count as none
+SINGLE = frozenset("bcdefghijklmnopqrstuvwxyz")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+STRETCHED = re.compile(r"(.)\1{2,}", re.S)
+#: Scripts written without spaces: Thai to Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
+
+
+def windows_of(word: str) -> set[str]:
+    """All windows of a long word: of ``PART`` and ``LONGEST`` characters, without spaces in its script also of 2 to 4."""
+    sizes = (2, 3, 4, PART, LONGEST) if UNSPACED.search(word) else (PART, LONGEST)
+    return {word[i : i + n] for n in sizes for i in range(len(word) - n + 1)}
 
 
 def words_of(text: str) -> set[str]:
     """Distinct words of a text, lower-cased, without marks and digits (``i.d-i0ot``: ``idiot``).
 
     A word longer than ``PART`` also counts by its start and its end, so that endings do
-    not hide a stem; beyond ``LONGEST`` only by these. A run of three or more single
-    characters (``i d i o t``) is also a word.
+    not hide a stem; beyond ``LONGEST`` by all its windows. What stands between marks and
+    digits is a word too, and so is a stretched word with its runs of three or more equal
+    letters shortened to one. A run of three or more single characters (``i d i o t``) is
+    also a word.
     """
     lowered = text.lower()
     raw = set(lowered.split())
-    words = {w if w.isalpha() else NO_LETTER.sub("", w) for w in raw}
+    words = set()
+    for w in raw:
+        if w.isalpha():
+            words.add(w)
+        else:
+            parts = [p for p in NO_LETTER.split(w) if p]
+            words.add("".join(parts))
+            if len(parts) > 1:
+                words.update(parts)
     if not raw.isdisjoint(SINGLE):
         words.update(NO_LETTER.sub("", m[0]) for m in SPELLED.finditer(lowered))
+    words.update([STRETCHED.sub(r"\1", w) for w in words if len(w) > 2 and STRETCHED.search(w)])
     long = [w for w in words if len(w) > PART]
     words.update([w[:PART] for w in long])
     words.update([w[-PART:] for w in long])
-    words.difference_update([w for w in long if len(w) > LONGEST])
+    for w in long:
+        if len(w) > LONGEST or UNSPACED.match(w):
+            words |= windows_of(w)
     words.discard("")
     return words
 

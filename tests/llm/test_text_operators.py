@@ -263,3 +263,17 @@ def test_url_model_separates_and_stays_native(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
     got = {r["page_id"]: r["verdict"] for r in out.collect()}
     assert [got[300 + i] for i in range(6)] == ["allow"] * 3 + ["block"] * 3
+
+
+@pytest.mark.parametrize("text", ["you-are-an-idiot-friend", "a/b/idiot/cccccccccc", "this,is,an,idiot", "Idiooooooooooot", "i.d.i.o.t"])
+def test_toxicity_words_in_long_tokens(text):
+    assert "idiot" in toxicity.words_of(text)
+
+
+def test_toxicity_long_tokens_are_read_whole():
+    word = "".join(chr(0x4E00 + i) for i in range(60)) + "abcdefghijklmnopqrstuvwxyz"
+    for token in (word, word[60:]):
+        read = toxicity.words_of(token)
+        for n in (toxicity.PART, toxicity.LONGEST):
+            assert {token[i : i + n] for i in range(len(token) - n + 1)} <= read
+    assert {word[i : i + 2] for i in range(59)} <= toxicity.words_of(word)
