@@ -28,7 +28,9 @@ SHARP = 0.35  # width of the exponential of the normalised kernel
 LONGEST = 12  # longer words are read through all their windows of this many and of PART characters
 NO_LETTER = re.compile(r"[\W\d_]+")
 LEAST = 0.5  # normalised kernel values below count as none
-SINGLE = frozenset("bcdefghijklmnopqrstuvwxyz")
+GAP = SPAN - 3  # letters inserted in one place that a landmark inside a longer word may have
+EASE = 4.0  # letters inserted, as a multiple of a landmark's own, that take its value to 1/e
+INSERTED = (1, 2, 3)  # letters put in the words of the spoiled copies of toxic texts
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 STRETCHED = re.compile(r"(.)\1{2,}", re.S)
 #: Scripts written without spaces: Thai to Myanmar, Khmer, kana, Han.
@@ -61,7 +63,7 @@ def words_of(text: str) -> set[str]:
             words.add("".join(parts))
             if len(parts) > 1:
                 words.update(parts)
-    if not raw.isdisjoint(SINGLE):
+    if any(len(w) == 1 and w.isalpha() for w in raw):
         words.update(NO_LETTER.sub("", m[0]) for m in SPELLED.finditer(lowered))
     words.update([STRETCHED.sub(r"\1", w) for w in words if len(w) > 2 and STRETCHED.search(w)])
     long = [w for w in words if len(w) > PART]
@@ -104,11 +106,46 @@ def summed(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> tuple[np.
     return rows[first], keys[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
+def letters_of(words: list[str]) -> np.ndarray:
+    """The set of a word's UTF-16 units as 64 bits; units that share a bit count as one."""
+    units = np.frombuffer("".join(f"\x00{w}" for w in words).encode("utf-16-le", "surrogatepass"), np.uint16)
+    bits = np.where(units == 0, np.uint64(0), np.uint64(1) << (units % 64).astype(np.uint64))
+    return np.bitwise_or.reduceat(bits, np.flatnonzero(units == 0))
+
+
+def inserted(word: str, mark: str) -> tuple[int, bool]:
+    """Least number of letters inserted in ``mark`` where ``word`` holds it, at most ``GAP`` in one place; -1 if nowhere.
+
+    The second value says that the whole word is the mark with letters inserted; the number is then for the whole word.
+    """
+    at = -1
+    for c in mark:  # most words do not hold the letters in this order at all
+        at = word.find(c, at + 1)
+        if at < 0:
+            return -1, False
+
+    def ends(last: dict[int, int]) -> dict[int, int]:  # end of the part found: its latest start
+        for c in mark[1:]:
+            now: dict[int, int] = {}
+            for end, start in last.items():
+                for at in range(end + 1, min(end + GAP + 2, len(word))):
+                    if word[at] == c and now.get(at, -1) < start:
+                        now[at] = start
+            last = now
+        return last
+
+    if word[0] == mark[0] and word[-1] == mark[-1] and len(word) - 1 in ends({0: 0}):
+        return len(word) - len(mark), True
+    found = ends({i: i for i, c in enumerate(word) if c == mark[0]})
+    return (min(end - start for end, start in found.items()) + 1 - len(mark) if found else -1), False
+
+
 class Kernel:
     """Kernel values between words and fixed landmark words.
 
     The gap-weighted subsequence kernel, normalised to 1 for equal words and sharpened by
-    an exponential (which keeps it a kernel); far words have 0.
+    an exponential (which keeps it a kernel); far words have 0. ``inside`` adds landmarks
+    that a longer word holds, whatever stands around them.
     """
 
     def __init__(self, landmarks: list[str]):
@@ -118,6 +155,8 @@ class Kernel:
         order = np.argsort(keys, kind="stable")
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.owner, self.share = rows[order], (weights / norms[rows])[order]
+        self.least = [2 if UNSPACED.match(m) else 4 for m in landmarks]
+        self.held = np.array([len(m) for m in landmarks]), letters_of(landmarks) if landmarks else np.empty(0, np.uint64)
         self.known = np.zeros(1 << FILTER_BITS, bool)
         self.known[self.slot(self.keys)] = True
 
@@ -153,6 +192,37 @@ class Kernel:
         return out
 
 
+    def inside(self, words: list[str]) -> np.ndarray:
+        """``values`` and, as further columns, how well a word holds each landmark of four letters or more with letters inserted.
+
+        The norm is that of the best window of the word, so what stands around it does not
+        count. A landmark of L letters with n inserted has exp(-n / (EASE * L)) where they
+        are the whole word, exp(-1 / (EASE * L)) unbroken in a longer one, and else the
+        sharpened L / (L + 1 + n), as ordinary long words hold short landmarks by chance.
+        Words that lack one of its letters are left out first. In scripts without spaces
+        landmarks of two and three letters count as well, where they stand unbroken.
+        """
+        out = np.concatenate((self.values(words), np.zeros((len(words), len(self.landmarks)), np.float32)), axis=1)
+        sizes, letters = self.held
+        if not len(sizes) or not words:
+            return out
+        own = letters_of(words)
+        longer = np.array([len(w) for w in words])[:, None] > sizes
+        for i, j in zip(*np.nonzero(longer & ((own[:, None] & letters) == letters))):
+            mark, word = self.landmarks[j], words[i]
+            if len(mark) < self.least[j]:
+                continue
+            more, whole = inserted(word, mark) if len(mark) >= 4 else (0 if mark in word else -1, False)
+            if more < 0:
+                continue
+            if whole or not more:
+                value = np.exp(-max(more, 1) / (EASE * len(mark)))
+            else:
+                value = np.exp((len(mark) / (len(mark) + 1 + more) - 1) / SHARP)
+            out[i, len(sizes) + j] = value
+        return out
+
+
 class Pool:
     """Highest kernel value of any word of a text, by landmark; remembers words, to a bound."""
 
@@ -165,7 +235,7 @@ class Pool:
         self.near: list[np.ndarray] = []
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.kernel.landmarks)), np.float32)
+        out = np.zeros((len(texts), 2 * len(self.kernel.landmarks)), np.float32)
         at = 0
         while at < len(texts):  # bounded steps: a text's words are met whole
             sets, new, start = [], set(), at
@@ -176,11 +246,11 @@ class Pool:
             new_words = sorted(new)
             for a in range(0, len(new_words), WORDS_PER_STEP):
                 part = new_words[a : a + WORDS_PER_STEP]
-                values = self.kernel.values(part)
+                values = self.kernel.inside(part)
                 for word, near, row in zip(part, values.any(1), values):
                     self.place[word] = len(self.near) if near else -1
                     if near:
-                        self.near.append(row)
+                        self.near.append(row.copy())
             for i, words in enumerate(sets):
                 rows = [self.near[p] for p in map(self.place.__getitem__, words) if p >= 0]
                 if rows:
@@ -249,14 +319,18 @@ def pick_landmarks(sample: DataFrame, landmarks: int, candidates: int = 1500) ->
     return [words[i] for i in taken]
 
 
-def spoiled(text: str) -> str:
-    """The text with one more letter in every word of four or more: a neighbour doubled, or another word's."""
+def spoiled(text: str, letters: int = 1) -> str:
+    """The text with letters inserted in every word of four or more: a neighbour doubled, or another word's.
+
+    One letter stands in one place; of more, each stands in a place of its own.
+    """
     out = []
     for word in text.split():
         if len(word) >= 4:
             draw = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-            at = 1 + draw % (len(word) - 1)
-            word = word[:at] + (word[at - 1] if draw & 65536 else text[draw % len(text)].strip() or "x") + word[at:]
+            for more in range(letters):
+                at = 1 + (draw + 2 * more) % (len(word) - 1)
+                word = word[:at] + (word[at - 1] if draw & 65536 and not more else text[(draw + more) % len(text)].strip() or "x") + word[at:]
         out.append(word)
     return " ".join(out)
 
@@ -271,7 +345,8 @@ def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost:
     value, vector = np.linalg.eigh((own + own.T) / 2)
     value = np.maximum(value, 1e-2)
     whiten = vector / np.sqrt(value) @ vector.T
-    x = np.c_[features @ whiten, np.ones(len(features))]
+    held = np.block([[whiten, np.zeros_like(whiten)], [np.zeros_like(whiten), np.eye(len(whiten))]])
+    x = np.c_[features @ held, np.ones(len(features))]
     y = np.where(labels > 0, 1.0, -1.0)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
     w = np.zeros(x.shape[1])
@@ -296,14 +371,14 @@ def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost:
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
-    return Model(kernel.landmarks, whiten @ w[:-1], float(w[-1]), float(a), float(b))
+    return Model(kernel.landmarks, held @ w[:-1], float(w[-1]), float(a), float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int = 160) -> Model:
     """Model from about ``rows`` labelled texts (``doc_id``, ``text``; ``doc_id``, ``label`` 0 or 1).
 
     The sample is one class of the hash of the id, of as many as make that size; rows without text, id or
-    label teach nothing. Toxic texts are learned twice, the second time with a letter
+    label teach nothing. Toxic texts are learned again with one, two and three letters
     inserted in every word. With one label only, every score is that label's share.
     """
     spark = docs.sparkSession
@@ -326,11 +401,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
 
     @F.arrow_udf("string")
-    def spoil(texts: pa.Array) -> pa.Array:
-        return pa.array([spoiled(t) for t in texts.to_pylist()], pa.string())
+    def spoil(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        return pa.array([spoiled(t, n) for t, n in zip(texts.to_pylist(), letters.to_pylist())], pa.string())
 
-    twice = sample.unionByName(sample.filter("label = 1").withColumn("text", spoil("text")))
-    table = twice.orderBy("doc_id").select(features("text").alias("f"), "label").toArrow()
+    again = sample
+    for letters in INSERTED:
+        again = again.unionByName(sample.filter("label = 1").withColumn("text", spoil("text", F.lit(letters))))
+    table = again.orderBy("doc_id").select(features("text").alias("f"), "label").toArrow()
     grid = np.array(table["f"].to_pylist(), np.float32)
     return fit_machine(grid, table["label"].to_numpy(), Kernel(picked))
 
@@ -355,7 +432,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
 
     A text's features are the highest kernel values of any of its words against each
     landmark word; the kernel compares gapped subsequences, so ``i.d.i.o.t`` or ``idiiot`` is near
-    ``idiot``. Null and empty texts get the score of a text without any such word. An
+    ``idiot``, and finds landmarks inside longer words, as in ``youidiotgo`` or ``ixdxixot``. Null and empty texts get the score of a text without any such word. An
     empty table gives an empty table; columns with one of the added names are replaced.
     """
     (score,) = fresh(docs, "_score")

@@ -277,3 +277,24 @@ def test_toxicity_long_tokens_are_read_whole():
         for n in (toxicity.PART, toxicity.LONGEST):
             assert {token[i : i + n] for i in range(len(token) - n + 1)} <= read
     assert {word[i : i + 2] for i in range(59)} <= toxicity.words_of(word)
+
+
+def test_toxicity_landmarks_inside_longer_words():
+    marks = ["idiot", "moron"]
+    words = ["ixdxiot", "ixdxixot", "ixdxixoxt", "youidiotgo", "moxroxn", "zebra" * 4, "xiddiot", "идиот"]
+    got = toxicity.Kernel(marks).inside(words)[:, len(marks):]
+    assert (got[[0, 1, 2, 3], 0] > 0.6).all() and got[4, 1] > 0.6 and 0 < got[6, 0] < 0.6
+    assert not got[5].any() and not got[7].any() and not got[:4, 1].any()
+    assert "идиот" in toxicity.words_of("ты и д и о т да")
+    assert toxicity.inserted("idxxxxiot", "idiot")[0] == -1 and toxicity.inserted("idxxxiot", "idiot") == (3, True)
+
+
+def test_toxicity_several_inserted_letters(spark):
+    rng = random.Random(4)
+    clean = _texts("u", ["the", "ing", "an", "re", "wh", "st"], 400)
+    rows = [(i, t + (" " + rng.choice(["grumwit", "snarlface", "blobhead"]) if i % 4 == 0 else ""), int(i % 4 == 0)) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))
+    asked = ["the grzumwzit ing", "an gzrumzwizt", "ing blxobxhxead", "the theblobheadan ing", "this,is,a,snarlface", "snarrrrrlface the", "the ing an rewhst", "whing " * 20]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(asked))] == [1] * 6 + [0] * 2
