@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -28,11 +28,14 @@ CLASSES = (
     ("alphanumeric", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 24, 3.9),
     ("base64", frozenset("+/_=-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 24, 4.1),
 )
-#: Runs that look random and are not secret: plain sequences, placeholders and ids in the usual forms.
+LEAST_RUN = 20
+#: Values between separators that hold one of these are placeholders or plain sequences; what stands beside them is not.
+PLACEHOLDER = re.compile(r"[^/+_=-]*(?:example|placeholder|changeme|redacted|dummy|0123456789|abcdefghij|qwertyuiop)[^/+_=-]*", re.I)
+#: Runs that look random and are not secret: placeholders and ids in the usual forms.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|placeholder|changeme|redacted|dummy).*",
-    r"(?i).*(0123456789|abcdefghij|qwertyuiop).*",
+    r"(?i)[^/+_=-]*(example|placeholder|changeme|redacted|dummy)[^/+_=-]*",
+    r"(?i)[^/+_=-]*(0123456789|abcdefghij|qwertyuiop)[^/+_=-]*",
     r"[0-9_/=+-]+",
     r"[A-Za-z]+([_/=+-][A-Za-z]+)*[0-9]{0,4}",
 )
@@ -42,8 +45,11 @@ def dense(run: str, members: frozenset, window: int, bits: float) -> bool:
     """Whether some window of ``run`` inside one class has an entropy of ``bits`` or more.
 
     Counts change by one character in and one out; the sum of c*log2(c) follows them. A
-    window must hold a digit and a letter, which plain words never do.
+    window must hold a digit and a letter, which plain words never do. A run shorter than
+    the window is one window, with the same share of the highest entropy its length allows.
     """
+    if len(run) < window:
+        bits, window = bits * math.log2(len(run)) / math.log2(window), len(run)
     table = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
     held, weight, digits = 0, 0.0, 0
@@ -68,7 +74,7 @@ def dense(run: str, members: frozenset, window: int, bits: float) -> bool:
     return False
 
 
-def spans_of(text: str, raw: bytes, allowed: re.Pattern) -> list[tuple[int, int, int]]:
+def spans_of(text: str, raw: bytes, allowed: re.Pattern, placeholders: bool = True) -> list[tuple[int, int, int]]:
     """Spans (start, place of the kind, end) in their order, in code points."""
     found = []
     lowered = raw.lower()
@@ -80,12 +86,21 @@ def spans_of(text: str, raw: bytes, allowed: re.Pattern) -> list[tuple[int, int,
     base = sorted((s, e) for s, _, e in found)
     starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     for m in CANDIDATE.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        before = bisect_left(starts, end)  # spans that start before the run's end
-        if (before and ends[before - 1] > start) or allowed.fullmatch(run):
+        start, end = m.start(), m.end()
+        if allowed.fullmatch(m[0]):
             continue
-        if any(dense(run, *rule) for _, *rule in CLASSES):
-            found.append((start, 3, end))
+        taken = []
+        if base:  # spans that end after the run's start and start before its end
+            first, before = bisect_right(ends, start), bisect_left(starts, end)
+            taken = base[first:before]
+        if placeholders:
+            taken = sorted(taken + [x.span() for x in PLACEHOLDER.finditer(text, start, end)])
+        at = start
+        for s, e in [*taken, (end, end)]:
+            run = text[at:s]
+            if len(run) >= LEAST_RUN and not allowed.fullmatch(run) and any(dense(run, *rule) for _, *rule in CLASSES):
+                found.append((at, 3, s))
+            at = max(at, e)
     return sorted(found)
 
 
@@ -95,9 +110,10 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Secrets of a text as an array of (kind, start, end), in code points, end exclusive.
 
-    ``assign``, ``access`` and ``hex`` are patterns. ``entropy`` spans are the runs of 20
-    or more token characters that touch none of those, match none of ``allowed`` and hold
-    a window of high Shannon entropy in one of ``CLASSES``. Ordered by start, then kind.
+    ``assign``, ``access`` and ``hex`` are patterns. ``entropy`` spans are runs of 20
+    or more token characters, or the pieces of 20 or more that those and placeholder values
+    (``PLACEHOLDER``, unless nothing is ``allowed``) leave of one, that match none of
+    ``allowed`` and hold a window of high Shannon entropy in one of ``CLASSES``. Ordered by start, then kind.
     Null and empty texts have none. Whole texts are read; a task holds one batch.
     """
     pattern = "|".join(f"(?:{p.removeprefix('(?i)')})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in allowed) or r"(?!)"
@@ -109,7 +125,7 @@ def secret_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
         for value in texts:
             body = value.as_py()
             if body:
-                for start, kind, end in spans_of(body, body.encode("utf-8", "surrogatepass"), rule):
+                for start, kind, end in spans_of(body, body.encode("utf-8", "surrogatepass"), rule, bool(allowed)):
                     names.append(KINDS[kind])
                     starts.append(start)
                     ends.append(end)

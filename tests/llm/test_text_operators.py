@@ -298,3 +298,20 @@ def test_toxicity_several_inserted_letters(spark):
     asked = ["the grzumwzit ing", "an gzrumzwizt", "ing blxobxhxead", "the theblobheadan ing", "this,is,a,snarlface", "snarrrrrlface the", "the ing an rewhst", "whing " * 20]
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
     assert [got[i] for i in range(len(asked))] == [1] * 6 + [0] * 2
+
+
+KEY = "Tz4qW9xB7nM2vR5kL8pY3cF6hJ1dgSaQ0uXeZiOw"
+
+
+@pytest.mark.parametrize("text,secret", [
+    ("AKIAIOSFODNN7ABCDEF/wJalrXUtnFEMIK7MDENG9bPxRfiCYzEt4", "wJalrXUtnFEMIK7MDENG9bPxRfiCYzEt4"), ("deadbeefdeadbeef_" + KEY, KEY),
+    (KEY + "/deadbeefdeadbeef", KEY), ("id q7Zp3Xv9Lk2Wn8Rt5Yb1.", "q7Zp3Xv9Lk2Wn8Rt5Yb1"), ("q7Zp3Xv9Lk2Wn8Rt5Yb1Hs4", "q7Zp3Xv9Lk2Wn8Rt5Yb1Hs4"),
+    ("example_key=" + KEY, KEY), (KEY + "/dummy", KEY),
+])
+def test_secrets_beside_base_spans_short_and_beside_placeholders(value, text, secret):
+    assert secret not in value(lambda t: secrets.redacted(t, secrets.secret_spans(t)), text)
+
+
+@pytest.mark.parametrize("text", ["key=xEXAMPLE" + KEY, "placeholder_value_for_key_1", "internationalization12", "test_case_number_123", "0123456789-abcdefghij-XYZ1"])
+def test_secrets_placeholders_stay(value, text):
+    assert value(secrets.secret_spans, text) == []
