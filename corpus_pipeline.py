@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark, *WORKING)
     labelled = docs.select("lang", "text").filter("lang is not null and text is not null")
     models = langid.train(labelled)
-    levels = langid.rejection_levels(spark, labelled, models)
-    said = docs.withColumn("_language", langid.predicted(spark, models, F.col("text")))
+    said = materialize(docs.withColumn("_language", langid.predicted(spark, models, F.col("text"))), "lang-said")
+    levels = langid.levels_of(said.select("lang", F.col("_language").alias("p")), models.langs)
     return said.filter(~langid.rejected(F.col("_language"), levels)).select(*docs.columns)
 
 

@@ -218,19 +218,33 @@ def predicted(spark, models: Models, text: Column) -> Column:
     return run(text)
 
 
-def rejection_levels(spark, labelled: DataFrame, models: Models, rows: int = 20_000, deviations: float = 8.0) -> dict[str, tuple[float, float]]:
+def rejection_levels(spark, labelled: DataFrame, models: Models, deviations: float = 8.0) -> dict[str, tuple[float, float]]:
     """Highest cross-entropy accepted by language: mean + ``deviations`` * deviation / sqrt(share of length).
 
-    Calibrated on at most about ``rows`` labelled texts, taken by the hash of the text.
-    Returns (mean, spread of a text of 100 units) by language.
+    Calibrated on all labelled texts; see ``levels_of``.
     """
-    n = labelled.count()
-    some = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // rows))) == 0)
-    seen = some.select("lang", predicted(spark, models, F.col("text")).alias("p")).filter("p.lang = lang")
-    # deviations shrink with the root of the length: bring all to 100 units
-    scale = F.sqrt(F.least(F.col("p.units"), F.lit(400)) / 100)
-    stats = seen.groupBy("lang").agg(F.avg("p.cross_entropy").alias("m"), F.stddev_pop(F.col("p.cross_entropy") * scale).alias("d"))
-    return {r["lang"]: (r["m"], deviations * max(r["d"] or 0.0, 0.05)) for r in stats.collect()}
+    said = labelled.select("lang", predicted(spark, models, F.col("text")).alias("p"))
+    return levels_of(said, models.langs, deviations)
+
+
+def levels_of(said: DataFrame, langs: list[str], deviations: float = 8.0) -> dict[str, tuple[float, float]]:
+    """(mean, spread of a text of 100 units) by language from ``lang`` and the prediction ``p`` of labelled texts.
+
+    Only texts predicted as they are labelled count. Deviations are from the language's own
+    mean, so differences of length alone are none. A language without such a text gets the
+    mean and spread of all; without any such text there are no levels.
+    """
+    x, s = F.col("p.cross_entropy"), F.sqrt(F.least(F.col("p.units"), F.lit(400)) / 100)  # deviations shrink with the root of the length: bring all to 100 units
+    right = said.filter("p.lang = lang and p.cross_entropy is not null")
+    means = {r["lang"]: r["m"] for r in right.groupBy("lang").agg(F.avg("p.cross_entropy").alias("m")).collect()}
+    if not means:
+        return {}
+    mean = F.create_map(*[F.lit(v) for pair in sorted(means.items()) for v in pair])[F.col("lang")]
+    sums = right.withColumn("_off", (x - mean) * s).groupBy("lang").agg(F.count("*").alias("n"), F.stddev_pop("_off").alias("d")).collect()
+    levels = {r["lang"]: (means[r["lang"]], deviations * max(r["d"] or 0.0, 0.05)) for r in sums}
+    n = sum(r["n"] for r in sums)
+    pooled = sum(r["n"] * means[r["lang"]] for r in sums) / n, deviations * max((sum(r["n"] * (r["d"] or 0.0) ** 2 for r in sums) / n) ** 0.5, 0.05)
+    return {lang: levels.get(lang, pooled) for lang in langs}
 
 
 def rejected(prediction: Column, levels: dict[str, tuple[float, float]]) -> Column:

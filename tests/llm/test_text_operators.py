@@ -315,3 +315,20 @@ def test_secrets_beside_base_spans_short_and_beside_placeholders(value, text, se
 @pytest.mark.parametrize("text", ["key=xEXAMPLE" + KEY, "placeholder_value_for_key_1", "internationalization12", "test_case_number_123", "0123456789-abcdefghij-XYZ1"])
 def test_secrets_placeholders_stay(value, text):
     assert value(secrets.secret_spans, text) == []
+
+
+def test_language_rejection_of_an_unlearned_language_of_the_same_script(spark):
+    rng = random.Random(6)
+    size = lambda: rng.choice([4, 8, 40, 200, 400])
+    words = lambda parts: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(size()))
+    known = spark.createDataFrame([(lang, words(parts)) for lang, parts in LANGS.items() for _ in range(150)], "lang string, text string").repartition(4)
+    models = langid.train(known)
+    levels = langid.rejection_levels(spark, known, models)
+    alone = langid.rejection_levels(spark, known.filter("lang = 'aa'"), models)
+    assert set(alone) == set(LANGS) and alone["bb"] == alone["aa"]
+    assert langid.rejection_levels(spark, known.limit(0), models) == {}
+    other = ["tha", "und", "lle", "gni", "cho", "whe", "sad"]
+    rows = [(True, words(parts)) for parts in LANGS.values() for _ in range(20)] + [(False, (words(other) + " ") * 3) for _ in range(40)]
+    p = spark.createDataFrame(rows, "keep boolean, text string").select("keep", langid.predicted(spark, models, F.col("text")).alias("p"))
+    got = p.select("keep", langid.rejected(F.col("p"), levels).alias("gone"), "p", F.lit(1)).collect()
+    assert sum(r["keep"] != r["gone"] for r in got) >= len(got) - 2, [(r["p"]["units"], r["p"]["cross_entropy"]) for r in got if r["keep"] == r["gone"]]
