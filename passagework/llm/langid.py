@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import most_frequent, small_batches
+from passagework.llm.common import small_batches
 from passagework.operators.common import materialize
 
 ORDER = 4
@@ -100,12 +100,23 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Models:
-    """Kneser-Ney models of all languages in sorted arrays of packed grams."""
+    """Kneser-Ney models of all languages in sorted arrays of packed grams.
 
-    def __init__(self, langs: list[str], tables: dict, discounts: dict):
+    ``tables`` has all grams. The log probabilities of the most frequent ones, at most
+    ``max_cells`` in all, are laid up; the others are evaluated when a text has them, to
+    the same values.
+    """
+
+    def __init__(self, langs: list[str], tables: dict, discounts: dict, max_cells: int = 20_000_000):
         self.langs, self.tables, self.discounts = langs, tables, discounts
-        top = [tables[lang, ORDER][0] for lang in langs]
-        self.keys = np.unique(np.concatenate(top)) if top else np.empty(0, np.int64)
+        top = [tables[lang, ORDER][:2] for lang in langs]
+        self.keys = np.unique(np.concatenate([keys for keys, _ in top])) if top else np.empty(0, np.int64)
+        most = max_cells // max(1, len(langs))
+        if len(self.keys) > most:
+            seen = np.zeros(len(self.keys))
+            for keys, counts in top:
+                seen[np.searchsorted(self.keys, keys)] += counts
+            self.keys = self.keys[np.sort(np.argsort(-seen, kind="stable")[:most])]
         self.logs = self.evaluate(self.keys)
 
     @staticmethod
@@ -155,13 +166,11 @@ def train(labelled: DataFrame, max_cells: int = 20_000_000) -> Models:
     """Models from all rows of ``labelled`` (``lang``, ``text``) whose language is not null.
 
     Counts, continuation counts and discounts are Spark aggregations over every text. The
-    driver gets, by language and order, the ``max_cells / languages**2`` most frequent
-    grams and contexts; that bounds the broadcast by ``max_cells`` log probabilities and
-    the arrays behind them. Grams beyond it are scored by the shorter context.
+    driver gets all distinct grams and contexts with their counts, 16 and 24 bytes each;
+    ``max_cells`` bounds only the log probabilities that are laid up for the frequent ones.
     """
     grams = materialize(gram_counts(labelled.filter("lang is not null and text is not null")), "lang-grams")
     langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
-    limit = max(1000, max_cells // max(1, len(langs)) ** 2)
     tables, discounts = {}, {}
     counts = grams
     for order in range(ORDER, 0, -1):
@@ -171,15 +180,15 @@ def train(labelled: DataFrame, max_cells: int = 20_000_000) -> Models:
         context = F.shiftrightunsigned("gram", 16)
         contexts = counts.groupBy("lang", context.alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
         few = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()
-        kept = [most_frequent(df, "n", limit, "lang").toPandas() for df in (counts, materialize(contexts, "lang-contexts"))]
+        whole = [df.toPandas() for df in (counts, contexts)]
         for row in few:
             discounts[row["lang"], order] = row["one"] / (row["one"] + 2 * row["two"]) if row["one"] and row["two"] else 0.5
         for lang in langs:
-            a, b = (df[df["lang"] == lang].sort_values("gram") for df in kept)
+            a, b = (df[df["lang"] == lang].sort_values("gram") for df in whole)
             tables[lang, order] = (
                 a["gram"].to_numpy(np.int64), a["n"].to_numpy(float), b["gram"].to_numpy(np.int64), b["n"].to_numpy(float), b["kinds"].to_numpy(float)
             )
-    return Models(langs, tables, discounts)
+    return Models(langs, tables, discounts, max_cells)
 
 
 PREDICTION = "struct<lang:string,score:double,cross_entropy:double,units:long>"

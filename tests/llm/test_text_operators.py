@@ -332,3 +332,18 @@ def test_language_rejection_of_an_unlearned_language_of_the_same_script(spark):
     p = spark.createDataFrame(rows, "keep boolean, text string").select("keep", langid.predicted(spark, models, F.col("text")).alias("p"))
     got = p.select("keep", langid.rejected(F.col("p"), levels).alias("gone"), "p", F.lit(1)).collect()
     assert sum(r["keep"] != r["gone"] for r in got) >= len(got) - 2, [(r["p"]["units"], r["p"]["cross_entropy"]) for r in got if r["keep"] == r["gone"]]
+
+
+def test_language_keeps_all_grams_beyond_the_laid_up_ones(spark):
+    rng = random.Random(8)
+    words = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(60))
+    rows = [(lang, words(letters)) for lang, letters in (("aa", "abcdefghijklmno"), ("bb", "hijklmnopqrstuv")) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    whole, short = langid.train(df), langid.train(df, max_cells=40)
+    assert len(whole.keys) > 5000 and len(short.keys) == 20
+    said = [[r["p"] for r in df.orderBy("text").select(langid.predicted(spark, m, F.col("text")).alias("p")).collect()] for m in (whole, short)]
+    assert [r["lang"] for r in said[0]] == [r["lang"] for r in said[1]]
+    assert [r["cross_entropy"] for r in said[0]] == pytest.approx([r["cross_entropy"] for r in said[1]], abs=1e-9)
+    for context in ("abc", "klm"):
+        start = int.from_bytes(("\0" + context).encode("utf-16-be"), "big") << 16
+        assert np.exp(short.evaluate(start | np.arange(1, 65536, dtype=np.int64)).astype(float)).sum(0) == pytest.approx(1, abs=2e-3)
