@@ -23,6 +23,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, names) -> list[str]:
+    """Columns of ``df`` but those called one of ``names``, in upper or lower case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches of this session hold at most ``rows`` rows, if they may hold more now.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, exact_search, hnsw, langid, mixing, near_dups, secrets, sharding, toxicity, urls
+from passagework.llm import bpe, decontaminate, exact_search, filter_audit, hnsw, langid, mixing, near_dups, secrets, sharding, toxicity, urls, whitening
 from passagework.llm.common import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,65 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs, labels)
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf, "embeddings"), 8, whitening.floored(1024, 100_000))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts),
+failed AS (SELECT d.part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS bad,
+    {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+     'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > first_id, false)} AS f FROM worded d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+classes AS (SELECT part, f['A'] AS a, f['B'] AS b, f['C'] AS c, f['D'] AS d, f['E'] AS e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+sets AS (SELECT part, n, good, bad, list_concat(CASE WHEN a THEN ['A'] ELSE [] END, CASE WHEN b THEN ['B'] ELSE [] END, CASE WHEN c THEN ['C'] ELSE [] END,
+    CASE WHEN d THEN ['D'] ELSE [] END, CASE WHEN e THEN ['E'] ELSE [] END) AS fails FROM classes),
+seen AS (SELECT part, o, step, n, good, bad, list_contains(fails, o[step]) AS own, len(fails) AS k,
+    len(list_filter(fails, lambda x: strpos(o, x) < step)) AS earlier FROM sets, steps),
+counted AS (SELECT part, o AS filter_order, step::INTEGER AS step,
+    coalesce(sum(n) FILTER (NOT own AND earlier = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (own AND earlier = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (own AND earlier > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (own AND k = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (own AND earlier = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(bad) FILTER (own AND earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counted
+""",
+)
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit_filters(docs, table(spark, sf, "labels"))
+
+
+@query(
+    "op12_decontamination",
+    r"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+  FROM item_words WHERE len(w) > 0),
+doc_words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+grams AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+  FROM doc_words, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m),
+occurs AS (SELECT DISTINCT doc_id, item_id, i, m FROM grams JOIN windows USING (g, m)),
+hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM occurs) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS named FROM (SELECT DISTINCT doc_id, item_id FROM occurs) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+)
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
