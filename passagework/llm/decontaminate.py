@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.common import fresh, without
-from passagework.operators.common import join_sized, materialize
+from passagework.operators.common import join_sized, materialize, small_enough
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII but for digits and letters.
@@ -84,13 +84,13 @@ def decontaminate(
 
     1. The shingles of all windows (``shingle`` words, or the whole of a shorter window)
        are counted in all documents, which orders them by rarity.
-    2. As a window must be contained whole, its prefix is one shingle: the rarest. Document
-       shingles meet these prefixes only.
+    2. As a window must be contained whole, its prefix is one shingle: the rarest. Only texts
+       that hold a prefix are read again, and of their shingles only the prefixes go on.
     3. Length and place: the document must have room for the window around the shingle.
     4. The words around it are compared with the window's. Hit places are counted once.
 
     All steps are DataFrame functions. Windows are broadcast, in blocks of at most about ``block_bytes``
-    of text, each of which is one scan of the documents; document words never leave
+    of text, each of which is two scans of the documents; document words never leave
     their row but for the matches. Results belong to texts (met by digest), so copies of a text share them
     before the shuffle, and null or repeated ids do no harm.
 
@@ -104,34 +104,38 @@ def decontaminate(
     windows, owners = windows_of(items, item_id, item_text, window)
     total = windows.agg(F.sum(F.octet_length("win")).alias("b"), F.collect_set(F.least("length", F.lit(shingle))).alias("sizes")).first()
     blocks = max(1, -(-(total["b"] or 0) // block_bytes))
-    texts = docs.select(F.col(text).alias("body")).filter("body is not null")
+    texts = docs.select(F.col(text).alias("body")).filter("body is not null").withColumn("digest", digest_of(F.col("body")))
 
-    def places(size: int) -> DataFrame:
-        """``body, w, at, shingle``: one row for every shingle of every document."""
-        worded = texts.select("body", split_words(F.col("body")).alias("w")).filter(F.size("w") >= size)
-        return worded.select("body", "w", F.posexplode("w").alias("at", "word")).select("body", "w", "at", shingle_at(F.col("w"), F.col("at"), size).alias("shingle"))
+    def places(bodies: DataFrame, size: int) -> DataFrame:
+        """``digest, w, at, shingle``: one row for every shingle of every document."""
+        worded = bodies.select("digest", split_words(F.col("body")).alias("w")).filter(F.size("w") >= size)
+        return worded.select("digest", "w", F.posexplode("w").alias("at", "word")).select("digest", "w", "at", shingle_at(F.col("w"), F.col("at"), size).alias("shingle"))
 
     found = []
     for size in sorted(total["sizes"]):
         for block in range(blocks):
             own = windows.filter((F.least("length", F.lit(shingle)) == size) & (F.pmod(F.xxhash64("win"), F.lit(blocks)) == block))
             marks = materialize(shingles_of(own, size), "leak-shingles")
-            known = marks.select("shingle").distinct()
-            counted = places(size).select("shingle").join(F.broadcast(known), "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
-            rarity = materialize(counted, "leak-rarity")
+            met = places(texts, size).select("digest", "shingle").join(F.broadcast(marks.select("shingle").distinct()), "shingle")
+            seen = materialize(met.groupBy("digest", "shingle").agg(F.count("*").alias("n")), "leak-seen")
+            rarity = materialize(seen.groupBy("shingle").agg(F.sum("n").alias("n")), "leak-rarity")
             # windows with a shingle that no document has cannot occur
             ranked = join_sized(marks, rarity, ["shingle"]).groupBy("win").agg(
                 F.count("*").alias("k"), F.max("length").alias("length"), F.min(F.struct("n", "shingle", "offset")).alias("rarest")
             )
             prefix = materialize(ranked.filter(F.col("k") == F.col("length") - size + 1).select("win", "length", "rarest.shingle", "rarest.offset"), "leak-prefixes")
+            holding = materialize(seen.join(F.broadcast(prefix.select("shingle").distinct()), "shingle").select("digest").distinct(), "leak-holding")
+            few = small_enough(holding)  # beyond that the texts are read again whole rather than shuffled
+            again = places(texts.join(F.broadcast(holding), "digest", "left_semi") if few else texts, size)
             start = F.col("at") - F.col("offset")
             fits = (start >= 0) & (start + F.col("length") <= F.size("w"))
-            met = places(size).join(F.broadcast(prefix), "shingle").filter(fits)
+            met = again.join(F.broadcast(prefix), "shingle").filter(fits)
             met = met.filter(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("length")), " ") == F.col("win"))
-            found.append(materialize(met.select(digest_of(F.col("body")).alias("digest"), start.alias("start"), "length", "win"), "leak-found"))
+            found.append(materialize(met.select("digest", start.alias("start"), "length", "win"), "leak-found"))
     digest, words = fresh(docs, "_digest", "_words")
-    rows = docs.select(*kept, split_words(F.col(text)).alias(words), F.col(text).alias(digest))
-    rows = rows.select(*kept, word_count(F.col(words)).alias("n_words"), digest_of(F.coalesce(digest, F.lit(""))).alias(digest))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(*kept, F.split(body, BETWEEN).alias(words), digest_of(body).alias(digest))
+    rows = rows.select(*kept, word_count(F.col(words)).alias("n_words"), digest)
     result = materialize(hits_by_text(docs.sparkSession, found, owners).withColumnRenamed("digest", digest), "leak-results")
     joined = join_sized(rows, result, [digest], "left")
     return joined.select(

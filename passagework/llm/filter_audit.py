@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from itertools import permutations
 from math import factorial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import words_of
+from passagework.llm.common import small_batches
 from passagework.operators.common import materialize
 
-SEPARATORS = r"[\x20\x09-\x0D]+"
-#: The failure condition of each filter on a text without nulls; ``E`` compares texts and is found apart.
-CONDITIONS: dict[str, Callable[[Column], Column]] = {
-    "A": lambda t: words_of(t) < 50,
-    "B": lambda t: 100 * distinct_words(t) < 65 * words_of(t),
-    "C": lambda t: 100 * F.length(F.regexp_replace(t, "[^A-Z]+", "")) > 5 * F.length(t),
-    "D": lambda t: t.rlike(r"[#$%&*|]"),
-}
+CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
+
+
+def too_short(raw: bytes, words: list[bytes], chars: int) -> bool:
+    return len(words) < 50
+
+
+def repeating(raw: bytes, words: list[bytes], chars: int) -> bool:
+    return 100 * len(set(words)) < 65 * len(words)
+
+
+def shouting(raw: bytes, words: list[bytes], chars: int) -> bool:
+    return 100 * (len(raw) - len(raw.translate(None, CAPITALS))) > 5 * chars
+
+
+def with_signs(raw: bytes, words: list[bytes], chars: int) -> bool:
+    return any(sign in raw for sign in SIGNS)
+
+
+#: The failure condition of each filter on a text's UTF-8 bytes, words (split at ASCII white space) and number of code points.
+CONDITIONS: dict[str, Callable[[bytes, list[bytes], int], bool]] = {"A": too_short, "B": repeating, "C": shouting, "D": with_signs}
 #: The filter that drops copies.
 COPIES = "E"
 NAMES = ("docs", "good", "toxic")
 
 
-def distinct_words(text: Column) -> Column:
-    return F.size(F.array_remove(F.array_distinct(F.split(text, SEPARATORS)), ""))
+def judged(texts: pa.Array) -> pa.Array:
+    """Which of ``CONDITIONS`` a text fails, as bits, and its digest; null counts as empty."""
+    masks, digests = [], []
+    for text in texts:
+        body = text.as_py() or ""
+        raw = body.encode("utf-8", "surrogatepass")
+        words = raw.split()  # of bytes: runs of anything but x20 and x09 to x0D
+        masks.append(sum(1 << i for i, fails in enumerate(CONDITIONS.values()) if fails(raw, words, len(body))))
+        digests.append(hashlib.sha256(raw).digest())
+    return pa.StructArray.from_arrays([pa.array(masks, pa.int32()), pa.array(digests, pa.binary())], ["mask", "digest"])
 
 
 def failing(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, part: str) -> DataFrame:
@@ -35,13 +58,11 @@ def failing(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, part: st
     Equal texts meet as digests, counted within (digest, part, id) before the shuffle, so
     a group of copies is a few rows. Of a digest only the smallest id passes filter E.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    bits = [F.when(condition(body), 1 << i).otherwise(0) for i, condition in enumerate(CONDITIONS.values())]
-    read = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
-        F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), sum(bits[1:], bits[0]).alias("mask"),
-    )
-    each = materialize(read.groupBy("digest", "mask", "part", "doc_id").agg(F.count("*").alias("docs")), "audit-rows")
+    read = F.arrow_udf(judged, "struct<mask:int,digest:binary>")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), read(F.col(text)).alias("read")
+    ).select("doc_id", "part", "read.*")
+    each = materialize(rows.groupBy("digest", "mask", "part", "doc_id").agg(F.count("*").alias("docs")), "audit-rows")
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("bad")
     )
@@ -120,6 +141,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     labels of one id any 1 counts; null labels are none. Other columns are not read. An empty table gives an empty table.
     A part's row holds 97 numbers, whatever its size; copies are counted before they are shuffled.
     """
+    small_batches(docs.sparkSession)
     letters = [*CONDITIONS, COPIES]
     n = len(letters)
     everything = (1 << n) - 1
