@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from passagework.llm.common import fresh, numbered, words_of
+from passagework.llm.common import fresh, numbered, without, words_of
 from passagework.operators.common import join_sized, materialize
 
 
@@ -60,12 +60,12 @@ def mix(
     A null source is a source of its own. Null texts have size 0 and are drawn like
     others. Repeated rows count as often as they occur; ties in size go by md5 of the id.
     An empty table gives an empty table. Columns that have one of the added names are
-    replaced. A source's rows are numbered by size and by 4,096 cells within a size, so a
+    replaced, in upper or lower case. A source's rows are numbered by size and by 4,096 cells within a size, so a
     hot source, or a hot size, is never in one task.
     """
     size = words_of(F.col("text")) if size is None else size
     key, mark, cell, place, start, n = fresh(docs, "_source", "_mark", "_cell", "_place", "_start", "_n")
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    kept = without(docs, ("size", "source_size", "target", "copies"))
     named = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     rows = materialize(
         docs.select(*kept, size.alias("size"), named.alias(key), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias(mark)), "mix-rows"

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import components, fresh, small_batches
+from passagework.llm.common import components, fresh, small_batches, without
 from passagework.operators.common import join_sized, materialize
 
 SHINGLES_PER_STEP = 60_000
@@ -291,11 +291,11 @@ def near_duplicates(
     Null and empty texts have no shingles and are linked with nothing. A row without an id
     is linked with nothing either: its component is null and it is kept. Rows of one id
     count as one node. An empty table gives an empty table; columns with one of the added
-    names are replaced. Ids are whole numbers.
+    names, in upper or lower case, are replaced. Ids are whole numbers.
     """
     small_batches(docs.sparkSession)
     added = ("n_shingles", "component_id", "kept")
-    columns = [c for c in docs.columns if c not in added]
+    columns = without(docs, added)
     s, digest, node = fresh(docs, "_set", "_digest", "_node")
     share = percent / 100
     least = math.floor(m * share - 5 * math.sqrt(m * share * (1 - share)))

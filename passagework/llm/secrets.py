@@ -30,7 +30,9 @@ CLASSES = (
 )
 LEAST_RUN = 20
 #: Values between separators that hold one of these are placeholders or plain sequences; what stands beside them is not.
-PLACEHOLDER = re.compile(r"[^/+_=-]*(?:example|placeholder|changeme|redacted|dummy|0123456789|abcdefghij|qwertyuiop)[^/+_=-]*", re.I)
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|redacted|dummy|0123456789|abcdefghij|qwertyuiop", re.I)
+SEPARATORS = "/+_=-"
+SEPARATOR = re.compile(r"[/+_=-]")
 #: Runs that look random and are not secret: placeholders and ids in the usual forms.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
@@ -74,6 +76,21 @@ def dense(run: str, members: frozenset, window: int, bits: float) -> bool:
     return False
 
 
+def placeholders_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Values between separators, inside text[start:end], that hold a ``PLACEHOLDER``.
+
+    Each word found is widened to its separators, and the search goes on behind them, so
+    every character is looked at a fixed number of times.
+    """
+    found, at = [], start
+    while m := PLACEHOLDER.search(text, at, end):
+        left = max([at, *(text.rfind(s, at, m.start()) + 1 for s in SEPARATORS)])
+        right = SEPARATOR.search(text, m.end(), end)
+        at = right.start() if right else end
+        found.append((left, at))
+    return found
+
+
 def spans_of(text: str, raw: bytes, allowed: re.Pattern, placeholders: bool = True) -> list[tuple[int, int, int]]:
     """Spans (start, place of the kind, end) in their order, in code points."""
     found = []
@@ -94,7 +111,7 @@ def spans_of(text: str, raw: bytes, allowed: re.Pattern, placeholders: bool = Tr
             first, before = bisect_right(ends, start), bisect_left(starts, end)
             taken = base[first:before]
         if placeholders:
-            taken = sorted(taken + [x.span() for x in PLACEHOLDER.finditer(text, start, end)])
+            taken = sorted(taken + placeholders_of(text, start, end))
         at = start
         for s, e in [*taken, (end, end)]:
             run = text[at:s]

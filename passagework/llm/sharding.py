@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import fresh, numbered
+from passagework.llm.common import fresh, numbered, without
 from passagework.operators.common import materialize
 
 CLASSES_PER_OCTAVE = 32
@@ -92,12 +92,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
 
     Null texts have size 1 and checksum 0 and are a group apart from the empty text.
     Repeated rows and repeated or null ids get slots of their own. An empty table gives
-    an empty table. Columns with one of the added names are replaced. ``keep`` names the
+    an empty table. Columns with one of the added names, in upper or
+    lower case, are replaced. ``keep`` names the
     input columns to return (all); without the text, no text is written or shuffled.
     """
     group, cell = fresh(docs, "_group", "_cell")
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    kept = without(docs if keep is None else docs.select(*keep), added)
     body = F.col(text)
     rows = materialize(
         docs.select(

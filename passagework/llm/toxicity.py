@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import fresh, small_batches
+from passagework.llm.common import fresh, small_batches, without
 from passagework.operators.common import join_sized, materialize
 
 DECAY = 0.7  # per character skipped inside a subsequence
@@ -22,14 +22,12 @@ SPAN = 6  # characters that a subsequence of three may stretch over
 SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 FILTER_BITS = 20
 WORDS_PER_STEP = 5_000
-KNOWN_WORDS = 250_000
-PART = 6  # characters of the start and the end that stand for a longer word
-SHARP = 0.35  # width of the exponential of the normalised kernel
-LONGEST = 12  # longer words are read through all their windows of this many and of PART characters
+KNOWN_TOKENS = 250_000  # in each of two generations
+SHARP = 0.2  # width of the exponential of the normalised kernel
 NO_LETTER = re.compile(r"[\W\d_]+")
-LEAST = 0.5  # normalised kernel values below count as none
-GAP = SPAN - 3  # letters inserted in one place that a landmark inside a longer word may have
-EASE = 4.0  # letters inserted, as a multiple of a landmark's own, that take its value to 1/e
+LEAST = 0.3  # normalised kernel values of whole words below count as none
+HELD = 0.5  # the same for windows of longer words
+ROOM = 3  # letters that a window may have more than the landmark
 INSERTED = (1, 2, 3)  # letters put in the words of the spoiled copies of toxic texts
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 STRETCHED = re.compile(r"(.)\1{2,}", re.S)
@@ -37,52 +35,47 @@ STRETCHED = re.compile(r"(.)\1{2,}", re.S)
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 
 
-def windows_of(word: str) -> set[str]:
-    """All windows of a long word: of ``PART`` and ``LONGEST`` characters, without spaces in its script also of 2 to 4."""
-    sizes = (2, 3, 4, PART, LONGEST) if UNSPACED.search(word) else (PART, LONGEST)
-    return {word[i : i + n] for n in sizes for i in range(len(word) - n + 1)}
+def words_of_token(token: str) -> set[str]:
+    """The words that a lower-cased token stands for.
 
-
-def words_of(text: str) -> set[str]:
-    """Distinct words of a text, lower-cased, without marks and digits (``i.d-i0ot``: ``idiot``).
-
-    A word longer than ``PART`` also counts by its start and its end, so that endings do
-    not hide a stem; beyond ``LONGEST`` by all its windows. What stands between marks and
-    digits is a word too, and so is a stretched word with its runs of three or more equal
-    letters shortened to one. A run of three or more single characters (``i d i o t``) is
-    also a word.
+    Itself without marks and digits (``i.d-i0ot``: ``idiot``), what stands between them,
+    and any of these with its runs of three or more equal letters shortened to one. In
+    scripts without spaces also all windows of 2 to 4 characters.
     """
-    lowered = text.lower()
-    raw = set(lowered.split())
-    words = set()
-    for w in raw:
-        if w.isalpha():
-            words.add(w)
-        else:
-            parts = [p for p in NO_LETTER.split(w) if p]
-            words.add("".join(parts))
-            if len(parts) > 1:
-                words.update(parts)
-    if any(len(w) == 1 and w.isalpha() for w in raw):
-        words.update(NO_LETTER.sub("", m[0]) for m in SPELLED.finditer(lowered))
+    if token.isalpha():
+        words = {token}
+    else:
+        parts = [p for p in NO_LETTER.split(token) if p]
+        words = {"".join(parts), *parts}
+        words.discard("")
     words.update([STRETCHED.sub(r"\1", w) for w in words if len(w) > 2 and STRETCHED.search(w)])
-    long = [w for w in words if len(w) > PART]
-    words.update([w[:PART] for w in long])
-    words.update([w[-PART:] for w in long])
-    for w in long:
-        if len(w) > LONGEST or UNSPACED.match(w):
-            words |= windows_of(w)
-    words.discard("")
+    for w in [w for w in words if UNSPACED.search(w)]:
+        words.update(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1))
     return words
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens_of(text: str) -> set[str]:
+    """Distinct tokens of a text, lower-cased; a run of three or more single characters (``i d i o t``) is also one."""
+    lowered = text.lower()
+    tokens = set(lowered.split())
+    if any(len(t) == 1 and t.isalpha() for t in tokens):
+        tokens.update(NO_LETTER.sub("", m[0]) for m in SPELLED.finditer(lowered))
+        tokens.discard("")
+    return tokens
+
+
+def words_of(text: str) -> set[str]:
+    """Distinct words of all tokens of a text."""
+    return set().union(*map(words_of_token, tokens_of(text)))
+
+
+def subsequences(words: list[str], start: str = "\x02", end: str = "\x03") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, key, weight) of every subsequence of three characters within ``SPAN``.
 
     Words are padded by a mark on both sides, so that starts and ends count. A key packs
     the three characters' UTF-16 units.
     """
-    units = np.frombuffer("".join(f"\x00\x02{w}\x03" for w in words).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
+    units = np.frombuffer("".join(f"\x00{start}{w}{end}" for w in words).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
     word = np.cumsum(units == 0) - 1
     rows, keys, weights = [], [], []
     for a, b, weight in SHAPES:
@@ -106,46 +99,17 @@ def summed(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> tuple[np.
     return rows[first], keys[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
-def letters_of(words: list[str]) -> np.ndarray:
-    """The set of a word's UTF-16 units as 64 bits; units that share a bit count as one."""
-    units = np.frombuffer("".join(f"\x00{w}" for w in words).encode("utf-16-le", "surrogatepass"), np.uint16)
-    bits = np.where(units == 0, np.uint64(0), np.uint64(1) << (units % 64).astype(np.uint64))
-    return np.bitwise_or.reduceat(bits, np.flatnonzero(units == 0))
-
-
-def inserted(word: str, mark: str) -> tuple[int, bool]:
-    """Least number of letters inserted in ``mark`` where ``word`` holds it, at most ``GAP`` in one place; -1 if nowhere.
-
-    The second value says that the whole word is the mark with letters inserted; the number is then for the whole word.
-    """
-    at = -1
-    for c in mark:  # most words do not hold the letters in this order at all
-        at = word.find(c, at + 1)
-        if at < 0:
-            return -1, False
-
-    def ends(last: dict[int, int]) -> dict[int, int]:  # end of the part found: its latest start
-        for c in mark[1:]:
-            now: dict[int, int] = {}
-            for end, start in last.items():
-                for at in range(end + 1, min(end + GAP + 2, len(word))):
-                    if word[at] == c and now.get(at, -1) < start:
-                        now[at] = start
-            last = now
-        return last
-
-    if word[0] == mark[0] and word[-1] == mark[-1] and len(word) - 1 in ends({0: 0}):
-        return len(word) - len(mark), True
-    found = ends({i: i for i, c in enumerate(word) if c == mark[0]})
-    return (min(end - start for end, start in found.items()) + 1 - len(mark) if found else -1), False
+def least_norm(letters: int) -> float:
+    """Norm of an unmarked string without a repeated subsequence; with repeats it is larger."""
+    return sum(max(0, letters - b) * weight**2 for _, b, weight in SHAPES) ** 0.5
 
 
 class Kernel:
     """Kernel values between words and fixed landmark words.
 
     The gap-weighted subsequence kernel, normalised to 1 for equal words and sharpened by
-    an exponential (which keeps it a kernel); far words have 0. ``inside`` adds landmarks
-    that a longer word holds, whatever stands around them.
+    an exponential (which keeps it a kernel); far words have 0. A word longer than a landmark has the
+    value of its best window, if that is higher.
     """
 
     def __init__(self, landmarks: list[str]):
@@ -155,8 +119,8 @@ class Kernel:
         order = np.argsort(keys, kind="stable")
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.owner, self.share = rows[order], (weights / norms[rows])[order]
-        self.least = [2 if UNSPACED.match(m) else 4 for m in landmarks]
-        self.held = np.array([len(m) for m in landmarks]), letters_of(landmarks) if landmarks else np.empty(0, np.uint64)
+        self.sizes = np.array([len(m) for m in landmarks], int)
+        self.floor = np.array([HELD * least_norm(len(m)) if len(m) > 3 else np.inf for m in landmarks])
         self.known = np.zeros(1 << FILTER_BITS, bool)
         self.known[self.slot(self.keys)] = True
 
@@ -165,98 +129,130 @@ class Kernel:
         with np.errstate(over="ignore"):
             return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """Matrix words x landmarks; 1 for a landmark itself, 0 for words far from it."""
+    def products(self, rows: np.ndarray, keys: np.ndarray, weights: np.ndarray, words: int) -> np.ndarray:
+        """Sums over common subsequences, words x landmarks, divided by the landmark's norm."""
         size = len(self.landmarks)
-        if not len(self.keys) or not words:
-            return np.zeros((len(words), size), np.float32)
-        rows, keys, weights = subsequences(words)
         some = np.flatnonzero(self.known[self.slot(keys)])
         at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
         meets = self.keys[at] == keys[some]
         some, at = some[meets], at[meets]
-        # squares summed apart are at most the norm: what stays below LEAST here is below it
-        square = np.maximum(np.bincount(rows, weights**2, len(words)), 1e-9)
-        enough = np.bincount(rows[some], weights[some] ** 2, len(words)) >= LEAST**2 * square
-        some, at = some[enough[rows[some]]], at[enough[rows[some]]]
         each = self.count[at]
         spot = np.repeat(self.first[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         cell = np.repeat(rows[some], each) * size + self.owner[spot]
-        product = np.bincount(cell, np.repeat(weights[some], each) * self.share[spot], len(words) * size).reshape(-1, size)
-        close = np.flatnonzero(product.max(1) >= LEAST * np.sqrt(square))
-        out = np.zeros((len(words), size), np.float32)
+        return np.bincount(cell, np.repeat(weights[some], each) * self.share[spot], words * size).reshape(-1, size)
+
+    def sharpened(self, words: list[str], product: np.ndarray, square: np.ndarray, least: float, marks: tuple[str, ...]) -> np.ndarray:
+        """Normalised and sharpened values; the exact norm only where a bound lets a word reach ``least``."""
+        out = np.zeros(product.shape, np.float32)
+        close = np.flatnonzero(product.max(1, initial=0) >= least * np.sqrt(square))
         if len(close):
-            own_rows, _, own_weights = summed(*subsequences([words[i] for i in close]))
+            own_rows, _, own_weights = summed(*subsequences([words[i] for i in close], *marks))
             cosine = product[close] / np.sqrt(np.bincount(own_rows, own_weights**2, len(close)))[:, None]
-            out[close] = np.where(cosine >= LEAST, np.exp((np.minimum(cosine, 1) - 1) / SHARP), 0)
+            out[close] = np.where(cosine >= least, np.exp((np.minimum(cosine, 1) - 1) / SHARP), 0)
         return out
 
+    def values(self, words: list[str]) -> np.ndarray:
+        """Matrix words x landmarks; 1 for a landmark itself, 0 for words far from it."""
+        return self.whole(words)[0]
 
-    def inside(self, words: list[str]) -> np.ndarray:
-        """``values`` and, as further columns, how well a word holds each landmark of four letters or more with letters inserted.
+    def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys) or not words:
+            return np.zeros((len(words), len(self.landmarks)), np.float32), np.zeros((len(words), len(self.landmarks)))
+        rows, keys, weights = subsequences(words)
+        # squares summed apart are at most the norm's square: what stays below ``LEAST`` here is below it
+        square = np.maximum(np.bincount(rows, weights**2, len(words)), 1e-9)
+        product = self.products(rows, keys, weights, len(words))
+        return self.sharpened(words, product, square, LEAST, ()), product
 
-        The norm is that of the best window of the word, so what stands around it does not
-        count. A landmark of L letters with n inserted has exp(-n / (EASE * L)) where they
-        are the whole word, exp(-1 / (EASE * L)) unbroken in a longer one, and else the
-        sharpened L / (L + 1 + n), as ordinary long words hold short landmarks by chance.
-        Words that lack one of its letters are left out first. In scripts without spaces
-        landmarks of two and three letters count as well, where they stand unbroken.
+    def best(self, words: list[str]) -> np.ndarray:
+        """``values``, or those of the best window of a longer word, if they are higher.
+
+        A window has a landmark's number of letters, or up to ``ROOM`` more, and no marks: what stands
+        around it does not count. What a window shares with a landmark the word shares too, so a word
+        whose own sum is below the least norm of such a window times ``HELD`` has none.
         """
-        out = np.concatenate((self.values(words), np.zeros((len(words), len(self.landmarks)), np.float32)), axis=1)
-        sizes, letters = self.held
-        if not len(sizes) or not words:
+        out, product = self.whole(words)
+        if not len(self.keys) or not words:
             return out
-        own = letters_of(words)
-        longer = np.array([len(w) for w in words])[:, None] > sizes
-        for i, j in zip(*np.nonzero(longer & ((own[:, None] & letters) == letters))):
-            mark, word = self.landmarks[j], words[i]
-            if len(mark) < self.least[j]:
-                continue
-            more, whole = inserted(word, mark) if len(mark) >= 4 else (0 if mark in word else -1, False)
-            if more < 0:
-                continue
-            if whole or not more:
-                value = np.exp(-max(more, 1) / (EASE * len(mark)))
-            else:
-                value = np.exp((len(mark) / (len(mark) + 1 + more) - 1) / SHARP)
-            out[i, len(sizes) + j] = value
+        longer = np.array([len(w) for w in words])[:, None] > self.sizes
+        pairs = np.argwhere(longer & (product >= self.floor))
+        windows: dict[tuple[str, int], int] = {}
+        owner, window = [], []
+        for i, j in pairs.tolist():
+            word, size = words[i], int(self.sizes[j])
+            for n in range(size, min(size + ROOM, len(word)) + 1):
+                for at in range(len(word) - n + 1):
+                    owner.append((i, j))
+                    window.append(windows.setdefault(word[at : at + n], len(windows)))
+        names = list(windows)
+        found = np.zeros((len(names), len(self.landmarks)), np.float32)
+        for a in range(0, len(names), WORDS_PER_STEP):
+            part = names[a : a + WORDS_PER_STEP]
+            rows, keys, weights = subsequences(part, "", "")
+            square = np.maximum(np.bincount(rows, weights**2, len(part)), 1e-9)
+            found[a : a + len(part)] = self.sharpened(part, self.products(rows, keys, weights, len(part)), square, HELD, ("", ""))
+        if owner:
+            at = np.array(owner)
+            np.maximum.at(out, (at[:, 0], at[:, 1]), found[window, at[:, 1]])
         return out
 
 
 class Pool:
-    """Highest kernel value of any word of a text, by landmark; remembers words, to a bound."""
+    """Highest kernel value of any word of a text, by landmark; remembers tokens, to a bound.
+
+    Two generations: when the young one is full it becomes the old one, and a token found
+    in the old one moves up. So frequent tokens stay, and rare ones are forgotten.
+    """
 
     def __init__(self, kernel: Kernel):
         self.kernel = kernel
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.near: list[np.ndarray] = []
+        self.none = np.zeros(len(kernel.landmarks), np.float32)
+        self.young: dict[str, np.ndarray | None] = {}
+        self.old: dict[str, np.ndarray | None] = {}
+
+    def learn(self, tokens: list[str]) -> None:
+        """Pooled values of new tokens; None for those far from all landmarks."""
+        words: dict[str, int] = {}
+        owner, member = [], []
+        for i, token in enumerate(tokens):
+            for word in words_of_token(token):
+                owner.append(i)
+                member.append(words.setdefault(word, len(words)))
+        names = list(words)
+        values = np.zeros((len(names), len(self.none)), np.float32)
+        for a in range(0, len(names), WORDS_PER_STEP):
+            values[a : a + WORDS_PER_STEP] = self.kernel.best(names[a : a + WORDS_PER_STEP])
+        near = values.any(1)
+        held: dict[int, np.ndarray] = {}
+        for i, j in zip(owner, member):
+            if near[j]:
+                held[i] = np.maximum(held[i], values[j]) if i in held else values[j].copy()
+        self.young.update((token, held.get(i)) for i, token in enumerate(tokens))
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), 2 * len(self.kernel.landmarks)), np.float32)
+        out = np.zeros((len(texts), len(self.none)), np.float32)
         at = 0
-        while at < len(texts):  # bounded steps: a text's words are met whole
+        while at < len(texts):  # bounded steps: a text's tokens are met whole
             sets, new, start = [], set(), at
             while at < len(texts) and len(new) < WORDS_PER_STEP:
-                sets.append(words_of(texts[at].as_py() or ""))
-                new.update(w for w in sets[-1] if w not in self.place)
+                tokens = tokens_of(texts[at].as_py() or "")
+                sets.append(tokens)
+                for token in tokens:
+                    if token not in self.young:
+                        if token in self.old:
+                            self.young[token] = self.old[token]
+                        else:
+                            new.add(token)
                 at += 1
-            new_words = sorted(new)
-            for a in range(0, len(new_words), WORDS_PER_STEP):
-                part = new_words[a : a + WORDS_PER_STEP]
-                values = self.kernel.inside(part)
-                for word, near, row in zip(part, values.any(1), values):
-                    self.place[word] = len(self.near) if near else -1
-                    if near:
-                        self.near.append(row.copy())
-            for i, words in enumerate(sets):
-                rows = [self.near[p] for p in map(self.place.__getitem__, words) if p >= 0]
+            new_tokens = sorted(new)
+            for a in range(0, len(new_tokens), WORDS_PER_STEP):
+                self.learn(new_tokens[a : a + WORDS_PER_STEP])
+            for i, tokens in enumerate(sets):
+                rows = [row for row in map(self.young.__getitem__, tokens) if row is not None]
                 if rows:
                     out[start + i] = np.max(rows, axis=0)
-            if len(self.place) > KNOWN_WORDS:
-                self.forget()
+            if len(self.young) > KNOWN_TOKENS:
+                self.young, self.old = {}, self.young
         return out
 
 
@@ -303,7 +299,8 @@ def pick_landmarks(sample: DataFrame, landmarks: int, candidates: int = 1500) ->
         return []
     share = (F.col("toxic") + F.col("clean")) / (n1 + n0)
     z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share + 1e-9) * (1 / n1 + 1 / n0))
-    rows = word_labels(sample).filter(F.length("word") <= 64).withColumn("z", z).filter("z >= 3 and toxic >= 2").orderBy(F.desc("z"), "word").limit(candidates).collect()
+    common = word_labels(sample).filter(F.length("word") <= 64).withColumn("z", z).filter("z >= 3 and toxic >= 2")
+    rows = common.orderBy(F.desc("z"), "word").limit(candidates).collect()
     words, gain = [r["word"] for r in rows], np.array([r["z"] for r in rows])
     if not words:
         return []
@@ -335,18 +332,18 @@ def spoiled(text: str, letters: int = 1) -> str:
     return " ".join(out)
 
 
-def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost: float = 1.0) -> Model:
+def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost: float = 1.0, counts: np.ndarray | None = None) -> Model:
     """Linear machine on Nyström features: squared hinge loss, Newton steps on its active set.
 
     Features are kernel values k; the map is k @ K^(-1/2) with the landmarks' own matrix K.
-    Margins become probabilities by a logistic fit with the labels' true shares.
+    Margins become probabilities by a logistic fit in which a row
+    has the weight ``counts`` (1, if not given), so that copies made for training do not count as as many labels.
     """
     own = kernel.values(kernel.landmarks).astype(float)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     value = np.maximum(value, 1e-2)
     whiten = vector / np.sqrt(value) @ vector.T
-    held = np.block([[whiten, np.zeros_like(whiten)], [np.zeros_like(whiten), np.eye(len(whiten))]])
-    x = np.c_[features @ held, np.ones(len(features))]
+    x = np.c_[features @ whiten, np.ones(len(features))]
     y = np.where(labels > 0, 1.0, -1.0)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
     w = np.zeros(x.shape[1])
@@ -361,20 +358,21 @@ def fit_machine(features: np.ndarray, labels: np.ndarray, kernel: Kernel, cost:
             break
         active = now
     margin, target, a, b = x @ w, (y > 0).astype(float), 1.0, 0.0
+    each = np.ones(len(y)) if counts is None else counts
     for _ in range(100):  # damped Newton on two parameters
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * a, (p - target).sum()])
-        s = p * (1 - p) + 1e-6
+        g = np.array([(each * (p - target) * margin).sum() + 1e-3 * a, (each * (p - target)).sum()])
+        s = each * (p * (1 - p) + 1e-6)
         h = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         step /= max(1.0, np.abs(step).max())
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
-    return Model(kernel.landmarks, held @ w[:-1], float(w[-1]), float(a), float(b))
+    return Model(kernel.landmarks, whiten @ w[:-1], float(w[-1]), float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int = 160) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int = 64) -> Model:
     """Model from about ``rows`` labelled texts (``doc_id``, ``text``; ``doc_id``, ``label`` 0 or 1).
 
     The sample is one class of the hash of the id, of as many as make that size; rows without text, id or
@@ -404,12 +402,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, landmarks: int
     def spoil(texts: pa.Array, letters: pa.Array) -> pa.Array:
         return pa.array([spoiled(t, n) for t, n in zip(texts.to_pylist(), letters.to_pylist())], pa.string())
 
-    again = sample
+    again = sample.withColumn("letters", F.lit(0))
     for letters in INSERTED:
-        again = again.unionByName(sample.filter("label = 1").withColumn("text", spoil("text", F.lit(letters))))
-    table = again.orderBy("doc_id").select(features("text").alias("f"), "label").toArrow()
-    grid = np.array(table["f"].to_pylist(), np.float32)
-    return fit_machine(grid, table["label"].to_numpy(), Kernel(picked))
+        again = again.unionByName(sample.filter("label = 1").withColumns({"text": spoil("text", F.lit(letters)), "letters": F.lit(letters)}))
+    table = again.select("doc_id", "label", "letters", F.xxhash64("text").alias("mark"), features("text").alias("f"))
+    table = table.orderBy("doc_id", "label", "letters", "mark").select("f", "label", "letters").toArrow()  # sums in one order: reruns agree
+    grid = table["f"].combine_chunks().flatten().to_numpy().reshape(-1, len(picked))
+    return fit_machine(grid, table["label"].to_numpy(), Kernel(picked), counts=np.where(table["letters"].to_numpy() == 0, 1.0, 1 / len(INSERTED)))
 
 
 def toxicity(spark, model: Model, text: Column) -> Column:
@@ -433,9 +432,9 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
     A text's features are the highest kernel values of any of its words against each
     landmark word; the kernel compares gapped subsequences, so ``i.d.i.o.t`` or ``idiiot`` is near
     ``idiot``, and finds landmarks inside longer words, as in ``youidiotgo`` or ``ixdxixot``. Null and empty texts get the score of a text without any such word. An
-    empty table gives an empty table; columns with one of the added names are replaced.
+    empty table gives an empty table; columns with one of the added names, in upper or lower case, are replaced.
     """
     (score,) = fresh(docs, "_score")
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = without(docs, ("score", "predicted"))
     scored = docs.withColumn(score, toxicity(docs.sparkSession, model, F.col(text)))
     return scored.select(*kept, F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))

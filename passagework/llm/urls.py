@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import fresh
-from passagework.operators.common import join_sized, materialize
+from passagework.llm.common import fresh, without
+from passagework.operators.common import join_sized as _join_sized
+from passagework.operators.common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, END = "\x02", "\x03"
 #: Chance of a character that no model has seen.
 FLOOR = 1.0 / 1024
+#: Bytes that each of the ten joins of one filter may broadcast; beyond, they shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    return _join_sized(big, side, on, how, max_bytes=BROADCAST_BYTES)
 
 
 def host_of(url: Column) -> Column:
@@ -37,10 +44,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _grams(strings: DataFrame, order: int, *keep: str) -> DataFrame:
-    """One row per character of ``s``: the character with its ``order - 1`` predecessors, as ``g``."""
-    padded = F.concat(F.lit(START * (order - 1)), F.col("s"), F.lit(END))
-    places = F.sequence(F.lit(1), F.length("s") + 1)
-    return strings.select(*keep, F.explode(F.transform(places, lambda i: F.substring(padded, i, F.lit(order)))).alias("g"))
+    """One row per character of ``s``: the character with its ``order - 1`` predecessors, as ``g``.
+
+    A string is cut into characters once, so a long one costs in proportion to its length.
+    """
+    padded = F.split(F.concat(F.lit(START * (order - 1)), F.col("s"), F.lit(END)), "")
+    cut = strings.select(*keep, padded.alias("_chars"))
+    places = F.sequence(F.lit(0), F.size("_chars") - order)
+    gram = F.concat(*[F.get("_chars", F.col("_at") + i) for i in range(order)])
+    return cut.select(*keep, "_chars", F.explode(places).alias("_at")).select(*keep, gram.alias("g"))
 
 
 def ratio_table(known: DataFrame, asked: DataFrame, order: int) -> DataFrame:
@@ -89,11 +101,11 @@ def filter_urls(
 
     Null urls and urls without ``://`` have an empty host and path and are judged as the
     empty string. Equal urls are scored once and joined back; repeated rows stay. An empty
-    table gives an empty table. Columns with one of the added names are replaced. All
-    steps are DataFrame operations; a url's characters become rows, summed by string.
+    table gives an empty table. Columns with one of the added names, in upper or lower case, are replaced. All
+    steps are DataFrame operations; a url's characters become rows, summed by string; a url of a million characters is cut in one pass.
     """
     s, n = fresh(pages, "_s", "_n")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "llr")]
+    kept = without(pages, ("host", "path", "rule", "verdict", "llr"))
     host, path = fresh(pages, "_host", "_path")
     parts = pages.select(*kept, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
     rule, said = rule_of(F.col(host), F.col(path), rules)

@@ -157,19 +157,19 @@ def test_secrets_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "text string")).count() == 0
 
 
-def _plain_kernel(a, b):
-    """Gap-weighted subsequences of three characters, by three loops."""
-    def features(word):
-        s, out = f"\x02{word}\x03", defaultdict(float)
+def _plain_kernel(a, b, marked=True):
+    """Gap-weighted subsequences of three characters, by three loops; ``a`` without marks if not ``marked``."""
+    def features(word, marked=True):
+        s, out = f"\x02{word}\x03" if marked else word, defaultdict(float)
         for i in range(len(s)):
             for j in range(i + 1, len(s)):
                 for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
                     out[s[i], s[j], s[k]] += toxicity.DECAY ** (k - i - 2)
         return out
 
-    x, y = features(a), features(b)
+    x, y = features(a, marked), features(b)
     dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
-    return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
+    return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y) or 1)
 
 
 def test_toxicity_kernel_against_loops():
@@ -271,22 +271,47 @@ def test_toxicity_words_in_long_tokens(text):
 
 
 def test_toxicity_long_tokens_are_read_whole():
-    word = "".join(chr(0x4E00 + i) for i in range(60)) + "abcdefghijklmnopqrstuvwxyz"
-    for token in (word, word[60:]):
-        read = toxicity.words_of(token)
-        for n in (toxicity.PART, toxicity.LONGEST):
-            assert {token[i : i + n] for i in range(len(token) - n + 1)} <= read
+    """A landmark counts at any place of a long token, and no window is missed."""
+    kernel = toxicity.Kernel(["idiot", "worthless"])
+    for at in (0, 1, 7, 40, 500):
+        for mark, place in (("idiot", 0), ("worthless", 1)):
+            token = ("qzvkjx" * 100)[:at] + mark + "vkqzj" * 30
+            assert kernel.best([token])[0, place] > 0.1, (at, mark)
+    assert not kernel.best(["qzvkjx" * 100]).any()
+    word = "".join(chr(0x4E00 + i) for i in range(60))
     assert {word[i : i + 2] for i in range(59)} <= toxicity.words_of(word)
 
 
+def test_toxicity_best_window_against_loops():
+    marks, rng = ["idiot", "moron", "scum"], random.Random(2)
+    words = ["ixdxiot", "ixdxixot", "youidiotgo", "moxroxn", "xiddiot", "scumscum", *("".join(rng.choices("idotmrnscu", k=rng.randint(3, 14))) for _ in range(150))]
+    kernel = toxicity.Kernel(marks)
+    whole, got = kernel.values(words), kernel.best(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            windows = {w[a : a + n] for n in range(len(m), len(m) + toxicity.ROOM + 1) for a in range(len(w) - n + 1)} if len(w) > len(m) else set()
+            best = max((_plain_kernel(u, m, marked=False) for u in windows), default=0)
+            want = max(whole[i, j], math.exp((best - 1) / toxicity.SHARP) if best >= toxicity.HELD else 0)
+            assert got[i, j] == pytest.approx(want, abs=1e-4), (w, m)
+
+
 def test_toxicity_landmarks_inside_longer_words():
-    marks = ["idiot", "moron"]
-    words = ["ixdxiot", "ixdxixot", "ixdxixoxt", "youidiotgo", "moxroxn", "zebra" * 4, "xiddiot", "идиот"]
-    got = toxicity.Kernel(marks).inside(words)[:, len(marks):]
-    assert (got[[0, 1, 2, 3], 0] > 0.6).all() and got[4, 1] > 0.6 and 0 < got[6, 0] < 0.6
-    assert not got[5].any() and not got[7].any() and not got[:4, 1].any()
+    got = toxicity.Kernel(["idiot", "moron"]).best(["ixdxiot", "ixdxixot", "youidiotgo", "moxroxn", "zebra" * 4, "xiddiot", "идиот"])
+    assert (got[[0, 1, 2, 5], 0] > 0.01).all() and got[3, 1] > 0.01
+    assert not got[4].any() and not got[6].any() and not got[:3, 1].any()
     assert "идиот" in toxicity.words_of("ты и д и о т да")
-    assert toxicity.inserted("idxxxxiot", "idiot")[0] == -1 and toxicity.inserted("idxxxiot", "idiot") == (3, True)
+
+
+def test_toxicity_tokens_are_remembered_in_two_generations(monkeypatch):
+    import pyarrow as pa
+
+    kernel = toxicity.Kernel(["grumwit", "blobhead"])
+    texts = pa.array([f"word{i} the grumwit" if i % 3 else f"blobxhead w{i} x{i}" for i in range(60)])
+    want = toxicity.Pool(kernel).features(texts)
+    monkeypatch.setattr(toxicity, "KNOWN_TOKENS", 5)
+    monkeypatch.setattr(toxicity, "WORDS_PER_STEP", 3)
+    pool = toxicity.Pool(kernel)
+    assert (pool.features(texts) == want).all() and len(pool.young) <= 12
 
 
 def test_toxicity_several_inserted_letters(spark):
