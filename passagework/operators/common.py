@@ -73,13 +73,15 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
     return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
-def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_sized(
+    big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Join with ``side`` broadcast when it measures small; otherwise a shuffled join.
 
     In the shuffled join AQE splits the skewed partitions of ``big``; ``side`` should be
     a written table or cheap to compute, since it is measured first.
     """
-    if small_enough(side, max_rows):
+    if small_enough(side, max_rows, max_bytes):
         return big.join(F.broadcast(side), on, how)
     return big.join(side.hint("shuffle_merge"), on, how)
 
