@@ -105,7 +105,7 @@ def _leaks(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("window,shingle,block", [(10, 3, 32 << 20), (4, 2, 200), (6, 6, 32 << 20)])
+@pytest.mark.parametrize("window,shingle,block", [(10, 3, 32 << 20), (4, 2, 1500)])
 def test_decontamination_equals_brute_force(spark, window, shingle, block):
     docs, items = _leaks(window)
     frame = spark.createDataFrame([(*d, 9, "w") for d in docs], "doc_id long, text string, N_HIT int, win string").repartition(4)
@@ -133,7 +133,7 @@ def test_decontamination_of_nothing(spark):
 
 
 def _plain_audit(docs, labels):
-    good, bad = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, bad = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     firsts = {}
     for i, text, _ in docs:
         if i is not None:
