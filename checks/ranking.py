@@ -125,7 +125,7 @@ def fuzzy_terms(spark, sf):
     fields = tuple(f for f in PROSE if f.fuzzy)
     index = build_index(document_passages(spark, sf), fields)
     tokens = query_terms(benchmark_queries(spark, sf), fields).withColumnRenamed("term", "token")
-    return expand_terms(tokens, index.vocabulary)
+    return expand_terms(tokens, index.vocabulary, parts=index.parts)
 
 
 @query(
@@ -148,6 +148,23 @@ def keyword_search_all(spark, sf):
     return keyword_search(benchmark_queries(spark, sf), index, 10, PROSE)
 
 
+_TITLE = tuple(f for f in FIELDS if f.name == "asset.title")
+_SOME = "('src1', 'src3', 'src5')"
+
+
+@query(
+    "keyword_filtered",
+    f"""WITH {CHUNKS}, {postings_sql(_TITLE)}, {query_terms_sql(_TITLE)}, {NO_EXPANSIONS},
+{SCORES.replace("FROM scores)", f"FROM scores WHERE passage_id IN (SELECT passage_id FROM passages WHERE source IN {_SOME}))")}
+SELECT query_id, passage_id, score, rank::INT AS rank FROM keyword""",
+)
+def keyword_filtered(spark, sf):
+    """Keyword search within three sources; statistics are those of all passages."""
+    passages = document_passages(spark, sf)
+    index = build_index(passages, _TITLE)
+    return keyword_search(benchmark_queries(spark, sf), index, 10, _TITLE, {"asset_type": "post", "parent_id": ["src1", "src3", "src5"]})
+
+
 _TEXT = tuple(f for f in FIELDS if f.name == "text")
 
 

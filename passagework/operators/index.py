@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import english_terms, standard_terms
 from ..functions.text import bind
 from .common import materialize
+from .typos import write_parts
 
 
 @dataclass(frozen=True)
@@ -177,10 +178,16 @@ class Index:
     postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
+    keys: DataFrame  # ``passage_id`` and the filter columns, sorted by these
+    parts: DataFrame | None = None  # word parts of the fields with typo matches
 
 
 def build_index(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Index:
     """Analyse ``passages`` once, write the index rows, and count terms from them."""
     rows = materialize(index_rows(passages, fields), "index-rows")
     terms = write_postings(rows)
-    return Index(rows, terms, materialize(vocabulary(terms), "vocabulary"), materialize(field_stats(rows), "field-stats"))
+    words = materialize(vocabulary(terms), "vocabulary")
+    keys = materialize(rows.select("passage_id", *FILTERS).sortWithinPartitions(*FILTERS), "index-keys")
+    fuzzy = [f.name for f in fields if f.fuzzy]
+    parts = write_parts(words.filter(F.col("field").isin(fuzzy))) if fuzzy else None
+    return Index(rows, terms, words, materialize(field_stats(rows), "field-stats"), keys, parts)

@@ -12,11 +12,11 @@ from ..functions.text import SNIPPET_CHARS, escape_html, sentences, squeeze, str
 from .common import materialize, top_per
 from .index import FIELDS, Field, Index, analyze
 from .scoring import top_passages
+from .typos import MAX_EDITS, asked_parts, probes_of, segments_of
 
-# BM25 parameters (Robertson and Walker) and the typo limits.
+# BM25 parameters (Robertson and Walker) and the typo limit.
 K1 = 1.2
 B = 0.75
-MAX_EDITS = 2
 MAX_EXPANSIONS = 50
 
 
@@ -50,86 +50,35 @@ def query_terms(queries: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataF
     )
 
 
-def _segments(term: Column) -> Column:
-    """Cut a term of ``n`` letters into parts, one more than the edits it may differ by."""
-    n = F.length(term)
-    parts = _parts(n)
-    base = (n / parts).cast("int")
-    longer = n % parts  # the last `longer` parts have one letter more
-
-    def part(i: Column) -> Column:
-        start = i * base + F.greatest(F.lit(0), i - (parts - longer))
-        size = base + F.when(i >= parts - longer, 1).otherwise(0)
-        return F.struct(n.alias("len"), i.alias("part"), F.substr(term, start + 1, size).alias("segment"))
-
-    return F.transform(F.sequence(F.lit(0), parts - 1), part)
-
-
-def _parts(n: Column) -> Column:
-    return F.least(F.lit(MAX_EDITS), n - 1) + 1
-
-
-def _probes(token: Column) -> Column:
-    """Substrings of a token that some part of a term within reach must equal.
-
-    The positions follow the multi-match-aware selection of Pass-Join (Li, Deng, Wang,
-    Feng; VLDB 2012).
-    """
-    size_q = F.length(token)
-
-    def for_length(n: Column) -> Column:
-        parts = _parts(n)
-        edits = parts - 1
-        base = (n / parts).cast("int")
-        longer = n % parts
-        delta = size_q - n
-
-        def for_part(i: Column) -> Column:
-            start = i * base + F.greatest(F.lit(0), i - (parts - longer))
-            size = base + F.when(i >= parts - longer, 1).otherwise(0)
-            low = F.greatest(F.lit(0), start - i, start + delta - (edits - i))
-            high = F.least(size_q - size, start + i, start + delta + (edits - i))
-            return F.when(
-                low <= high,
-                F.transform(
-                    F.sequence(low, high),
-                    lambda at: F.struct(
-                        n.alias("len"), i.alias("part"), F.substr(token, at + 1, size).alias("segment")
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<struct<len:int,part:int,segment:string>>"))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), for_part))
-
-    lengths = F.sequence(F.greatest(F.lit(1), size_q - MAX_EDITS), size_q + MAX_EDITS)
-    return F.array_distinct(F.flatten(F.transform(lengths, for_length)))
-
-
-def near_terms(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+def near_terms(tokens: DataFrame, vocab: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """``field, token, term, edits, df``: vocabulary terms within two edits of a token.
 
     The distance must stay below the length of the shorter word, so one-letter words only
     match themselves. Candidates come from an equi-join on word parts (a word within k
     edits shares one of k+1 parts), so neither side is compared with all of the other.
+    ``parts`` is the vocabulary's stored part table (``typos.write_parts``), of which only the buckets
+    that the tokens ask for are read; without it the vocabulary is cut here.
     """
     words = tokens.select("field", "token").distinct()
-    probes = words.select("field", "token", F.inline(_probes(F.col("token"))))
-    parts = vocab.select("field", "term", "df", F.inline(_segments(F.col("term"))))
+    probes = words.select("field", "token", F.inline(probes_of(F.col("token"))))
     edits = F.levenshtein("token", "term")
     reach = F.least(F.lit(MAX_EDITS + 1), F.length("token"), F.length("term"))
+    if parts is None:
+        met = vocab.select("field", "term", "df", F.inline(segments_of(F.col("term")))).join(probes, ["field", "len", "part", "segment"])
+    else:
+        met = asked_parts(parts, materialize(probes, "probes"))
     return (
-        parts.join(probes, ["field", "len", "part", "segment"])
-        .filter(edits < reach)
+        met.filter(edits < reach)
         .select("field", "token", "term", "df", edits.alias("edits"))
         .groupBy("field", "token", "term")
         .agg(F.first("edits").alias("edits"), F.first("df").alias("df"))
     )
 
 
-def expand_terms(tokens: DataFrame, vocab: DataFrame, limit: int = MAX_EXPANSIONS) -> DataFrame:
+def expand_terms(tokens: DataFrame, vocab: DataFrame, limit: int = MAX_EXPANSIONS, parts: DataFrame | None = None) -> DataFrame:
     """The ``limit`` near terms of every token: nearest first, then most frequent."""
     best = [F.col("edits"), F.col("df").desc(), F.col("term")]
-    return top_per(near_terms(tokens, vocab), ["field", "token"], best, limit, "_n").drop("_n")
+    return top_per(near_terms(tokens, vocab, parts), ["field", "token"], best, limit, "_n").drop("_n")
 
 
 def term_weights(queries: DataFrame, index: Index, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
@@ -140,7 +89,7 @@ def term_weights(queries: DataFrame, index: Index, fields: tuple[Field, ...] = F
     wanted = materialize(query_terms(queries, fields), "query-terms")
     exact = wanted.filter(~F.col("fuzzy")).join(index.vocabulary, ["field", "term"]).withColumn("share", F.lit(1.0))
     typos = wanted.filter("fuzzy").withColumnRenamed("term", "token")
-    expanded = expand_terms(typos, index.vocabulary)
+    expanded = expand_terms(typos, index.vocabulary, parts=index.parts)
     share = 1 - F.col("edits") / F.least(F.length("token"), F.length("term"))
     typo = typos.join(expanded, ["field", "token"]).withColumn("share", share)
     columns = ["query_id", "field", "term", "boost", "df", "qtf", "share"]

@@ -140,6 +140,41 @@ def test_postings_and_scan_give_the_same(spark):
     assert len(buckets) == 1 and index.postings.select("bucket").distinct().count() > 10
 
 
+def test_filtered_postings_read_only_asked_buckets(spark):
+    """Filters on the postings and on the rows give the same; the plan reads the asked buckets."""
+    rng = random.Random(52)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"p{i:03d}", {"type": rng.choice(["post", "doc"]), "id": f"a{i % 7}"}, {"id": rng.choice(["x", "y", None])}, " ".join(rng.choices(words, k=rng.randint(1, 20)))) for i in range(300)]
+    passages = spark.createDataFrame(rows, "passage_id string, asset struct<type:string,id:string>, parent struct<id:string>, text string").repartition(4)
+    index = build_index(passages, FIELDS[:1])
+    average = index.stats.first().avg_len
+    weights = spark.createDataFrame([(q, "text", rng.choice(words), 0, rng.random() + 0.1, average) for q in range(20)], "query_id int, field string, term string, df long, weight double, avg_len double")
+    for filters in ({"asset_type": "post"}, {"asset_type": ["post", "doc"], "parent_id": "x"}, {"asset_id": ["a1", "a2"], "parent_id": ["y"]}, {"asset_id": "none"}):
+        allowed = scoring._kept(index.keys, filters).select("passage_id")
+        lists = [
+            sorted((r.query_id, r.rank, r.passage_id) for r in top_per(df, ["query_id"], [F.desc("score"), F.col("passage_id")], 5).collect())
+            for df in (scoring._from_postings(index.postings, weights, 1.2, 0.75, allowed), scoring._from_rows(index.rows, weights, 5, 1.2, 0.75, filters, 20, 20))
+        ]
+        assert lists[0] == lists[1] and (len(lists[0]) > 0) == (filters != {"asset_id": "none"})
+        one = weights.filter("query_id = 0")
+        plan = scoring.top_passages(index, one, 5, 1.2, 0.75, filters)._jdf.queryExecution().executedPlan().toString()
+        asked = [line for line in plan.splitlines() if "PartitionFilters: [" in line and "bucket#" in line.split("PartitionFilters: [")[1].split("]")[0]]
+        assert asked and "MapInArrow" not in plan
+
+
+def test_stored_word_parts_give_the_same_terms(spark):
+    rng = random.Random(53)
+    word = lambda: "".join(rng.choices("abcd\u00e9", k=rng.randint(1, 9)))
+    rows = [(f"p{i}", " ".join(word() for _ in range(6))) for i in range(120)]
+    passages = spark.createDataFrame(rows, "passage_id string, text string").repartition(3)
+    index = build_index(passages, tuple(f for f in FIELDS if f.name == "text.fuzzy"))
+    tokens = spark.createDataFrame([("text.fuzzy", word()) for _ in range(60)] + [("other", "abc")], "field string, token string")
+    key = lambda df: sorted((r.field, r.token, r.term, r.edits, r.df) for r in df.collect())
+    assert key(near_terms(tokens, index.vocabulary, index.parts)) == key(near_terms(tokens, index.vocabulary))
+    assert near_terms(tokens.limit(0), index.vocabulary, index.parts).count() == 0
+    assert index.parts.select("bucket").distinct().count() > 20
+
+
 def test_literal_fallback(spark, value):
     passages = table(spark)
     hits = substring_search(ask(spark, "ÉBAUCHE", "s & <RA", "[a-z]", "quay chan"), passages).collect()
