@@ -102,26 +102,27 @@ def filter_urls(
     Null urls and urls without ``://`` have an empty host and path and are judged as the
     empty string. Equal urls are scored once and joined back; repeated rows stay. An empty
     table gives an empty table. Columns with one of the added names, in upper or lower case, are replaced. All
-    steps are DataFrame operations; a url's characters become rows, summed by string; a url of a million characters is cut in one pass.
+    steps are DataFrame operations; a url's characters become rows, summed by the
+    string's digest, so that a url of a million characters is cut in one pass and never repeated.
     """
-    s, n = fresh(pages, "_s", "_n")
+    s, sid = fresh(pages, "_s", "_sid")
     kept = without(pages, ("host", "path", "rule", "verdict", "llr"))
     host, path = fresh(pages, "_host", "_path")
     parts = pages.select(*kept, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
     rule, said = rule_of(F.col(host), F.col(path), rules)
-    judged = parts.select(*kept, F.col(host).alias("host"), F.col(path).alias("path"), rule.alias("rule"), said.alias("verdict"), F.concat(host, path).alias(s))
+    judged = parts.select(*kept, F.col(host).alias("host"), F.col(path).alias("path"), rule.alias("rule"), said.alias("verdict"), F.concat(host, path).alias(s)).withColumn(sid, F.sha2(F.col(s).cast("binary"), 256))
     strings = materialize(
-        judged.groupBy(F.col(s).alias("s"), "verdict").agg(F.count("*").alias("n"))
+        judged.groupBy(F.col(sid).alias("sid"), F.col(s).alias("s"), "verdict").agg(F.count("*").alias("n"))
         .withColumn("fold", F.pmod(F.crc32(F.col("s").cast("binary")), F.lit(calibrate))), "url-strings",
     )
     learned = strings.filter("verdict is not null and fold <> 0")
     weight = {side: F.when(F.col("verdict") == word, F.col("n")).otherwise(0) for side, word in (("a", "allow"), ("r", "block"))}
     known = materialize(_grams(learned, order, "verdict", "n").groupBy("g").agg(*[F.sum(w).alias(c) for c, w in weight.items()]), "url-known")
     asked = strings.filter("verdict is null or fold = 0")
-    grams = materialize(_grams(asked, order, "s", "verdict").groupBy("s", "verdict", "g").agg(F.count("*").alias("k")), "url-asked")
+    grams = materialize(_grams(asked, order, "sid", "verdict").groupBy("sid", "verdict", "g").agg(F.count("*").alias("k")), "url-asked")
     ratios = materialize(ratio_table(known, grams, order), "url-ratios")
     scores = materialize(
-        join_sized(grams, ratios, ["g"]).groupBy("s", "verdict").agg((F.sum(F.col("ratio") * F.col("k")) / F.sum("k")).alias("llr")), "url-scores"
+        join_sized(grams, ratios, ["g"]).groupBy("sid", "verdict").agg((F.sum(F.col("ratio") * F.col("k")) / F.sum("k")).alias("llr")), "url-scores"
     )
     of = {r["verdict"]: r for r in scores.filter("verdict is not null").groupBy("verdict").agg(F.avg("llr").alias("m"), F.stddev_pop("llr").alias("d")).collect()}
     taught = {r["verdict"] for r in learned.select("verdict").distinct().collect()}
@@ -136,6 +137,6 @@ def filter_urls(
         guess = F.lit("allow")
     elif "allow" not in taught:
         guess = F.lit("block")
-    open_scores = scores.filter("verdict is null").select(F.col("s").alias(s), "llr")
-    out = join_sized(judged, open_scores, [s], "left")
+    open_scores = scores.filter("verdict is null").select(F.col("sid").alias(sid), "llr")
+    out = join_sized(judged.drop(s), open_scores, [sid], "left")
     return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("rule").isNull(), guess)).alias("verdict"), "llr")
