@@ -431,7 +431,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
 
     A text's features are the highest kernel values of any of its words against each
     landmark word; the kernel compares gapped subsequences, so ``i.d.i.o.t`` or ``idiiot`` is near
-    ``idiot``, and finds landmarks inside longer words, as in ``youidiotgo`` or ``ixdxixot``. Null and empty texts get the score of a text without any such word. An
+    ``idiot``, and finds landmarks inside longer words, as in ``youidiotgo`` or ``ixdxiot``. Three
+    letters put into a word of five take it below ``LEAST``: ``ixdxixot`` alone is not found. Null and empty texts get the score of a text without any such word. An
     empty table gives an empty table; columns with one of the added names, in upper or lower case, are replaced.
     """
     (score,) = fresh(docs, "_score")
