@@ -230,3 +230,12 @@ def test_urls_of_a_million_characters(spark):
     start = time.time()
     got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "org/"), ("block", "net/")]).collect()}
     assert got[1] == "allow" and got[2] == "block" and got[3] in ("allow", "block") and time.time() - start < 120
+
+
+def test_pipeline_stages_keep_columns_called_like_their_helpers(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "password = abcdef123456", "en", "s", "own"), (2, None, "en", "s", None)], "doc_id long, text string, lang string, source string, _secrets string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.secret_scan(spark, docs, str(tmp_path)).collect()}
+    assert got[1]["_secrets"] == "own" and "abcdef123456" not in got[1]["text"] and got[2]["text"] is None
+    assert corpus_pipeline.secret_scan(spark, docs.limit(0), str(tmp_path)).count() == 0
