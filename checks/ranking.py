@@ -236,6 +236,24 @@ def knn_recall(spark, sf):
     return both.agg(F.count("near").alias("n"), (F.sum(F.col("near") * F.col("exact")) >= 0.5 * F.count("exact")).alias("recalled"))
 
 
+@query("vector_index", _knn_sql(50, "true"))
+def vector_index(spark, sf):
+    """Neighbours out of stored cells: the cells that the bound leaves open are read too."""
+    from passagework.operators.cells import build_vector_index, search_vectors
+
+    centroids, vectors = _vectors(spark, sf)
+    return search_vectors(centroids, build_vector_index(vectors), 50)
+
+
+@query("vector_index_filtered", _knn_sql(20, "u.label = (SELECT max(label) FROM embeddings)"))
+def vector_index_filtered(spark, sf):
+    from passagework.operators.cells import build_vector_index, search_vectors
+
+    centroids, vectors = _vectors(spark, sf)
+    label = vectors.agg(F.max("label")).first()[0]
+    return search_vectors(centroids, build_vector_index(vectors), 20, filters={"label": label})
+
+
 def _lists(spark, sf):
     index = build_index(document_passages(spark, sf), TEXT_ONLY)
     queries = benchmark_queries(spark, sf)

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
@@ -49,7 +50,15 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    # partition columns come last; the given schema also serves a table without rows
+    names = [c for c in df.columns if c not in partition_by] + list(partition_by)
+    return spark.read.schema(StructType([df.schema[c] for c in names])).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def release(spark: SparkSession, *labels: str) -> None:
@@ -57,8 +66,7 @@ def release(spark: SparkSession, *labels: str) -> None:
 
     ``labels`` restricts it to tables whose label starts with one of them.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, path = hadoop_path(spark, _session_dir(spark))
     if not files.exists(path):
         return
     for status in files.listStatus(path):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagework.functions.analysis import english_terms
 from passagework.functions.links import passage_link, with_time
 from passagework.operators import scoring
+from passagework.operators.cells import build_vector_index, search_vectors
 from passagework.operators.common import top_per
 from passagework.operators.fuse import fuse_code, fuse_prose
 from passagework.operators.group import flat_results, group_passages, result_counts
@@ -327,3 +328,39 @@ def test_vectors(spark):
     full = {(r.query_id, r.vec_id) for r in knn_exact(queries, vectors, 5).collect()}
     recall = len({(r.query_id, r.vec_id) for r in near} & full) / len(full)
     assert recall > 0.7 and candidate_count(1) == 40 and candidate_count(5000) == 10_000
+
+
+def test_vector_index_reads_only_the_cells_it_needs(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.standard_normal((12, 8)) * 5
+    data = np.concatenate([middle[i % 12] + 0.05 * rng.standard_normal(8) for i in range(600)]).reshape(600, 8)
+    data[100:300] = data[100]  # a third of the rows are copies
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(data)] + [(600, None, 0), (601, [0.0] * 8, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, kind int").repartition(3)
+    index = build_vector_index(vectors, cells=12)
+    assert index.rows.count() == 601 and index.cells.agg(F.sum("n")).first()[0] == 601
+    queries = vectors.filter("vec_id in (0, 7, 100, 600, 601)").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+
+    def listed(df):
+        return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+    plain = vectors.filter("embedding IS NOT NULL")
+    for limit, filters in ((5, None), (250, None), (5, {"kind": 1}), (5, {"kind": [0, 1]}), (5, {"kind": 9})):
+        want = listed(knn_exact(queries.filter("embedding IS NOT NULL"), plain, limit, filters))
+        assert listed(search_vectors(queries, index, limit, filters, probes=1)) == want
+    short = search_vectors(queries, index, 700, probes=1, exact=False)
+    assert {r.query_id: r.n for r in short.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {q: 601 for q in ("0", "7", "100", "601")}
+    empty = build_vector_index(vectors.filter("vec_id < 0"))
+    assert search_vectors(queries, empty).count() == 0
+
+
+def test_vector_index_leaves_far_cells_unread(spark, monkeypatch):
+    from passagework.operators import cells
+
+    data = [(i, [1.0 if i % 6 == d else 0.001 * (i // 6) / 20 for d in range(6)]) for i in range(120)]
+    index = build_vector_index(spark.createDataFrame(data, "vec_id long, embedding array<double>"), cells=6)
+    calls, ranked = [], cells._ranked
+    monkeypatch.setattr(cells, "_ranked", lambda *a: calls.append(a[4].sum()) or ranked(*a))
+    queries = spark.createDataFrame([(1, data[0][1])], "query_id long, embedding array<double>")
+    assert [r.vec_id % 6 for r in search_vectors(queries, index, 5, probes=1).collect()] == [0] * 5
+    assert calls == [1]  # the bound closed every other cell
