@@ -40,6 +40,26 @@ def container_counts(spark, sf):
     return state.count_by_container(document_passages(spark, sf), "channel")
 
 
+@query(
+    "container_sketches",
+    f"""WITH {CHUNKS} SELECT 'blog' AS parent_type, source AS parent_id, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_assets,
+  count(DISTINCT doc_id) FILTER (lang <> '') AS n_with_attr, true AS near FROM passages GROUP BY source""",
+)
+def container_sketches(spark, sf):
+    """Exact counts, and whether merged sketches of overlapping changes are within 4 % of them."""
+    passages = document_passages(spark, sf)
+    at = F.pmod(F.xxhash64("asset.id"), F.lit(10))
+    # a third of what is stored comes in again with the new rows
+    parts = [passages.filter(at < 6), passages.filter(at >= 4), passages.filter(F.col("chunk_index") == 0)]
+    merged = state.merge_sketches(*[state.container_sketches(p, "channel") for p in parts])
+    counted = state.sketched_counts(merged).toDF("parent_type", "parent_id", "c", "a", "w")
+    exact = state.count_by_container(passages, "channel")
+    close = [F.abs(F.col(e) - F.col(n)) <= 0.04 * F.col(n) for e, n in (("c", "n_chunks"), ("a", "n_assets"), ("w", "n_with_attr"))]
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("parent_type", "parent_id")]
+    near = F.coalesce(close[0] & close[1] & close[2], F.lit(False)).alias("near")
+    return exact.alias("x").join(counted.alias("s"), same[0] & same[1], "left").select("x.*", near)
+
+
 @query(
     "attribute_coverage",
     f"WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS n_assets, count(DISTINCT doc_id) FILTER (lang <> '') AS n_channel, 0::BIGINT AS n_anchor FROM passages",
@@ -262,6 +282,22 @@ def migrate_twice(spark, sf):
     return _flat(from_legacy(from_legacy(_legacy(spark, sf))))
 
 
+@query("migrate_steps", f"WITH {_LEGACY} SELECT * EXCLUDE (n), n NOT BETWEEN 1 AND 8000 AS rejected FROM m")
+def migrate_steps(spark, sf):
+    """The migration, stopped after two steps and gone on with."""
+    import uuid
+
+    from passagework.operators.common import materialize, scratch_dir
+    from passagework.plans.migrate import migrate_in_steps
+
+    old = materialize(_legacy(spark, sf).repartition(8), "legacy-table")
+    source = old.inputFiles()[0].rsplit("/", 1)[0]
+    target = f"{scratch_dir(spark)}/migrated-{uuid.uuid4().hex}"
+    migrate_in_steps(spark, source, target, files_per_step=2, at_most=2)
+    valid, rejected, _ = migrate_in_steps(spark, source, target, files_per_step=2)
+    return _flat(valid).withColumn("rejected", F.lit(False)).unionByName(_flat(rejected).withColumn("rejected", F.lit(True)))
+
+
 @query(
     "migrate_report",
     f"WITH {_LEGACY} SELECT asset_type, count(*) AS scanned, count(*) FILTER (n BETWEEN 1 AND 8000) AS replaced, count(*) FILTER (n NOT BETWEEN 1 AND 8000) AS rejected FROM m GROUP BY asset_type",

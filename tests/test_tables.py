@@ -158,3 +158,45 @@ def test_clip_pages(spark):
     df = spark.createDataFrame(rows, "pack_id string, ord int, href string, group_title string, asset_title string, start_ms bigint, text string")
     pages = [r.text for r in clip_pages(df, 2).orderBy("page").collect()]
     assert "\n\n".join(pages) == "1.\nh\nG\nA\nAt 1:01\nt\n\n2.\nA\n\n3.\nh\nA\nAt 1:01:01\nu"
+
+
+def test_migration_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    from passagework.plans import migrate as plan
+
+    source, target = str(tmp_path / "old"), str(tmp_path / "new")
+    rows = [(f"e{i}", f"Title {i}", "" if i % 10 == 3 else f"text {i}", i) for i in range(60)]
+    columns = "episode_id string, episode_title string, text string, chunk_index int"
+    spark.createDataFrame(rows, columns).repartition(6).write.parquet(source)
+    valid, rejected, left = plan.migrate_in_steps(spark, source, target, files_per_step=2, at_most=0)
+    assert (valid.count(), rejected.count(), left) == (0, 0, 3)
+    valid, rejected, left = plan.migrate_in_steps(spark, source, target, files_per_step=2, at_most=1)
+    first = valid.count() + rejected.count()
+    assert left == 2 and 0 < first < 60
+
+    # a run that breaks while it writes leaves rows without a commit
+    parts = tmp_path / "new" / "rows" / "step=1"
+    valid.write.parquet(str(parts))
+    (parts / "_SUCCESS").unlink()
+    spark.createDataFrame([("late", "Late", "late text", 0)], columns).coalesce(1).write.mode("append").parquet(source)
+    read, made = [], plan.from_legacy
+    monkeypatch.setattr(plan, "from_legacy", lambda df: read.append(len(df.inputFiles())) or made(df))
+    valid, rejected, left = plan.migrate_in_steps(spark, source, target, files_per_step=2)
+    assert left == 0 and [n for n in read if n] == [2, 2, 1]  # the finished step is not read again
+    ids = [r.id for r in valid.unionByName(rejected.drop("reject_reasons")).select("asset.id").collect()]
+    assert sorted(ids) == sorted([f"e{i}" for i in range(60)] + ["late"])
+    assert {r.id for r in rejected.select("asset.id").collect()} == {f"e{i}" for i in range(60) if i % 10 == 3}
+
+
+def test_sketches_merge_without_counting_twice(spark):
+    rows = [("s", f"a{i % 40}", i, "x" if i % 40 < 10 else None) for i in range(400)] + [("t", "a1", 0, None)]
+    made = spark.createDataFrame(rows, "parent string, asset string, chunk int, channel string").select(
+        F.struct(F.lit("blog").alias("type"), F.col("parent").alias("id")).alias("parent"),
+        F.struct(F.lit("post").alias("type"), F.col("asset").alias("id")).alias("asset"),
+        F.concat_ws("/", "asset", "chunk").alias("passage_id"), F.struct("channel").alias("attrs"),
+    )
+    stored, change = made.filter("passage_id < 'a3'"), made.filter("passage_id > 'a2'")
+    merged = state.merge_sketches(*[state.container_sketches(p, "channel") for p in (stored, change, change)])
+    got = {r.parent_id: (r.n_chunks, r.n_assets, r.n_with_attr) for r in state.sketched_counts(merged).collect()}
+    assert got["t"] == (1, 1, 0)
+    assert abs(got["s"][0] - 400) <= 8 and got["s"][1:] == (40, 10)
+    assert state.sketched_counts(state.container_sketches(made.limit(0))).count() == 0
