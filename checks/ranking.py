@@ -354,3 +354,24 @@ SELECT h.query_id, CASE WHEN k AND s THEN 'rrf' WHEN k THEN 'keyword' WHEN s THE
 def search_modes(spark, sf):
     results = hybrid(spark, sf)
     return results.select("query_id", "mode", "used_fallback", "total").join(result_counts(results), "query_id")
+
+
+@query(
+    "json_results",
+    f"""WITH {_HYBRID}, has AS (SELECT item_id AS query_id, item_id IN (SELECT query_id FROM keyword) AS k, item_id IN (SELECT query_id FROM semantic) AS s FROM benchmark)
+SELECT h.query_id, CASE WHEN k AND s THEN 'rrf' WHEN k THEN 'keyword' WHEN s THEN 'semantic' END AS mode, 'false' AS used_fallback,
+  (SELECT count(*) FROM fused f WHERE f.query_id = h.query_id) AS total,
+  nullif((SELECT count(*) FROM groups g WHERE g.query_id = h.query_id), 0)::INT AS n_groups FROM has h""",
+)
+def json_results(spark, sf):
+    """The JSON documents of a whole search, read back."""
+    from passagework.plans.search import result_json
+
+    value = F.col("value")
+    return result_json(hybrid(spark, sf)).select(
+        "query_id",
+        F.get_json_object(value, "$.mode").alias("mode"),
+        F.get_json_object(value, "$.used_fallback").alias("used_fallback"),
+        F.get_json_object(value, "$.total").cast("long").alias("total"),
+        F.json_array_length(F.get_json_object(value, "$.groups")).alias("n_groups"),
+    )
