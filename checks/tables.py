@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.operators import enrich, state
-from passagework.operators.common import latest_per
+from passagework.operators.common import latest_per, materialize
+from passagework.operators.grams import build_gram_index
 from passagework.operators.lexical import substring_search, title_one_edit
 from passagework.operators.schema import (
     construction_errors, from_legacy, to_passages, validation_errors,
@@ -13,7 +14,7 @@ from passagework.operators.schema import (
 from passagework.operators.upsert import missing_assets, replace_rows, update_attrs, upsert
 from passagework.sources.tables import read_table
 
-from .base import CHUNKS, benchmark_queries, document_passages, query
+from .base import CHUNKS, ORACLES, benchmark_queries, document_passages, query
 
 
 @query(
@@ -407,6 +408,29 @@ hits AS (SELECT l, passage_id FROM lit JOIN passages ON contains(lower(text), l)
 SELECT l AS query_id, passage_id, 1.0::DOUBLE AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY passage_id) AS rank FROM hits) WHERE rank <= 10""",
 )
 def substring(spark, sf):
+    return substring_search(literals_of(spark, sf), document_passages(spark, sf), 10)
+
+
+def literals_of(spark, sf):
     sentence = F.explode(F.split(F.regexp_replace("q", "[.!?]", "\u0001"), "\u0001"))
     literals = benchmark_queries(spark, sf).select(sentence.alias("s")).select(F.lower(F.trim("s")).alias("q")).filter("q <> ''").distinct()
-    return substring_search(literals.select(F.col("q").alias("query_id"), "q"), document_passages(spark, sf), 10)
+    return literals.select(F.col("q").alias("query_id"), "q")
+
+
+@query("substring_indexed", ORACLES["substring_search"])
+def substring_indexed(spark, sf):
+    """The same literals through the stored letter triples."""
+    passages = materialize(document_passages(spark, sf), "passages")
+    return substring_search(literals_of(spark, sf), passages, 10, grams=build_gram_index(passages))
+
+
+@query(
+    "gram_counts",
+    f"""WITH {CHUNKS},
+bodies AS (SELECT passage_id, unnest([lower(title), lower(source), lower(text)]) AS body FROM passages),
+letters AS (SELECT passage_id, string_split(body, '') AS l FROM bodies),
+places AS (SELECT passage_id, unnest(list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2]))) AS gram FROM letters)
+SELECT gram, count(DISTINCT passage_id) AS n FROM places GROUP BY gram""",
+)
+def gram_counts(spark, sf):
+    return build_gram_index(document_passages(spark, sf)).counts.select("gram", "n")

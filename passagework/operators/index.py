@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import english_terms, standard_terms
 from ..functions.text import bind
 from .common import materialize
+from .grams import GramIndex, build_gram_index
 from .typos import write_parts
 
 
@@ -180,14 +181,20 @@ class Index:
     stats: DataFrame
     keys: DataFrame  # ``passage_id`` and the filter columns, sorted by these
     parts: DataFrame | None = None  # word parts of the fields with typo matches
+    grams: GramIndex | None = None  # letter triples for literal matches
 
 
-def build_index(passages: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Index:
-    """Analyse ``passages`` once, write the index rows, and count terms from them."""
+def build_index(passages: DataFrame, fields: tuple[Field, ...] = FIELDS, literals: bool = False) -> Index:
+    """Analyse ``passages`` once, write the index rows, and count terms from them.
+
+    With ``literals`` the letter triples are written too: the literal step of a search then
+    looks passages up where it would read all texts. They take several times the texts' space.
+    """
     rows = materialize(index_rows(passages, fields), "index-rows")
     terms = write_postings(rows)
     words = materialize(vocabulary(terms), "vocabulary")
     keys = materialize(rows.select("passage_id", *FILTERS).sortWithinPartitions(*FILTERS), "index-keys")
     fuzzy = [f.name for f in fields if f.fuzzy]
     parts = write_parts(words.filter(F.col("field").isin(fuzzy))) if fuzzy else None
-    return Index(rows, terms, words, materialize(field_stats(rows), "field-stats"), keys, parts)
+    grams = build_gram_index(passages) if literals else None
+    return Index(rows, terms, words, materialize(field_stats(rows), "field-stats"), keys, parts, grams)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SNIPPET_CHARS, escape_html, sentences, squeeze, strip
 from .common import materialize, top_per
+from .grams import GramIndex, containing, split_literals
 from .index import FIELDS, Field, Index, analyze
 from .scoring import top_passages
 from .typos import MAX_EDITS, asked_parts, probes_of, segments_of
@@ -214,10 +215,10 @@ PATTERNS_PER_SCAN = 50_000
 
 def _finder(patterns: list[str]):
     """Function from a text to the patterns it contains, in one pass over the text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [p for p in patterns if p in text]
+    import ahocorasick
+
+    if not patterns:  # an automaton without words cannot be asked
+        return lambda text: ()
     automaton = ahocorasick.Automaton()
     for pattern in patterns:
         automaton.add_word(pattern, pattern)
@@ -247,7 +248,7 @@ def substring_matches(queries: DataFrame, passages: DataFrame, columns: tuple[st
     most ``PATTERNS_PER_SCAN`` of them, so the cost does not grow with queries x passages.
     """
     literals = queries.select("query_id", F.lower("q").alias("literal"))
-    distinct = literals.select("literal").distinct()
+    distinct = literals.select("literal").filter("literal <> ''").distinct()
     scans = max(1, -(-distinct.count() // PATTERNS_PER_SCAN))
     # NUL keeps columns apart; it cannot occur in a trimmed query
     texts = passages.select("passage_id", F.lower(F.concat_ws("\0", *[F.col(c) for c in columns])).alias("body"))
@@ -278,11 +279,30 @@ def substring_matches(queries: DataFrame, passages: DataFrame, columns: tuple[st
 
 
 def substring_search(
-    queries: DataFrame, passages: DataFrame, limit: int = 10, columns: tuple[str, ...] = ("asset.title", "parent.title", "text")
+    queries: DataFrame,
+    passages: DataFrame,
+    limit: int = 10,
+    columns: tuple[str, ...] = ("asset.title", "parent.title", "text"),
+    grams: GramIndex | None = None,
 ) -> DataFrame:
-    """``query_id, passage_id, score, rank``: literal matches, score 1, by passage key."""
-    hits = substring_matches(queries, passages, columns, limit).withColumn("score", F.lit(1.0))
-    return top_per(hits, ["query_id"], [F.col("passage_id")], limit)
+    """``query_id, passage_id, score, rank``: literal matches, score 1, by passage key.
+
+    With ``grams``, the stored triples of the same columns, only literals that are common
+    or shorter than three letters need a scan of all texts; the result is the same. An
+    empty query matches nothing.
+    """
+    if grams is None:
+        found = substring_matches(queries, passages, columns, limit)
+    else:
+        if grams.columns != columns:
+            raise ValueError(f"the stored triples are of {grams.columns}")
+        literals = queries.select("query_id", F.lower("q").alias("literal"))
+        meet, scanned = split_literals(literals.select("literal").distinct(), grams)
+        found = containing(meet, passages, grams).join(literals, "literal").select("query_id", "passage_id")
+        if not scanned.isEmpty():
+            asked = literals.join(scanned, "literal", "left_semi").select("query_id", F.col("literal").alias("q"))
+            found = found.unionByName(substring_matches(asked, passages, columns, limit))
+    return top_per(found.withColumn("score", F.lit(1.0)), ["query_id"], [F.col("passage_id")], limit)
 
 
 def marked_snippet(text: Column, query: Column) -> Column:

@@ -11,6 +11,7 @@ from passagework.operators import scoring
 from passagework.operators.cells import build_vector_index, search_vectors
 from passagework.operators.common import top_per
 from passagework.operators.fuse import fuse_code, fuse_prose
+from passagework.operators.grams import build_gram_index, split_literals
 from passagework.operators.group import flat_results, group_passages, result_counts
 from passagework.operators.index import FIELDS, build_index
 from passagework.operators.lexical import (
@@ -18,7 +19,7 @@ from passagework.operators.lexical import (
 )
 from passagework.operators.schema import attrs, node, to_passages
 from passagework.operators.vector import candidate_count, knn_approximate, knn_exact
-from passagework.plans.search import result_json, search
+from passagework.plans.search import fallback_search, result_json, search
 
 
 def test_stems(value):
@@ -188,6 +189,44 @@ def test_literal_fallback(spark, value):
     assert sorted((r.query_id, r.rank, r.passage_id) for r in top) == [(q, k + 1, f"p{k:04d}") for q in (0, 1) for k in range(4)]
 
 
+def test_literals_through_stored_triples(spark):
+    rng = random.Random(71)
+    word = lambda: "".join(rng.choices("abcDÉ😀ж&.", k=rng.randint(1, 7)))
+    rows = [(f"p{i:03d}", " ".join(word() for _ in range(rng.randint(0, 8))) if i % 17 else None, word() if i % 5 else None) for i in range(200)]
+    passages = spark.createDataFrame(rows, "passage_id string, text string, title string").repartition(3)
+    bodies = {k: [c.lower() for c in (t, u) if c is not None] for k, t, u in rows}
+    cuts = [t[i : i + n] for _, t, _ in rows[1:60] if t for n in (1, 2, 3, 4, 6, 9) for i in (rng.randrange(len(t)),)]
+    asked = [c.strip() for c in cuts if c.strip()] + ["absent word", "aaaaaaaaaaaa", "ÉÉÉ", "", "a"]
+    queries = spark.createDataFrame(list(enumerate(asked)) + [(9999, None)], "query_id int, q string")
+    columns = ("text", "title")
+    grams = build_gram_index(passages, columns)
+    got = {(r.query_id, r.rank, r.passage_id) for r in substring_search(queries, passages, 4, columns, grams).collect()}
+    want = set()
+    for number, literal in enumerate(asked):
+        holders = sorted(k for k, body in bodies.items() if literal and any(literal.lower() in t for t in body))
+        want |= {(number, rank, k) for rank, k in enumerate(holders[:4], 1)}
+    assert got == want and len(want) > 200
+    assert got == {(r.query_id, r.rank, r.passage_id) for r in substring_search(queries, passages, 4, columns).collect()}
+    some = passages.filter("passage_id > 'p100'")  # fewer passages than the index has
+    fewer = {(r.query_id, r.passage_id) for r in substring_search(queries, some, 400, columns, grams).collect()}
+    assert fewer == {(r.query_id, r.passage_id) for r in substring_search(queries, some, 400, columns).collect()}
+    meet, scanned = split_literals(queries.filter("q is not null").select(F.lower("q").alias("literal")).distinct(), grams)
+    assert meet.count() > 50 and scanned.filter("length(literal) >= 3").count() > 0
+    none = substring_search(queries.limit(0), passages, 4, columns, grams)
+    assert none.count() == 0 and substring_search(queries.limit(0), passages, 4, columns).count() == 0
+    empty = passages.limit(0)
+    assert substring_search(queries, empty, 4, columns, build_gram_index(empty, columns)).count() == 0
+
+
+def test_fallback_through_triples(spark):
+    passages = table(spark)
+    queries = ask(spark, "s & <RA", "lights stan", "moorign", "Dinghi")
+    key = lambda rows: sorted((r.query_id, r.passage_id, r.rank, r.fallback) for r in rows.collect())
+    found = key(fallback_search(queries, passages, 10, build_gram_index(passages)))
+    assert found == key(fallback_search(queries, passages, 10))
+    assert {r[3] for r in found} == {"substring", "one-edit"}
+
+
 def test_one_edit(spark):
     assets = spark.createDataFrame([("post", "1", "Gaming's future", 0), ("post", "1", "Gaming's future", 1), ("post", "2", "Giving up", 0), ("post", "3", "gamin", 2)], "asset_type string, asset_id string, title string, chunk_index int")
     got = title_one_edit(ask(spark, "gaming", "gsmin", "gam", "two words", "gmaing"), assets).collect()
