@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from passagework.functions.analysis import english_terms
+from passagework.functions.analysis import english_term, english_terms
 from passagework.functions.links import passage_link, with_time
 from passagework.operators import scoring
 from passagework.operators.cells import build_vector_index, search_vectors
@@ -13,7 +13,7 @@ from passagework.operators.common import top_per
 from passagework.operators.fuse import fuse_code, fuse_prose
 from passagework.operators.grams import build_gram_index, split_literals
 from passagework.operators.group import flat_results, group_passages, result_counts
-from passagework.operators.index import FIELDS, build_index
+from passagework.operators.index import FIELDS, build_index, field_stats, index_rows
 from passagework.operators.lexical import (
     fragments, highlight_html, keyword_search, marked_snippet, near_terms, substring_search, title_one_edit,
 )
@@ -30,6 +30,46 @@ def test_stems(value):
     assert value(english_terms, "The dog's moveTile_Key is UP") == ["dog", "movetile_kei", "up"]
 
 
+def test_one_word_has_the_stem_of_the_column(spark):
+    rng = random.Random(3)
+    ends = ["", "s", "sses", "ies", "eed", "ed", "ing", "y", "ational", "biliti", "icate", "ful", "ement", "sion", "e", "ll", "'s", "bling", "tted", "ized"]
+    words = sorted({"".join(rng.choice("abeiouylstzé") for _ in range(rng.randint(1, 6))) + rng.choice(ends) for _ in range(3000)} | {"the", "it's", "not"})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", english_terms(F.col("w")).alias("stems")).collect()
+    assert [(r.w, r.stems) for r in rows] == [(r.w, [t] if (t := english_term(r.w)) is not None else []) for r in rows]
+
+
+def test_index_rows_against_a_plain_count(spark, tmp_path):
+    texts = ["Sails sail, the sailing's sail\u00e9", None, "", "the of", "Mast mast MAST"] * 500
+    rows = [("post", str(i), "Sails", "blog", "b", None, 0, t, "x = mast" if i % 2 else None) for i, t in enumerate(texts)]
+    names = ("a_type", "a_id", "a_title", "p_type", "p_id", "p_title", "chunk_index", "text", "code")
+    df = spark.createDataFrame(rows, "a_type string, a_id string, a_title string, p_type string, p_id string, p_title string, chunk_index int, text string, code string")
+    assert df.columns == list(names)
+    passages = to_passages(
+        df.select(node(F.col("a_type"), F.col("a_id"), F.col("a_title")).alias("asset"), node(F.col("p_type"), F.col("p_id"), F.col("p_title")).alias("parent"),
+                  attrs().alias("attrs"), "chunk_index", "text", "code")
+    ).repartition(1)
+    made = index_rows(passages)
+    assert "transform(" not in made._jdf.queryExecution().optimizedPlan().toString()  # no stemming word by word
+    made.write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    got = {r.asset_id: [(e.field, e.term, e.tf, e.len, round(e.norm, 9)) for e in r.entries] for r in stored.collect()}
+
+    def plain(text, code):
+        out = []
+        for field in FIELDS:
+            body = {"text": text, "asset.title": "Sails", "code": code}.get(field.source) or ""
+            words = [w.strip(",").replace("'s", "") if field.analyzer == "english" else w.strip(",") for w in body.lower().split() if w != "="]
+            terms = [t for w in words if (t := english_term(w) if field.analyzer == "english" else w) is not None]
+            norm = sum((1 + np.log(terms.count(t))) ** 2 for t in set(terms)) ** 0.5
+            out += [(field.name, t, terms.count(t), len(terms), round(norm, 9)) for t in sorted(set(terms))]
+        return out
+
+    assert got == {str(i): plain(t, "x = mast" if i % 2 else None) for i, t in enumerate(texts)}
+    stats = field_stats(stored)
+    assert "norm" not in stats._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+    assert {r.field: (r.n_passages, r.avg_len) for r in stats.collect()}["code"] == (1250, 2.0)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
