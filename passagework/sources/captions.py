@@ -46,18 +46,20 @@ def subtitle_cues(body: Column) -> Column:
         rows = F.filter(F.transform(F.split(block, "\n"), strip), lambda line: line != "")
 
         def from_stamp(rows: Column) -> Column:
-            stamps = F.filter(rows, lambda line: line.rlike(STAMP))
-            stamp = F.try_element_at(stamps, F.lit(1))
-            at = F.array_position(rows, stamp).cast("int")
-            words = F.filter(F.slice(rows, at + 1, F.size(rows)), lambda line: ~line.rlike(STAMP))
-            return F.when(
-                stamp.isNotNull(),
-                F.struct(
-                    _stamp_ms(stamp, 1).alias("start_ms"),
-                    _stamp_ms(stamp, 5).alias("end_ms"),
-                    squeeze(strip_tags(F.array_join(words, " "))).alias("text"),
-                ),
-            )
+            def timed(stamp: Column) -> Column:
+                at = F.array_position(rows, stamp).cast("int")
+                words = F.filter(F.slice(rows, at + 1, F.size(rows)), lambda line: ~line.rlike(STAMP))
+                return F.when(
+                    stamp.isNotNull(),
+                    F.struct(
+                        _stamp_ms(stamp, 1).alias("start_ms"),
+                        _stamp_ms(stamp, 5).alias("end_ms"),
+                        squeeze(strip_tags(F.array_join(words, " "))).alias("text"),
+                    ),
+                )
+
+            # the lines are searched for the stamp once
+            return bind(F.try_element_at(F.filter(rows, lambda line: line.rlike(STAMP)), F.lit(1)), timed)
 
         return bind(rows, from_stamp)
 

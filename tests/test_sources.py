@@ -319,3 +319,17 @@ def test_descriptions(value):
     say = lambda given: value(lambda t: repo.description(F.lit("Lead."), F.lit("a/b.py"), t, F.lit(given)), "def hoist(): pass")
     assert say("Can  hoist it.") == "Can hoist it."
     assert say("Something else.") == "a/b.py. defines hoist, pass. Lead."
+
+
+# --- plans that repeat no work --------------------------------------------------------
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_time_stamp_is_looked_for_once(spark):
+    files = spark.createDataFrame([("1\n00:00:01,000 --> 00:00:02,500\n<b>buoy</b>",)], "t string")
+    cues = captions.explode_cues(files, captions.subtitle_cues(F.col("t")), "t")
+    assert [(r.start_ms, r.end_ms, r.text) for r in cues.collect()] == [(1000, 2500, "buoy")]
+    assert _plan(cues).count("RLIKE") <= 2
