@@ -333,3 +333,10 @@ def test_a_time_stamp_is_looked_for_once(spark):
     cues = captions.explode_cues(files, captions.subtitle_cues(F.col("t")), "t")
     assert [(r.start_ms, r.end_ms, r.text) for r in cues.collect()] == [(1000, 2500, "buoy")]
     assert _plan(cues).count("RLIKE") <= 2
+
+
+def test_names_of_a_file_are_looked_for_once(spark):
+    files = spark.createDataFrame([("lead", "a.py", "hull = keel + hull")], "lead string, path string, t string")
+    told = files.select(repo.description(F.col("lead"), F.col("path"), F.col("t")).alias("d"))
+    assert told.first()["d"] == "a.py. defines hull, keel. lead"
+    assert _plan(told).count("{3,}") == 1
