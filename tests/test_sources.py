@@ -340,3 +340,14 @@ def test_names_of_a_file_are_looked_for_once(spark):
     told = files.select(repo.description(F.col("lead"), F.col("path"), F.col("t")).alias("d"))
     assert told.first()["d"] == "a.py. defines hull, keel. lead"
     assert _plan(told).count("{3,}") == 1
+
+
+def test_blocks_of_a_page_are_parsed_once(spark, tmp_path):
+    from checks.sources import rich_text_sections
+
+    spark.createDataFrame([(1, "One line\n\ntwo", "en", "src1", 13), (2, "no", "es", "src1", 2)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    found = rich_text_sections(spark, str(tmp_path))
+    assert sorted((r.block_no, r.kind, r.text) for r in found.collect()) == [(0, "prose", "One line"), (1, "prose", "two"), (2, "code", "Text\nOne line\n\ntwo")]
+    assert "Filter ((size(flatten" not in _plan(found) and "size(blocks" not in _plan(found)
