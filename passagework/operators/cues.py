@@ -5,24 +5,29 @@ Cue numbers are dense inside an asset, so cues fall into blocks of ``block`` num
 block needs only one thing from the blocks before it: how many characters the open
 passage holds. Every block is therefore summed up as a table from that length to the
 length it leaves behind and the passages it opens; tables of neighbouring blocks compose.
-Composition runs level by level over ``fan`` blocks at a time, up to one table per asset
-and down again with the known start, so no task ever holds more than ``block`` cues or
-``fan`` tables. Only cue lengths travel through this; the texts are shuffled once, by
+All lengths at which the same cue is the first not to fit share a row of a table, so it has
+about as many rows as cues, and never more than lengths. Composition runs level by level
+over ``fan`` blocks at a time, up to one table per asset and down again with the known
+start; an asset leaves at the level where its blocks are one group. No row ever holds more
+than ``block`` cues or ``fan`` tables. Only cue lengths travel through this; the texts are shuffled once, by
 (asset, passage), and a passage is bounded by ``max_chars`` or one cue.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.packing import CHUNK_CHARS
 from ..functions.text import strip
-from .common import materialize
+from .common import join_sized, materialize
 
 BLOCK = 4096
 FAN = 1024
@@ -150,70 +155,129 @@ def _numbers(max_chars: int) -> Column:
     return F.aggregate("cues", zero, add, lambda s: s["out"])
 
 
-def _table_of(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every length held open before a block: the length after it, and passages opened."""
-    values, place = np.arange(cap + 2), np.arange(cap + 2)
-    opens = np.zeros(cap + 2, dtype=np.int64)
-    added = np.zeros(cap + 2, dtype=np.int64)
-    for i, n in enumerate(lengths):
-        fits = (values > 0) & (values + 1 + n <= cap)
-        values = np.where(fits, values + 1 + n, min(n, cap + 1))
-        added += ~fits
-        if i % 32 == 31 and len(values) > 1:
-            # different starts soon agree; keep one column per distinct length
-            opens += added[place]
-            values, again = np.unique(values, return_inverse=True)
-            place = again[place]
-            added = np.zeros(len(values), dtype=np.int64)
-    return values[place], opens + added[place]
+class Table(NamedTuple):
+    """For every length held open before some cues: the length after them, and passages opened.
+
+    Row i holds from length ``starts[i]`` up to the next start. If it opens no passage,
+    the length grows by ``leaves[i]``, otherwise it becomes ``leaves[i]``.
+    """
+
+    starts: list[int]
+    leaves: list[int]
+    opens: list[int]
+
+    def add(self, start: int, leaves: int, opens: int) -> None:
+        if not (self.starts and self.leaves[-1] == leaves and self.opens[-1] == opens):
+            self.starts.append(start)
+            self.leaves.append(leaves)
+            self.opens.append(opens)
+
+    def after(self, held: int) -> tuple[int, int]:
+        i = bisect_right(self.starts, held) - 1
+        return self.leaves[i] + (0 if self.opens[i] else held), self.opens[i]
+
+
+def _table_of(lengths: Sequence[int], cap: int) -> Table:
+    """Cues of the given lengths as a table; a length over ``cap`` counts as ``cap + 1``."""
+    n, sums, table = len(lengths), [0], Table([], [], [])
+    for x in lengths:
+        sums.append(sums[-1] + 1 + x)
+    if not n:
+        table.add(0, 0, 0)
+        return table
+    # from each cue that opens a passage: what the last cue leaves, and passages opened
+    leaves, opens = [0] * n, [1] * n
+    for i in range(n - 1, -1, -1):
+        late = bisect_right(sums, cap - lengths[i] + sums[i + 1], i + 2) - 1
+        if late < n:
+            leaves[i], opens[i] = leaves[late], opens[late] + 1
+        else:
+            leaves[i] = min(lengths[i], cap + 1) + sums[n] - sums[i + 1]
+    table.add(0, leaves[0], opens[0])
+    if sums[n] < cap:
+        table.add(1, sums[n], 0)
+    for i in range(max(0, min(n, bisect_left(sums, cap)) - 1), -1, -1):
+        table.add(max(1, cap - sums[i + 1] + 1), leaves[i], opens[i])
+    return table
+
+
+def _composed(first: Table, then: Table) -> Table:
+    """The table of two neighbouring runs of cues."""
+    table = Table([], [], [])
+    for i, (start, leaves, opens) in enumerate(zip(*first)):
+        if opens:
+            left, opened = then.after(leaves)
+            table.add(start, left, opens + opened)
+            continue
+        end = first.starts[i + 1] + leaves if i + 1 < len(first.starts) else None
+        for k in range(bisect_right(then.starts, start + leaves) - 1, len(then.starts)):
+            if end is not None and then.starts[k] >= end:
+                break
+            table.add(max(start, then.starts[k] - leaves), then.leaves[k] + (0 if then.opens[k] else leaves), then.opens[k])
+    return table
+
+
+_TABLE = "struct<starts:array<int>,leaves:array<int>,opens:array<bigint>>"
+_ENTRIES = "array<struct<_block:bigint,held:int,before:bigint>>"
+
+
+def _as_arrow(tables: list[Table]) -> pa.Array:
+    types = {"starts": pa.list_(pa.int32()), "leaves": pa.list_(pa.int32()), "opens": pa.list_(pa.int64())}
+    return pa.StructArray.from_arrays([pa.array([t[k] for t in tables], kind) for k, kind in enumerate(types.values())], list(types))
+
+
+def _groups(tables: pa.Array) -> Iterator[list[tuple[int, Table]]]:
+    """The numbered tables of each row."""
+    rows = zip(*[column.to_pylist() for column in tables.flatten().flatten()])
+    for n in pc.list_value_length(tables).to_pylist():
+        yield [(number, Table(*table)) for number, *table in (next(rows) for _ in range(n))]
 
 
 def _entries(lengths: DataFrame, keys: list[str], cap: int, n_blocks: int, fan: int) -> DataFrame:
     """``keys, _block, held, before``: what every block finds open, and passages before it."""
-    schema = lengths.select(*keys, "_block").schema
-    table_schema = T.StructType(list(schema.fields))
-    table_schema = table_schema.add("leaves", T.ArrayType(T.IntegerType())).add("opens", T.ArrayType(T.LongType()))
-    entry_schema = T.StructType(list(schema.fields)).add("held", T.IntegerType()).add("before", T.LongType())
-
-    @F.pandas_udf("struct<leaves:array<int>,opens:array<bigint>>")
-    def table(counts: pd.Series) -> pd.DataFrame:
-        rows = [_table_of(np.asarray(c), cap) for c in counts]
-        return pd.DataFrame({"leaves": [r[0].astype(np.int32) for r in rows], "opens": [r[1] for r in rows]})
-
-    def compose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_block")
-        leaves, opens = np.arange(cap + 2), np.zeros(cap + 2, dtype=np.int64)
-        for next_leaves, next_opens in zip(group["leaves"], group["opens"]):
-            opens = opens + np.asarray(next_opens)[leaves]
-            leaves = np.asarray(next_leaves)[leaves]
-        first = group.iloc[:1][[*keys, "_up"]].rename(columns={"_up": "_block"})
-        return first.assign(leaves=[leaves.astype(np.int32)], opens=[opens])
-
-    def descend(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_block")
-        held, before = int(group["held"].iloc[0]), int(group["before"].iloc[0])
-        helds, befores = [], []
-        for leaves, opens in zip(group["leaves"], group["opens"]):
-            helds.append(held)
-            befores.append(before)
-            held, before = int(leaves[held]), before + int(opens[held])
-        return group[[*keys, "_block"]].assign(held=helds, before=befores)
-
-    def above(df: DataFrame) -> DataFrame:
-        return df.withColumn("_up", F.floor(F.col("_block") / fan))
-
-    base = lengths.select(*keys, "_block", table(F.transform("cues", lambda c: c["n"])).alias("t"))
-    levels = [materialize(base.select(*keys, "_block", "t.leaves", "t.opens"), "cue-tables")]
+
+    @F.arrow_udf(_TABLE)
+    def table(counts: pa.Array) -> pa.Array:
+        return _as_arrow([_table_of(c, cap) for c in counts.to_pylist()])
+
+    @F.arrow_udf(_TABLE)
+    def compose(tables: pa.Array) -> pa.Array:
+        out = []
+        for group in _groups(tables):
+            whole = group[0][1]
+            for _, then in group[1:]:
+                whole = _composed(whole, then)
+            out.append(whole)
+        return _as_arrow(out)
+
+    @F.arrow_udf(_ENTRIES)
+    def descend(tables: pa.Array, held: pa.Array, before: pa.Array) -> pa.Array:
+        out = []
+        for group, now, opened in zip(_groups(tables), held.to_pylist(), before.to_pylist()):
+            found = []
+            for number, then in group:
+                found.append({"_block": number, "held": now, "before": opened})
+                now, more = then.after(now)
+                opened += more
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("_block", pa.int64()), ("held", pa.int32()), ("before", pa.int64())])))
+
+    def grouped(level: DataFrame) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct("_block", "t.starts", "t.leaves", "t.opens")))
+        return materialize(level.groupBy(*keys, F.floor(F.col("_block") / fan).alias("_up")).agg(each.alias("tables")), "cue-tables")
+
+    levels = [grouped(lengths.select(*keys, "_block", table(F.transform("cues", lambda c: c["n"])).alias("t")))]
     while n_blocks > fan:
         n_blocks = -(-n_blocks // fan)
-        upper = above(levels[-1]).groupBy(*keys, "_up").applyInPandas(compose, table_schema)
-        levels.append(materialize(upper, "cue-tables"))
+        several = levels[-1].filter("_up > 0").select(*keys).distinct()
+        rising = join_sized(levels[-1], several, keys, "left_semi")
+        levels.append(grouped(rising.select(*keys, F.col("_up").alias("_block"), compose("tables").alias("t"))))
     entries = None
     for level in reversed(levels):
-        rows = above(level)
-        if entries is None:
-            rows = rows.withColumn("held", F.lit(0)).withColumn("before", F.lit(0).cast("long"))
-        else:
-            rows = rows.join(entries.withColumnRenamed("_block", "_up"), [*keys, "_up"])
-        entries = rows.groupBy(*keys, "_up").applyInPandas(descend, entry_schema)
+        # the first group of an asset that did not rise starts with nothing
+        rows = level.withColumns({"held": F.lit(None).cast("int"), "before": F.lit(None).cast("long")})
+        if entries is not None:
+            rows = level.join(entries.withColumnRenamed("_block", "_up"), [*keys, "_up"], "left")
+        found = descend("tables", F.coalesce("held", F.lit(0)), F.coalesce("before", F.lit(0).cast("long")))
+        entries = rows.select(*keys, F.inline(found))
     return entries

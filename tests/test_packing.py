@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from passagework.functions.packing import pack_code, pack_prose, pack_sections, pack_source
-from passagework.operators.cues import pack_cues
+from passagework.operators.cues import _composed, _table_of, pack_cues
 
 
 def brute_cues(cues, cap):
@@ -44,6 +44,29 @@ def test_cues_of_one_asset_over_many_blocks_and_levels(spark):
     assert packed(spark, assets, max_chars=23, block=8, fan=3) == want
 
 
+def test_cue_tables_have_rows_for_cues_not_for_lengths():
+    rng = random.Random(13)
+    for _ in range(300):
+        cap = rng.choice([1, 5, 60])
+        parts = [[rng.choice([1, 2, rng.randint(1, cap + 5)]) for _ in range(rng.randint(1, 40))] for _ in range(2)]
+        whole = _table_of(parts[0] + parts[1], cap)
+        assert whole == _composed(*[_table_of(p, cap) for p in parts])
+        for held in range(cap + 2):
+            now, opened = held, 0
+            for n in parts[0] + parts[1]:
+                fits = now > 0 and now + 1 + n <= cap
+                now, opened = (now + 1 + n, opened) if fits else (min(n, cap + 1), opened + 1)
+            assert whole.after(held) == (now, opened)
+    assert len(_table_of([200, 300], 900).starts) == 4
+    assert len(_table_of([7] * 100_000, 900).starts) <= 902
+
+
+def test_only_long_assets_rise_through_the_levels(spark):
+    assets = {f"a{i}": make_cues(5, i) for i in range(6)} | {"long": make_cues(90, 7), "none": [(0, 1, " ")], "one": [(0, 1, "x" * 40)]}
+    want = {a: c for a, cues in assets.items() if (c := brute_cues(cues, 20))}
+    assert packed(spark, assets, max_chars=20, block=2, fan=2) == want
+
+
 def test_cue_edges(spark):
     cues = [(0, 1, "  "), (1, 2, "a" * 50), (2, 3, "bb"), (3, 4, "c" * 17), (4, 5, "d")]
     assert packed(spark, {"a": cues}, max_chars=20)["a"] == [(1, 2, "a" * 50), (2, 4, "bb " + "c" * 17), (4, 5, "d")]
