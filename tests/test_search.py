@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -258,6 +259,28 @@ def test_literals_through_stored_triples(spark):
     assert substring_search(queries, empty, 4, columns, build_gram_index(empty, columns)).count() == 0
 
 
+def test_triples_are_listed_by_many_passages_at_once(spark):
+    texts = ["abcabc", "ABC", "ab", "", None, "\U0001f600\U0001f600\U0001f600x", "bcé"] * 300 + ["".join(map(chr, range(0x4E00, 0x9000)))]
+    passages = spark.createDataFrame([(f"p{i:04d}", t, "bca") for i, t in enumerate(texts)], "passage_id string, text string, title string").coalesce(2)
+    grams = build_gram_index(passages, ("text", "title"))
+    want = Counter(g for t in texts for g in {b[i : i + 3] for b in ((t or "").lower(), "bca") for i in range(len(b) - 2)})
+    assert {r.gram: r.n for r in grams.counts.collect()} == want and grams.n_passages == len(texts)
+    stored = grams.postings.filter("gram <> ''")
+    assert {r.gram: r.n for r in stored.groupBy("gram").agg(F.sum(F.size("keys")).alias("n")).collect()} == want
+    assert stored.filter("gram = 'abc'").count() <= 2  # a row for each of two tasks, not for each of 600 passages
+
+
+def test_passages_that_share_a_key_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr("passagework.operators.grams.passage_key", lambda: F.length("passage_id"))
+    rows = [(f"p{i:02d}", w) for i, w in enumerate(["mast oar", "oar jib", "keel", "jib mast", "hull"] * 4)]
+    passages = spark.createDataFrame(rows, "passage_id string, text string")
+    many = passages.unionByName(spark.range(400).select(F.format_string("more-%04d", "id").alias("passage_id"), F.lit("stern").alias("text")))
+    key = lambda df: sorted((r.query_id, r.passage_id, r.rank) for r in df.collect())
+    queries = ask(spark, "oar j", "mast", "keel", "hulls")
+    found = key(substring_search(queries, many, 9, ("text",), build_gram_index(many, ("text",))))
+    assert found == key(substring_search(queries, many, 9, ("text",))) and len(found) == 16
+
+
 def test_fallback_through_triples(spark):
     passages = table(spark)
     queries = ask(spark, "s & <RA", "lights stan", "moorign", "Dinghi")
