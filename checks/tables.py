@@ -420,7 +420,7 @@ def literals_of(spark, sf):
 @query("substring_indexed", ORACLES["substring_search"])
 def substring_indexed(spark, sf):
     """The same literals through the stored letter triples."""
-    passages = materialize(document_passages(spark, sf), "passages")
+    passages = materialize(document_passages(spark, sf).select("passage_id", "asset", "parent", "text"), "passages")
     return substring_search(literals_of(spark, sf), passages, 10, grams=build_gram_index(passages))
 
 
