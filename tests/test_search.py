@@ -4,20 +4,22 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from passagework.functions.analysis import english_term, english_terms
 from passagework.functions.links import passage_link, with_time
-from passagework.operators import scoring
+from passagework.operators import posting_lists, scoring
 from passagework.operators.cells import build_vector_index, search_vectors
-from passagework.operators.common import top_per
+from passagework.operators.common import SHUFFLES_GO, materialize, top_per
 from passagework.operators.fuse import fuse_code, fuse_prose
 from passagework.operators.grams import build_gram_index, split_literals
 from passagework.operators.group import flat_results, group_passages, result_counts
-from passagework.operators.index import FIELDS, build_index, field_stats, index_rows
+from passagework.operators.index import FIELDS, build_index, field_stats, index_rows, postings
 from passagework.operators.lexical import (
     fragments, highlight_html, keyword_search, marked_snippet, near_terms, substring_search, title_one_edit,
 )
+from passagework.operators.posting_lists import pack, postings_of, unpack
 from passagework.operators.schema import attrs, node, to_passages
 from passagework.operators.vector import candidate_count, knn_approximate, knn_exact
 from passagework.plans.search import fallback_search, result_json, search
@@ -183,6 +185,54 @@ def test_postings_and_scan_give_the_same(spark):
     assert len(buckets) == 1 and index.postings.select("bucket").distinct().count() > 10
 
 
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 127, 128, 300, 16383, 16384, 2**31 - 1, 2**62, 5])
+    packed, ends = pack(values)
+    assert unpack(packed).tolist() == values.tolist() and ends.tolist() == [1, 2, 3, 5, 7, 9, 12, 17, 26, 27]
+    assert pack(values[:0])[0].tolist() == [] and unpack(packed[:0]).tolist() == []
+
+
+def test_posting_lists_hold_every_entry(spark, monkeypatch):
+    """Blocks of two steps and batches of few postings, ids that are null or come twice, rare and frequent terms."""
+    monkeypatch.setattr(posting_lists, "PASSAGES_PER_STEP", 7)
+    monkeypatch.setattr(posting_lists, "PASSAGES_PER_BLOCK", 14)
+    monkeypatch.setattr(posting_lists, "POSTINGS_PER_BATCH", 10)
+    rows = [(None if i % 9 == 0 else f"p{i % 40}", f"each w{i % 3} only{i}" + " often" * (200 * (i % 2)), ("Title", None, "")[i % 3]) for i in range(60)]
+    passages = spark.createDataFrame(rows + [("none", None, None)], "passage_id string, text string, code string").coalesce(1)
+    table = index_rows(passages, (FIELDS[0], FIELDS[6]))
+    stored = [b for b in posting_lists.blocks(table.select("passage_id", *[f"entries.{m}" for m in ("field", "term", "tf", "len", "norm")]).toArrow().to_batches(), 5)]
+    lists = [r for b in stored for r in b.to_pylist()]
+    ids = {r["block"]: r["ids"] for r in lists if r["field"] is None}
+    assert set(ids) == {5, 6, 7, 8, 9} and [i for b in sorted(ids) for i in ids[b]] == [r[0] for r in rows] + ["none"]
+    sizes = {(r["block"], r["field"]): r for r in lists if r["field"] and r["term"] is None}
+    got = []
+    for r in [r for r in lists if r["term"]]:
+        _, place, tf = postings_of(pa.chunked_array([[r["packed"]]], pa.binary()), np.array([r["n"]]))
+        shared = sizes[r["block"], r["field"]]
+        got += [(r["field"], r["term"], str(ids[r["block"]][p]), int(t), shared["lens"][p], shared["norms"][p]) for p, t in zip(place, tf)]
+    want = [(r.field, r.term, str(r.passage_id), r.tf, r.len, r.norm) for r in postings(table).collect()]
+    assert sorted(got) == sorted(want) and max(t[3] for t in got) == 200
+
+
+def test_index_writes_a_list_for_a_task_and_keeps_no_shuffle(spark):
+    """Postings aren't shuffled and stored one by one: a term has a row for each task, not for each passage."""
+    rows = [(f"p{i:04d}", f"each w{i % 50} {'often ' * (i % 4)}") for i in range(2000)]
+    passages = spark.createDataFrame(rows, "passage_id string, text string").repartition(4)
+    index = build_index(passages, (FIELDS[0], FIELDS[5]))
+    lists = index.postings.filter("term = 'each'").groupBy("field").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    assert {r.field for r in lists} == {"text", "text.fuzzy"} and all(r.rows <= 8 and r.n == 2000 for r in lists)
+    assert {(r.field, r.term): r.df for r in index.vocabulary.filter("term = 'often'").collect()} == {("text", "often"): 1500, ("text.fuzzy", "often"): 1500}
+    assert spark.conf.get(SHUFFLES_GO) == "false"
+
+    def shuffled():
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (every.apply(i).getName() for i in range(every.size())) if name.startswith("shuffle_")}
+
+    before = shuffled()
+    materialize(passages.groupBy("text").count(), "counted", compact=True)
+    assert shuffled() <= before
+
+
 def test_filtered_postings_read_only_asked_buckets(spark):
     """Filters on the postings and on the rows give the same; the plan reads the asked buckets."""
     rng = random.Random(52)
