@@ -233,6 +233,24 @@ def test_index_writes_a_list_for_a_task_and_keeps_no_shuffle(spark):
     assert shuffled() <= before
 
 
+def test_blocks_pass_on_what_can_be_among_the_best(spark):
+    """Equal sums, sums that differ below the rounding, and ids that several blocks have, which are added up."""
+    rng = random.Random(57)
+    rows = [(f"p{i:04d}", " ".join(rng.choices(["a1", "b1", "c1"], k=rng.randint(1, 4)))) for i in range(600)]
+    rows += [(r[0], r[1]) for r in rows[::7]] + [(None, "a1 b1")] * 3 + [(f"r{i:03d}", "b1 " * 6) for i in range(9)] * 2
+    rng.shuffle(rows)
+    index = build_index(spark.createDataFrame(rows, "passage_id string, text string").repartition(3), FIELDS[:1])
+    assert {r.passage_id for r in index.repeated.collect()} == {f"p{i:04d}" for i in range(0, 600, 7)} | {f"r{i:03d}" for i in range(9)} | {None}
+    weights = spark.createDataFrame([(q, "text", w, 9, x, 2.5) for q, w, x in [("x", "a1", 1.0), ("x", "b1", 1.0000004), ("y", "b1", 2.0), ("z", "c1", 0.3), (None, "c1", 0.5)]], "query_id string, field string, term string, df long, weight double, avg_len double")
+    for k1 in (1.2, None):
+        every = scoring._from_postings(index.postings, weights, k1, 0.75)
+        few = scoring._from_postings(index.postings, weights, k1, 0.75, None, 4, index.repeated)
+        best = [top_per(df, ["query_id"], [F.desc("score"), F.col("passage_id")], 4).collect() for df in (every, few)]
+        assert sorted(map(str, best[0])) == sorted(map(str, best[1])) and len(best[0]) == 16
+        assert few.count() < every.count() / 2
+        assert few.filter("passage_id = 'r000'").collect() == every.filter("passage_id = 'r000'").collect()
+
+
 def test_filtered_postings_read_only_asked_buckets(spark):
     """Filters on the postings and on the rows give the same; the plan reads the asked buckets."""
     rng = random.Random(52)
