@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.analysis import english_term, english_terms
 from passagework.functions.links import passage_link, with_time
-from passagework.operators import posting_lists, scoring
+from passagework.operators import grams, posting_lists, scoring
 from passagework.operators.cells import build_vector_index, search_vectors
 from passagework.operators.common import SHUFFLES_GO, materialize, top_per
 from passagework.operators.fuse import fuse_code, fuse_prose
@@ -338,6 +338,17 @@ def test_triples_are_listed_by_many_passages_at_once(spark):
     assert stored.filter("gram = 'abc'").count() <= 2  # a row for each of two tasks, not for each of 600 passages
 
 
+def test_triples_of_a_task_do_not_follow_its_batches(monkeypatch):
+    monkeypatch.setattr(grams, "STEP", 40)
+    texts = ["abcabc", "", "xyz", "abcd" * 30, "ab"] * 9
+    steps = len({sum(map(len, texts[: i + 1])) // 40 for i in range(45)})
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 3), pa.int32()), pa.array(texts[i : i + 3])], names=["key", "body"]) for i in range(0, 45, 3)]
+    for given in (batches, [pa.Table.from_batches(batches).combine_chunks().to_batches()[0]], [batches[0].slice(0, 0), *batches]):
+        rows = [r for b in grams._posting_lists(iter(given)) for r in b.to_pylist()]
+        assert sum(r["n"] for r in rows if r["gram"] == "") == 45 and sum(r["gram"] == "" for r in rows) == steps
+        assert sorted(k for r in rows if r["gram"] == "abc" for k in r["keys"]) == [i for i, t in enumerate(texts) if "abc" in t]
+
+
 def test_passages_that_share_a_key_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr("passagework.operators.grams.passage_key", lambda: F.length("passage_id"))
     rows = [(f"p{i:02d}", w) for i, w in enumerate(["mast oar", "oar jib", "keel", "jib mast", "hull"] * 4)]
